@@ -1 +1,10 @@
-"""Spark-native terrain, inundation and area analytics over DataFrames."""
+"""Spark-native terrain, inundation and area analytics over DataFrames.
+
+Functions of the package travel to executors by value, so executors need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
