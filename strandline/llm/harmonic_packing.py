@@ -31,22 +31,47 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The vocabulary's own pre-tokens of a lower-case chunk, and its writing of bytes as characters (fixed values).
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: b for b in PLAIN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(PLAIN)))}
+
+
 class TokenBytes(dict):
-    """Ids of white-space-free chunks as little-endian unsigned 32-bit; the vocabulary never joins across such gaps."""
+    """Ids of white-space-free chunks as little-endian unsigned 32-bit; the vocabulary never joins across such gaps.
 
-    def __init__(self, path: str, bound: int = 300_000):
+    Chunks and their pre-tokens are kept for as many as fit the bound. Pre-tokens of Latin chunks go straight to
+    the tokenizer's model; all other chunks take its whole path (normaliser and pre-tokenizer included).
+    """
+
+    def __init__(self, path: str, bound: int = 800_000):
+        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.bound = bound
+        self.bound, self.pieces = bound, {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.split = self.tokenizer.model, regex.compile(PRE_TOKEN).findall
+
+    def piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) >= self.bound:
+                self.pieces.clear()
+            written = piece.encode("utf-8").decode("latin-1").translate(BYTE_CHARS)
+            found = self.pieces[piece] = np.asarray([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+        return found
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.bound:
             self.clear()
-        ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        value = self[chunk] = np.asarray(ids, "<u4").tobytes()
+        text = chunk.decode("utf-8", "replace")
+        if max(text) < "\u0250":  # precomposed Latin letters: composing changes nothing, lower case is by character
+            value = b"".join(map(self.piece, self.split(text.lower())))
+        else:
+            value = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self[chunk] = value
         return value
 
     def of(self, text: str | None) -> bytes:
