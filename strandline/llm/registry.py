@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from strandline.llm import harmonic_packing
+from strandline.llm import fm_substrings, harmonic_packing, lsh_forest_join, pivotal_mixing, toxicity_neighbours
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op2_lsh_forest_join": lsh_forest_join.op2_lsh_forest_join,
         "op6_harmonic_packing": harmonic_packing.op6_harmonic_packing,
+        "op7_fm_substrings": fm_substrings.op7_fm_substrings,
+        "op9_toxicity_neighbours": toxicity_neighbours.op9_toxicity_neighbours,
+        "op10_pivotal_mixing": pivotal_mixing.op10_pivotal_mixing,
     }
 
 
