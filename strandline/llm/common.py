@@ -107,3 +107,15 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     for i in range(size):
         acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
     return acc
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table in the shared folder and read it again."""
+    import re
+    import uuid
+
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stages-")
+    path = f"{folder}/{re.sub(r'[^a-z0-9]+', '-', name.lower())}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -4,13 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from strandline.llm import fm_substrings, harmonic_packing, line_templates, lsh_forest_join, mcd_quality, pii_supervision, pivotal_mixing, toxicity_neighbours
+from strandline.llm import (
+    fm_substrings,
+    harmonic_packing,
+    hash_prefix_search,
+    host_suffix_array,
+    line_templates,
+    lsh_forest_join,
+    mcd_quality,
+    pii_supervision,
+    pivotal_mixing,
+    toxicity_neighbours,
+)
 
 
 def queries() -> dict[str, Callable]:
     return {
         "op1_mcd_quality": mcd_quality.op1_mcd_quality,
         "op2_lsh_forest_join": lsh_forest_join.op2_lsh_forest_join,
+        "op3_hash_prefix_search": hash_prefix_search.op3_hash_prefix_search,
+        "op4_host_suffix_array": host_suffix_array.op4_host_suffix_array,
         "op5_line_templates": line_templates.op5_line_templates,
         "op6_harmonic_packing": harmonic_packing.op6_harmonic_packing,
         "op7_fm_substrings": fm_substrings.op7_fm_substrings,
