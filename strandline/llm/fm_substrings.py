@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordHashes, checkpointed, partitions, table, window_hashes, words_of
+from strandline.llm.common import GAP, WordHashes, partitions, stored, table, window_hashes, words_of
 
 WINDOW, ANCHOR = 13, 5
 SHARD_WORDS = 1_000_000
@@ -131,36 +131,53 @@ def first_seen(seqs: list[bytes], owner: np.ndarray, window: int = WINDOW) -> li
     return [least[a:b].tolist() for a, b in zip(parts, np.append(parts[1:], len(start)), strict=True)]
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, starts: word positions of the windows that also start in a document with a smaller doc_id."""
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-
-    def anchors(spans: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            hashes = WordHashes()
-            for batch in batches:
-                a, d, s, n = [], [], [], []
-                for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                    anchor, first, count = super_windows(hashes.of(words_of(text)), window)
-                    if not spans:
-                        anchor = np.unique(anchor)
-                    a.append(anchor)
-                    d.append(np.full(len(anchor), doc_id))
-                    if spans:
-                        s.append(first)
-                        n.append(count)
-                out = {"anchor": np.concatenate(a or [np.empty(0, np.int64)]), "doc_id": np.concatenate(d or [np.empty(0, np.int64)])}
-                if spans:
-                    out |= {"first": np.concatenate(s or [np.empty(0, np.int64)]), "n": np.concatenate(n or [np.empty(0, np.int64)])}
-                yield pd.DataFrame(out)
-
-        return run
-
-    seen = docs.mapInPandas(anchors(False), "anchor long, doc_id long")
-    shared = seen.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    shared = checkpointed(shared)
-    spans = docs.mapInPandas(anchors(True), "anchor long, doc_id long, first int, n int").join(shared, "anchor", "left_semi")
+def known_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text of the rows that have both."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """c_id: documents whose words are those of a document with a smaller doc_id (128-bit digests are compared)."""
+    same = F.unhex(F.md5(F.trim(F.regexp_replace("text", GAP, " ")).cast("binary")))
+    keyed = docs.select("doc_id", same.alias("same"))
+    first = keyed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").select("same", "rep")
+    return keyed.join(first, "same").where("doc_id > rep").select(F.col("doc_id").alias("c_id")).distinct()
+
+
+def repeated_windows(docs: DataFrame, copied: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, starts: word positions of the windows that also start in a document with a smaller doc_id; copies are
+    left out, since a smaller document has all their windows."""
+
+    def seen_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        hashes = WordHashes()
+        for batch in batches:
+            a, k = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for text in batch["text"]:
+                words = words_of(text)
+                anchor = np.unique(super_windows(hashes.of(words), window)[0])
+                a.append(anchor)
+                k.append(np.full(len(anchor), xxhash.xxh3_64_intdigest(b" ".join(words)) >> 16))
+            yield pd.DataFrame({"anchor": np.concatenate(a), "of": np.concatenate(k)})
+
+    def spans_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            out = [[np.empty(0, np.int64)] for _ in range(4)]
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+                anchor, first, count = super_windows(hashes.of(words_of(text)), window)
+                for o, values in zip(out, (anchor, np.full(len(anchor), doc_id), first, count), strict=True):
+                    o.append(values)
+            yield pd.DataFrame(dict(zip(("anchor", "doc_id", "first", "n"), map(np.concatenate, out), strict=True)))
+
+    # anchors in two or more different texts; copies of a text count once
+    seen = docs.select("text").mapInPandas(seen_in, "anchor long, of long")
+    shared = stored(seen.groupBy("anchor").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("anchor"), "shared anchors")
+    spans = docs.mapInPandas(spans_of, "anchor long, doc_id long, first int, n int").join(shared, "anchor", "left_semi")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("spans"))  # of one document
+    spans = spans.join(copied, F.col("doc_id") == F.col("c_id"), "left_anti")
 
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sent: set[bytes] = set()
@@ -179,7 +196,6 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pd.DataFrame(rows, columns=["anchor", "seq", "doc_id", "first", "passage"])
 
     found = docs.join(spans, "doc_id").mapInPandas(passages, "anchor long, seq binary, doc_id long, first int, passage binary")
-    found = checkpointed(found)
     distinct = found.groupBy("anchor", "seq").agg(F.min("doc_id").alias("least"), F.max("passage").alias("passage"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -217,17 +233,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     doc_id and null texts lose nothing; rows that share a doc_id do not count against each other. Texts shorter
     than a window are left. An empty table gives no rows; other columns are ignored.
     """
-    starts = repeated_windows(docs, window).select(F.col("doc_id").alias("r_id"), "starts")
+    known = known_texts(docs)
+    copied = copies(known)
+    starts = repeated_windows(known, copied, window).select(F.col("doc_id").alias("r_id"), "starts")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text, at in zip(batch["doc_id"], batch["text"], batch["starts"], strict=True):
+            for doc_id, text, at, copy in zip(batch["doc_id"], batch["text"], batch["starts"], batch["copy"], strict=True):
                 words = words_of(text)
                 n, kept = len(words), words
-                if at is not None:
+                if copy and n >= window:
+                    kept = []
+                elif at is not None:
                     gone = np.zeros(n + window + 1, np.int64)
                     at = np.unique(np.asarray(at, np.int64))
+                    at = at[at + window <= n]  # rows of one doc_id may differ in length
                     gone[at] += 1
                     gone[at + window] -= 1
                     kept = [w for w, g in zip(words, np.cumsum(gone)[:n], strict=True) if not g]
@@ -235,8 +256,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append((doc_id, data.decode("utf-8", "replace"), n, n - len(kept), hashlib.sha256(data).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "text", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64"})
 
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.join(starts, F.col("doc_id") == F.col("r_id"), "left").select("doc_id", "text", "starts").mapInPandas(cut, "doc_id long, text string, n_words long, n_removed long, kept_sha256 string")
+    marked = known.join(starts, F.col("doc_id") == F.col("r_id"), "left").join(copied, F.col("doc_id") == F.col("c_id"), "left")
+    marked = marked.select("doc_id", "text", "starts", F.col("c_id").isNotNull().alias("copy"))
+    other = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("doc_id").isNull() | F.col("text").isNull())
+    other = other.select("doc_id", "text", F.lit(None).cast("array<long>").alias("starts"), F.lit(False).alias("copy"))
+    return marked.unionByName(other).mapInPandas(cut, "doc_id long, text string, n_words long, n_removed long, kept_sha256 string")
 
 
 def op7_fm_substrings(spark, sf_dir: str) -> DataFrame:
