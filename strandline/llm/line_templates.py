@@ -4,52 +4,93 @@ Lines are parsed to a fixed depth: their number of tokens, then their leading to
 digits are variable fields from the start; within a leaf, lines that agree in most positions share a template and
 the positions where they differ become variable too. A template recurs if it stands in many *unrelated* documents:
 a line's document belongs to two families (the smallest and the largest hash of its other lines, so copies and near
-copies mostly share them), and the effective number of families, (sum n)^2 / sum n^2, does not grow with the size of
-a group of copies. Lines of recurring templates are dropped from every document but the first that has the template.
+copies mostly share them), and the effective number of families, (sum n)^2 / sum n^2 (the geometric mean for the two),
+does not grow with the size of a group of copies. Lines of recurring templates are dropped from every document but the first that has the template.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandline.llm.common import GAP, checkpointed, grouped_stream, let, partitions, table
+from strandline.llm.common import checkpointed, grouped_stream, partitions, table
 
 LEADING, LEAST_TOKENS, SIMILARITY, FAMILIES = 3, 4, 0.6, 4.0
-VARIABLE = "<*>"
+VARIABLE, DIGIT = b"<*>", re.compile(rb"[0-9]").search
+
+
+def parsed(text: str, leading: int, least_tokens: int) -> list[tuple[int, int, bytes] | None]:
+    """(leaf, form, masked line) of each line, or None for lines of fewer tokens; tokens with digits are variable."""
+    out: list[tuple[int, int, bytes] | None] = []
+    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
+        tokens = line.split()
+        if len(tokens) < least_tokens:
+            out.append(None)
+            continue
+        if DIGIT(line):
+            tokens = [VARIABLE if DIGIT(t) else t for t in tokens]
+        masked = b" ".join(tokens)
+        leaf = b"%d %s" % (len(tokens), b" ".join(tokens[:leading]))
+        out.append((_signed(xxhash.xxh3_64_intdigest(leaf)), _signed(xxhash.xxh3_64_intdigest(masked)), masked))
+    return out
 
 
-def masked_tokens(line: Column) -> Column:
-    """Tokens of a line; those with digits are variable fields."""
-    tokens = F.filter(F.split(line, GAP), lambda t: t != "")
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def parsed_lines(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
-    """doc_id, text_key, leaf, form (hash of the masked line), low and high (families), tokens for each line of enough tokens."""
-    lines = F.transform(F.split("text", "\n"), masked_tokens)
-    lines = F.filter(lines, lambda t: F.size(t) >= least_tokens)
-    docs = docs.select("doc_id", "text_key", lines.alias("lines")).where(F.size("lines") > 0)
-    forms = F.sort_array(F.array_distinct(F.transform("lines", lambda t: F.xxhash64(t))))
-    ends = let(forms, lambda h: F.array(F.get(h, F.lit(0)), F.get(h, F.lit(1)), F.get(h, F.size(h) - 2), F.get(h, F.size(h) - 1)))
-    rows = docs.select("doc_id", "text_key", ends.alias("h"), F.explode("lines").alias("tokens")).withColumn("form", F.xxhash64("tokens"))
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, leading))
-    end = [F.get("h", F.lit(i)) for i in range(4)]
-    low, high = F.when(F.col("form") == end[0], end[1]).otherwise(end[0]), F.when(F.col("form") == end[3], end[2]).otherwise(end[3])
-    return rows.select("doc_id", "text_key", low.alias("low"), high.alias("high"), leaf.alias("leaf"), "form", "tokens")
-
-
-def templates_of(lines: list[list[str]], similarity: float) -> list[int]:
+    """doc_id, text_key, leaf, form, low and high (families) for each distinct line of enough tokens."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
+                lines = {x[1]: x[0] for x in parsed(text, leading, least_tokens) if x}
+                order = [None, *sorted(lines), None] if len(lines) < 2 else sorted(lines)
+                for form, leaf in lines.items():
+                    low = order[1] if form == order[0] else order[0]
+                    high = order[-2] if form == order[-1] else order[-1]
+                    rows.append((doc_id, key, leaf, form, low if low != form else None, high if high != form else None))
+            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "leaf", "form", "low", "high"]).astype({"low": "Int64", "high": "Int64"})
+
+    return docs.mapInPandas(run, "doc_id long, text_key long, leaf long, form long, low long, high long")
+
+
+def masked_lines(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
+    """leaf, form, line (masked) of every line of enough tokens; lines seen before by a task may be left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent: set[int] = set()
+        for batch in batches:
+            rows = []
+            for text in batch["text"]:
+                for x in parsed(text, leading, least_tokens):
+                    if x and x[1] not in sent:
+                        if len(sent) > 500_000:
+                            sent.clear()
+                        sent.add(x[1])
+                        rows.append(x)
+            yield pd.DataFrame(rows, columns=["leaf", "form", "line"])
+
+    return docs.select("text").mapInPandas(run, "leaf long, form long, line binary")
+
+
+def templates_of(lines: list[list[bytes]], similarity: float) -> list[int]:
     """Template number of each distinct line of a leaf (equal token counts); lines join the most similar template.
 
     Templates start with the most frequent tokens' lines in the order given; a position where a member differs is
     variable and agrees with everything, but counts as no agreement.
     """
-    known: dict[str, int] = {VARIABLE: 0}
+    known: dict[bytes, int] = {VARIABLE: 0}
     codes = np.array([[known.setdefault(t, len(known)) for t in line] for line in lines], np.int64)
     groups = np.empty_like(codes)
     n, out = 0, []
@@ -73,7 +114,7 @@ def templates_of(lines: list[list[str]], similarity: float) -> list[int]:
 def _parse(similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for leaf in grouped_stream(batches, ["leaf"]):
-            number = templates_of([list(t) for t in leaf["tokens"]], similarity)
+            number = templates_of([x.split(b" ") for x in leaf["line"]], similarity)
             first = leaf["form"].to_numpy()
             names: dict[int, int] = {}
             for i, k in enumerate(number):
@@ -88,19 +129,22 @@ def recurring_forms(docs: DataFrame, leading: int, least_tokens: int, similarity
     lines = parsed_lines(docs, leading, least_tokens)
     seen = lines.groupBy("leaf", "form", "low", "high").agg(F.countDistinct("text_key").alias("n"), F.min("doc_id").alias("first_id"))
     seen = checkpointed(seen)
-    # Leaves with two or more distinct lines are parsed further; a line alone in its leaf is its own template.
-    leaves = seen.groupBy("leaf").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo < hi").select("leaf")
-    shared = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "form").agg(F.first("tokens").alias("tokens"))
+    # Leaves with two or more distinct lines, and with enough families for one template, are parsed further; a line
+    # alone in its leaf is its own template.
+    leaves = seen.groupBy("leaf").agg(F.min("form").alias("lo"), F.max("form").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    leaves = leaves.where((F.col("lo") < F.col("hi")) & (F.col("rows") >= families)).select("leaf")
+    shared = masked_lines(docs, leading, least_tokens).join(leaves, "leaf", "left_semi").dropDuplicates(["leaf", "form"])
     dealt = shared.repartition(partitions(docs), "leaf").sortWithinPartitions("leaf", "form")
     named = dealt.mapInPandas(_parse(similarity), "form long, template long").select(F.col("form").alias("p_form"), "template")
     named = checkpointed(seen.join(named, F.col("form") == F.col("p_form"), "left").select("form", F.coalesce("template", "form").alias("template"), "low", "high", "n", "first_id"))
-    often = None
+    sides = []
     for side in ("low", "high"):
         by_family = named.groupBy("template", side).agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
-        sums = by_family.groupBy("template").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.min("first_id").alias("first_id"))
-        found = sums.where(F.col("s") * F.col("s") >= families * F.col("q")).select("template", "first_id")
-        often = found if often is None else often.unionByName(found)
-    often = often.distinct()
+        sides.append(by_family.groupBy("template").agg((F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias(f"{side}_families"), F.min("first_id").alias(f"{side}_first")))
+    # the geometric mean: other recurring lines may hold one end of their documents; copies hold both, or in short
+    # documents at least one of them nearly always
+    enough = (F.col("low_families") * F.col("high_families") >= families * families) & (F.least("low_families", "high_families") >= 1.5)
+    often = sides[0].join(sides[1], "template").where(enough).select("template", F.col("low_first").alias("first_id"))
     return named.select("form", "template").distinct().join(often, "template").select(F.col("form").alias("r_form"), "first_id")
 
 
@@ -115,23 +159,34 @@ def drop_templates(docs: DataFrame, leading: int = LEADING, least_tokens: int =
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     slim = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), key.alias("text_key"), "text")
     recurring = checkpointed(recurring_forms(slim, leading, least_tokens, similarity, families))
-    lines = parsed_lines(slim, leading, least_tokens).select("doc_id", "text_key", "form").distinct()
+    lines = parsed_lines(slim, leading, least_tokens).select("doc_id", "text_key", "form")
     gone = lines.join(recurring, F.col("form") == F.col("r_form")).where("doc_id > first_id")
     gone = gone.groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).agg(F.collect_set("form").alias("g_forms"))  # of one document
-    rows = docs.withColumns({"g_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "g_text": key})
+    row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    rows = docs.drop("n_lines", "n_dropped").withColumns({"g_doc": row_id, "g_text": key})
     rows = rows.join(gone, (F.col("g_doc") == F.col("g_id")) & (F.col("g_text") == F.col("g_key")), "left")
-
-    def stays(line: Column) -> Column:
-        return ~F.coalesce(F.array_contains("g_forms", F.xxhash64(masked_tokens(line))), F.lit(False)) | (F.size(masked_tokens(line)) < least_tokens)
-
-    before = F.split("text", "\n")
-    kept = F.when(F.col("g_forms").isNull(), F.col("text")).otherwise(F.array_join(F.filter(before, stays), "\n"))
-    total = F.when(F.coalesce(F.col("text"), F.lit("")) == "", 0).otherwise(F.size(before))
-    rows = rows.withColumn("g_kept", kept).withColumn("n_lines", total.cast("long"))
-    # a kept text without characters may still have lines: count what was dropped, not what is left
-    dropped = F.when(F.col("g_forms").isNull(), 0).otherwise(F.size(F.filter(before, lambda x: ~stays(x))))
-    rows = rows.withColumn("n_dropped", dropped.cast("long"))
-    return rows.select(*(F.col("g_kept").alias("text") if c == "text" else F.col(c) for c in names), "n_lines", "n_dropped")
+    others = [c for c in names if c != "text"]
+    rows = rows.select(F.struct(*others).alias("g_row") if others else F.lit(None).alias("g_row"), F.col("text").cast("string"), "g_forms")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, total, dropped = [], [], []
+            for text, forms in zip(batch["text"].to_pylist(), batch["g_forms"].to_pylist(), strict=True):
+                lines = text.split("\n") if text else []
+                if forms:
+                    out = set(forms)
+                    kept = [x for x, p in zip(lines, parsed(text, leading, least_tokens), strict=True) if not p or p[1] not in out]
+                    texts.append("\n".join(kept))
+                    dropped.append(len(lines) - len(kept))
+                else:
+                    texts.append(text)
+                    dropped.append(0)
+                total.append(len(lines))
+            yield pa.RecordBatch.from_arrays([batch["g_row"], pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], ["g_row", "text", "n_lines", "n_dropped"])
+
+    schema = T.StructType([rows.schema["g_row"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    out = rows.mapInArrow(cut, schema)
+    return out.select(*(F.col("text") if c == "text" else F.col(f"g_row.`{c}`") for c in names), "n_lines", "n_dropped")
 
 
 def op5_line_templates(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from strandline.llm import line_templates as lt
 
 
 def test_templates_of_a_leaf():
-    lines = [f"order {w} shipped to {c} today ok".split() for w, c in zip("abcdef", "uvwxyz")] + ["all other words are here now yes".split()]
+    lines = [f"order {w} shipped to {c} today ok".encode().split() for w, c in zip("abcdef", "uvwxyz")] + [b"all other words are here now yes".split()]
     got = lt.templates_of(lines, 0.6)
     assert len(set(got[:6])) == 1 and got[6] != got[0]
 
