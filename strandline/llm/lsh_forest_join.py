@@ -84,9 +84,8 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["comp", "ti", "tj", "blk", "rep", "copies", "shingles"]]
 
 
-def links_of(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Verified links of each set (copies counted) and spanning edges. Sets of one block are compared with each
-    other if all are of one block, else only with those of the other block."""
+def links_of(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, threshold: float, cross: bool) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Verified links of each set (copies counted) and spanning edges; with ``cross`` only between blocks."""
     m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     values, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -110,7 +109,6 @@ def links_of(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, thre
             parent[i] = i = parent[parent[i]]
         return i
 
-    cross = len(set(block.tolist())) > 1
     for i in range(m - 1):
         inter = both[i, i + 1 :]
         ok = inter >= threshold * (size[i] + size[i + 1 :] - inter) - 1e-9
@@ -131,7 +129,7 @@ def _verify(threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in grouped_stream(batches, ["comp", "ti", "tj"]):
             sets = [np.frombuffer(s, np.uint64) for s in g["shingles"]]
-            links, edges = links_of(sets, g["blk"].to_numpy(), g["copies"].to_numpy(np.int64), threshold)
+            links, edges = links_of(sets, g["blk"].to_numpy(), g["copies"].to_numpy(np.int64), threshold, bool(g["ti"].iloc[0] != g["tj"].iloc[0]))
             rep = g["rep"].to_numpy(np.int64)
             first = np.arange(len(rep))
             yield pd.DataFrame({"a": np.append(rep, [rep[i] for i, _ in edges]).astype(np.int64), "b": np.append(rep[first], [rep[j] for _, j in edges]).astype(np.int64), "n": np.append(links, np.zeros(len(edges), np.int64)).astype(np.int64)})
