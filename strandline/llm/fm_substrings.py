@@ -145,9 +145,10 @@ def copies(docs: DataFrame) -> DataFrame:
     return keyed.join(first, "same").where("doc_id > rep").select(F.col("doc_id").alias("c_id")).distinct()
 
 
-def repeated_windows(docs: DataFrame, copied: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_windows(docs: DataFrame, dealt: DataFrame, copied: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, starts: word positions of the windows that also start in a document with a smaller doc_id; copies are
-    left out, since a smaller document has all their windows."""
+    left out, since a smaller document has all their windows. ``dealt``: docs dealt by doc_id, one exchange for all
+    that needs the texts."""
 
     def seen_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -177,7 +178,7 @@ def repeated_windows(docs: DataFrame, copied: DataFrame, window: int = WINDOW) -
     shared = stored(seen.groupBy("anchor").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("anchor"), "shared anchors")
     spans = docs.mapInPandas(spans_of, "anchor long, doc_id long, first int, n int").join(shared, "anchor", "left_semi")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("spans"))  # of one document
-    spans = spans.join(copied, F.col("doc_id") == F.col("c_id"), "left_anti")
+    spans = stored(spans.join(copied, F.col("doc_id") == F.col("c_id"), "left_anti"), "spans")
 
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sent: set[bytes] = set()
@@ -195,7 +196,7 @@ def repeated_windows(docs: DataFrame, copied: DataFrame, window: int = WINDOW) -
                     sent.add(seq)
             yield pd.DataFrame(rows, columns=["anchor", "seq", "doc_id", "first", "passage"])
 
-    found = docs.join(spans, "doc_id").mapInPandas(passages, "anchor long, seq binary, doc_id long, first int, passage binary")
+    found = dealt.join(spans, "doc_id").mapInPandas(passages, "anchor long, seq binary, doc_id long, first int, passage binary")
     distinct = found.groupBy("anchor", "seq").agg(F.min("doc_id").alias("least"), F.max("passage").alias("passage"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,7 +206,8 @@ def repeated_windows(docs: DataFrame, copied: DataFrame, window: int = WINDOW) -
             anchor = batch["anchor"].to_numpy()
             total = np.append(0, np.cumsum(batch["passage"].map(lambda p: p.count(b" ") + 2).to_numpy()))
             turns, cut = (np.flatnonzero(np.diff(anchor)) + 1).tolist(), 0
-            for at in [0] * (last is not None and len(anchor) > 0 and anchor[0] != last) + turns:
+            fresh = len(anchor) > 0 and last is not None and anchor[0] != last
+            for at in [0, *turns] if fresh else turns:
                 if size + total[at] - total[cut] >= SHARD_WORDS:
                     yield shard(pd.concat([*held, batch.iloc[cut:at]]))
                     held, size, cut = [], 0, at
@@ -234,8 +236,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     than a window are left. An empty table gives no rows; other columns are ignored.
     """
     known = known_texts(docs)
-    copied = copies(known)
-    starts = repeated_windows(known, copied, window).select(F.col("doc_id").alias("r_id"), "starts")
+    copied = stored(copies(known), "copies")
+    dealt = known.repartition(partitions(docs), "doc_id")
+    starts = repeated_windows(known, dealt, copied, window).select(F.col("doc_id").alias("r_id"), "starts")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -256,7 +259,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append((doc_id, data.decode("utf-8", "replace"), n, n - len(kept), hashlib.sha256(data).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "text", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64"})
 
-    marked = known.join(starts, F.col("doc_id") == F.col("r_id"), "left").join(copied, F.col("doc_id") == F.col("c_id"), "left")
+    marked = dealt.join(starts, F.col("doc_id") == F.col("r_id"), "left").join(copied, F.col("doc_id") == F.col("c_id"), "left")
     marked = marked.select("doc_id", "text", "starts", F.col("c_id").isNotNull().alias("copy"))
     other = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where(F.col("doc_id").isNull() | F.col("text").isNull())
     other = other.select("doc_id", "text", F.lit(None).cast("array<long>").alias("starts"), F.lit(False).alias("copy"))
