@@ -102,22 +102,25 @@ class BlockMaxIndex:
         upper = weight @ self.most[term]
         order = np.argsort(-upper, kind="stable")
         best_at, best = np.empty(0, np.int64), np.empty(0)
-        postings = [(self.at[self.first[t] : self.first[t + 1]], self.weight[self.first[t] : self.first[t + 1]] * w) for t, w in zip(term, weight, strict=True)]
-        for lo in range(0, len(order), 8):
-            group = order[lo : lo + 8]
-            group = group[upper[group] > 0]
-            if not len(group) or (len(best) == k and upper[group[0]] < best[-1] - 1e-12):
-                break
+        opened = np.zeros(len(upper), bool)
+        while True:
+            # the most promising blocks first, then all that can still reach the k-th score
+            todo = order[:8] if not opened.any() else np.flatnonzero(~opened & (upper >= (best[-1] - 1e-12 if len(best) == k else 0.0)))
+            todo = todo[upper[todo] > 0]
+            if not len(todo):
+                return best_at, best
+            now = np.zeros(len(upper), bool)
+            now[todo] = True
+            opened |= now
             score = np.zeros(self.n)
-            for at, w in postings:
-                for b in group:
-                    i, j = np.searchsorted(at, (b * BLOCK, (b + 1) * BLOCK))
-                    score[at[i:j]] += w[i:j]
+            for t, w in zip(term, weight, strict=True):
+                at = self.at[self.first[t] : self.first[t + 1]]
+                here = now[at // BLOCK]
+                score[at[here]] += self.weight[self.first[t] : self.first[t + 1]][here] * w
             found = np.flatnonzero(score > 0)
             at, s = np.concatenate([best_at, found]), np.concatenate([best, score[found]])
             keep = np.lexsort((at, -s.round(12)))[:k]
             best_at, best = at[keep], s[keep]
-        return best_at, best
 
 
 class Voter:
