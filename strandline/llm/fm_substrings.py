@@ -197,14 +197,18 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, copied: DataFrame, windo
             yield pd.DataFrame(rows, columns=["anchor", "seq", "doc_id", "first", "passage"])
 
     found = dealt.join(spans, "doc_id").mapInPandas(passages, "anchor long, seq binary, doc_id long, first int, passage binary")
-    distinct = found.groupBy("anchor", "seq").agg(F.min("doc_id").alias("least"), F.max("passage").alias("passage"))
+
+    def distinct(rows: pd.DataFrame) -> pd.DataFrame:
+        """A row for each passage: its least document, and the words if any of the rows has them."""
+        return rows.groupby("seq", sort=False, as_index=False).agg(anchor=("anchor", "first"), doc_id=("doc_id", "min"), passage=("passage", "first"))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         size, last = 0, None
         for batch in batches:  # sorted by anchor: a shard takes whole anchors
+            batch = distinct(batch)
             anchor = batch["anchor"].to_numpy()
-            total = np.append(0, np.cumsum(batch["passage"].map(lambda p: p.count(b" ") + 2).to_numpy()))
+            total = np.append(0, np.cumsum([p.count(b" ") + 2 if p is not None else 0 for p in batch["passage"]]))
             turns, cut = (np.flatnonzero(np.diff(anchor)) + 1).tolist(), 0
             fresh = len(anchor) > 0 and last is not None and anchor[0] != last
             for at in [0, *turns] if fresh else turns:
@@ -214,14 +218,15 @@ def repeated_windows(docs: DataFrame, dealt: DataFrame, copied: DataFrame, windo
             held.append(batch.iloc[cut:])
             size += int(total[-1] - total[cut])
             last = anchor[-1] if len(anchor) else last
-        if size:
+        if held:
             yield shard(pd.concat(held))
 
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
-        found = first_seen(rows["passage"].tolist(), rows["least"].to_numpy(np.int64), window)
+        rows = distinct(rows)
+        found = first_seen(rows["passage"].tolist(), rows["doc_id"].to_numpy(np.int64), window)
         return pd.DataFrame({"seq": rows["seq"].to_numpy(), "least": found})
 
-    least = distinct.repartition(partitions(docs), "anchor").sortWithinPartitions("anchor").mapInPandas(search, "seq binary, least array<long>")
+    least = found.repartition(partitions(docs), "anchor").sortWithinPartitions("anchor", "seq").mapInPandas(search, "seq binary, least array<long>")
     hits = found.select("seq", "doc_id", "first").join(least, "seq")
     starts = F.filter(F.transform("least", lambda d, i: F.when(d < F.col("doc_id"), F.col("first") + i)), lambda s: s.isNotNull())
     hits = hits.select("doc_id", starts.alias("starts")).where(F.size("starts") > 0)
