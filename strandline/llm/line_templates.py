@@ -2,14 +2,17 @@
 
 Lines are parsed to a fixed depth: their number of tokens, then their leading tokens, lead to a leaf. Tokens with
 digits are variable fields from the start; within a leaf, lines that agree in most positions share a template and
-the positions where they differ become variable too. A template recurs if it stands in many *unrelated* documents:
-a line's document belongs to two families (the smallest and the largest hash of its other lines, so copies and near
-copies mostly share them), and the effective number of families, (sum n)^2 / sum n^2 (the geometric mean for the two),
-does not grow with the size of a group of copies. Lines of recurring templates are dropped from every document but the first that has the template.
+the positions where they differ become variable too. A template recurs if it stands in ``families`` documents
+that are pairwise unrelated. Documents are compared by sketches of their lines (min-hashes of word pairs, so an edited
+line is still found): two are unrelated if each has enough text of its own that the other lacks, whatever they share.
+Tasks pick unrelated documents for each template greedily, stop at ``families``, and their picks are merged by template;
+copies and near copies add no pick. Lines of recurring templates are dropped from every document but the first that
+has the template.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import checkpointed, grouped_stream, partitions, table
+from strandline.llm.common import WordHashes, checkpointed, grouped_stream, mix64, partitions, table
 
 LEADING, LEAST_TOKENS, SIMILARITY, FAMILIES = 3, 4, 0.6, 4.0
 VARIABLE, DIGIT = b"<*>", re.compile(rb"[0-9]").search
+HASHES, MATCHES = 8, 3  # a line is found in a document that has so many of its min-hashes
+SKETCH_LINES = 48  # longer documents are compared by the lines of the smallest min-hashes
+OWN_LINES, OWN_SHARE, OWN_MOST = 2, 0.15, 0.5  # own text: so many lines and share of the words, or most of the words
 
 
 def parsed(text: str, leading: int, least_tokens: int) -> list[tuple[int, int, bytes] | None]:
@@ -48,21 +54,128 @@ def _signed(x: int) -> int:
 
 
 def parsed_lines(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
-    """doc_id, text_key, leaf, form, low and high (families) for each distinct line of enough tokens."""
+    """doc_id, text_key, leaf, form for each distinct line of enough tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
                 lines = {x[1]: x[0] for x in parsed(text, leading, least_tokens) if x}
-                order = [None, *sorted(lines), None] if len(lines) < 2 else sorted(lines)
-                for form, leaf in lines.items():
-                    low = order[1] if form == order[0] else order[0]
-                    high = order[-2] if form == order[-1] else order[-1]
-                    rows.append((doc_id, key, leaf, form, low if low != form else None, high if high != form else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "leaf", "form", "low", "high"]).astype({"low": "Int64", "high": "Int64"})
+                rows.extend((doc_id, key, leaf, form) for form, leaf in lines.items())
+            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "leaf", "form"])
+
+    return docs.mapInPandas(run, "doc_id long, text_key long, leaf long, form long")
+
+
+def sketch_of(lines: list[bytes], hashes: WordHashes) -> bytes:
+    """Limit, then number of tokens and min-hashes of each line; of long documents the lines up to the limit."""
+    tokens = [x.split(b" ") for x in lines]
+    sizes = np.array([len(x) for x in tokens], np.int64)
+    ends = np.cumsum(sizes)
+    h = hashes.of([t for x in tokens for t in x])
+    pairs = h * np.uint64(0x9E3779B97F4A7C15)
+    pairs[:-1] += h[1:]
+    rows = np.empty((len(lines), HASHES + 1), np.uint32)
+    rows[:, 0] = sizes
+    for k in range(HASHES):
+        mixed = mix64(pairs + np.uint64(0x632BE59BD9B4E019 * (k + 1) % (1 << 64))) >> np.uint64(32)
+        mixed[ends - 1] = 0xFFFFFFFF  # the pairs across two lines
+        rows[:, k + 1] = np.minimum.reduceat(mixed, ends - sizes)
+    limit = 0xFFFFFFFF
+    if len(rows) > SKETCH_LINES:
+        rows = rows[np.argsort(rows[:, 1], kind="stable")[:SKETCH_LINES]]
+        limit = int(rows[-1, 1])
+    return np.uint32(limit).tobytes() + rows.tobytes()
+
+
+def sketches(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
+    """s_id, s_key and the sketch of every document with lines of enough tokens."""
 
-    return docs.mapInPandas(run, "doc_id long, text_key long, leaf long, form long, low long, high long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for batch in batches:
+            rows = []
+            for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
+                lines = {x[1]: x[2] for x in parsed(text, leading, least_tokens) if x}
+                if lines:
+                    rows.append((doc_id, key, sketch_of(list(lines.values()), hashes)))
+            yield pd.DataFrame(rows, columns=["s_id", "s_key", "sketch"])
+
+    return docs.mapInPandas(run, "s_id long, s_key long, sketch binary")
+
+
+class Sketch:
+    def __init__(self, data: bytes):
+        self.data = data
+        self.limit = int(np.frombuffer(data, np.uint32, 1)[0])
+        rows = np.frombuffer(data, np.uint32, offset=4).reshape(-1, HASHES + 1)
+        self.sizes, self.values = rows[:, 0].astype(np.int64), rows[:, 1:]
+        self.pool = np.unique(self.values)
+
+    def has_own(self, other: Sketch) -> bool:
+        """Whether this document has enough text that the other lacks."""
+        use = self.values[:, 0] <= min(self.limit, other.limit)
+        values, sizes = self.values[use], self.sizes[use]
+        at = np.minimum(np.searchsorted(other.pool, values), len(other.pool) - 1)
+        own = (other.pool[at] == values).sum(axis=1) < MATCHES
+        words = sizes[own].sum()
+        return words > 0 and (words >= OWN_MOST * sizes.sum() or (own.sum() >= OWN_LINES and words >= OWN_SHARE * sizes.sum()))
+
+    def unrelated(self, other: Sketch) -> bool:
+        return bool(self.has_own(other) and other.has_own(self))
+
+
+def _picked(families: int):
+    """template, full (``families`` unrelated documents found) and else the sketches of the documents picked, by task."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        picks: dict[int, list[Sketch]] = {}
+        for batch in batches:
+            for data, templates in zip(batch["sketch"], batch["templates"], strict=True):
+                sketch, known = None, {}
+                for template in templates:
+                    mine = picks.setdefault(int(template), [])
+                    if len(mine) >= families:
+                        continue
+                    sketch = sketch or Sketch(data)
+                    for x in mine:
+                        if id(x) not in known:
+                            known[id(x)] = sketch.unrelated(x)
+                        if not known[id(x)]:
+                            break
+                    else:
+                        mine.append(sketch)
+        items = list(picks.items())
+        for i in range(0, len(items), 2000):
+            part = items[i : i + 2000]
+            yield pd.DataFrame({"template": [t for t, _ in part], "full": [len(x) >= families for _, x in part], "picks": [[] if len(x) >= families else [y.data for y in x] for _, x in part]})
+
+    return run
+
+
+def _merged(families: int):
+    """The templates of enough picks, from rows of _picked sorted by template."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, mine, full = None, [], False
+        for batch in batches:
+            out = []
+            for template, done, picks in zip(batch["template"], batch["full"], batch["picks"], strict=True):
+                if template != now:
+                    if full:
+                        out.append(now)
+                    now, mine, full = template, [], False
+                full = full or bool(done)
+                for data in () if full else picks:
+                    sketch = Sketch(data)
+                    if all(sketch.unrelated(x) for x in mine):
+                        mine.append(sketch)
+                full = full or len(mine) >= families
+            yield pd.DataFrame({"r_template": np.array(out, np.int64)})
+        if full:
+            yield pd.DataFrame({"r_template": np.array([now], np.int64)})
+
+    return run
 
 
 def masked_lines(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
@@ -124,28 +237,32 @@ def _parse(similarity: float):
     return run
 
 
-def recurring_forms(docs: DataFrame, leading: int, least_tokens: int, similarity: float, families: float) -> DataFrame:
-    """r_form, first_id: masked lines of recurring templates and the first document of the template."""
+def recurring_lines(docs: DataFrame, leading: int, least_tokens: int, similarity: float, families: float) -> DataFrame:
+    """doc_id, text_key, form and first_id of the lines of recurring templates; first_id is the template's first document."""
+    least = math.ceil(families)
     lines = parsed_lines(docs, leading, least_tokens)
-    seen = lines.groupBy("leaf", "form", "low", "high").agg(F.countDistinct("text_key").alias("n"), F.min("doc_id").alias("first_id"))
-    seen = checkpointed(seen)
-    # Leaves with two or more distinct lines, and with enough families for one template, are parsed further; a line
+    seen = checkpointed(lines.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")))
+    # Leaves with two or more distinct lines, and with enough documents for one template, are parsed further; a line
     # alone in its leaf is its own template.
-    leaves = seen.groupBy("leaf").agg(F.min("form").alias("lo"), F.max("form").alias("hi"), F.count(F.lit(1)).alias("rows"))
-    leaves = leaves.where((F.col("lo") < F.col("hi")) & (F.col("rows") >= families)).select("leaf")
+    leaves = seen.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("rows"))
+    leaves = leaves.where((F.col("forms") > 1) & (F.col("rows") >= least)).select("leaf")
     shared = masked_lines(docs, leading, least_tokens).join(leaves, "leaf", "left_semi").dropDuplicates(["leaf", "form"])
     dealt = shared.repartition(partitions(docs), "leaf").sortWithinPartitions("leaf", "form")
     named = dealt.mapInPandas(_parse(similarity), "form long, template long").select(F.col("form").alias("p_form"), "template")
-    named = checkpointed(seen.join(named, F.col("form") == F.col("p_form"), "left").select("form", F.coalesce("template", "form").alias("template"), "low", "high", "n", "first_id"))
-    sides = []
-    for side in ("low", "high"):
-        by_family = named.groupBy("template", side).agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
-        sides.append(by_family.groupBy("template").agg((F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias(f"{side}_families"), F.min("first_id").alias(f"{side}_first")))
-    # the geometric mean: other recurring lines may hold one end of their documents; copies hold both, or in short
-    # documents at least one of them nearly always
-    enough = (F.col("low_families") * F.col("high_families") >= families * families) & (F.least("low_families", "high_families") >= 1.5)
-    often = sides[0].join(sides[1], "template").where(enough).select("template", F.col("low_first").alias("first_id"))
-    return named.select("form", "template").distinct().join(often, "template").select(F.col("form").alias("r_form"), "first_id")
+    named = checkpointed(seen.join(named, F.col("form") == F.col("p_form"), "left").select("form", F.coalesce("template", "form").alias("template"), "n", "first_id"))
+    # only templates of enough documents, related or not, can recur
+    often = named.groupBy("template").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id")).where(F.col("n") >= least)
+    often = often.select(F.col("template").alias("o_template"), "first_id")
+    forms = named.select(F.col("form").alias("o_form"), "template").join(often, F.col("template") == F.col("o_template")).select("o_form", "template", "first_id")
+    hits = lines.select("doc_id", "text_key", "form").join(forms, F.col("form") == F.col("o_form"))
+    by_doc = checkpointed(hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("form", "template", "first_id")).alias("hits")))
+    described = by_doc.join(sketches(docs, leading, least_tokens), (F.col("doc_id") == F.col("s_id")) & (F.col("text_key") == F.col("s_key")))
+    described = described.select("sketch", F.array_distinct(F.col("hits.template")).alias("templates"))
+    picks = described.mapInPandas(_picked(least), "template long, full boolean, picks array<binary>")
+    picks = picks.repartition(partitions(docs), "template").sortWithinPartitions("template")
+    recurring = picks.mapInPandas(_merged(least), "r_template long")
+    each = by_doc.select("doc_id", "text_key", F.explode("hits").alias("hit")).select("doc_id", "text_key", "hit.*").where("doc_id > first_id")
+    return each.join(recurring, F.col("template") == F.col("r_template")).select("doc_id", "text_key", "form")
 
 
 def drop_templates(docs: DataFrame, leading: int = LEADING, least_tokens: int = LEAST_TOKENS, similarity: float = SIMILARITY, families: float = FAMILIES) -> DataFrame:
@@ -158,9 +275,7 @@ def drop_templates(docs: DataFrame, leading: int = LEADING, least_tokens: int =
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     slim = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc_id"), key.alias("text_key"), "text")
-    recurring = checkpointed(recurring_forms(slim, leading, least_tokens, similarity, families))
-    lines = parsed_lines(slim, leading, least_tokens).select("doc_id", "text_key", "form")
-    gone = lines.join(recurring, F.col("form") == F.col("r_form")).where("doc_id > first_id")
+    gone = recurring_lines(slim, leading, least_tokens, similarity, families)
     gone = gone.groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).agg(F.collect_set("form").alias("g_forms"))  # of one document
     row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     rows = docs.drop("n_lines", "n_dropped").withColumns({"g_doc": row_id, "g_text": key})

@@ -31,3 +31,39 @@ def test_recurring_templates_go_and_copies_stay(spark):
     for i in list(range(100, 130)) + [200, 201, 202]:
         assert out[i]["text"] == text[i]
     assert lt.drop_templates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_lines_of_shared_blocks_go_and_near_copies_add_nothing(spark):
+    rng = random.Random(8)
+    vocabulary = [a + b + c + d for a in "bdfgk" for b in "aeiou" for c in "lmnrs" for d in "aeiou"]
+
+    def lines(n):
+        return [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(6, 12))) for _ in range(n)]
+
+    def edited(line):
+        words = line.split()
+        words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        return " ".join(words)
+
+    blocks = {n: lines(n) for n in (6, 10, 20)}
+    docs, at = [], 0
+    for n, own in ((6, 3), (10, 3), (20, 10)):
+        for _ in range(60):
+            docs.append((at, lines(own) + blocks[n]))
+            at += 1
+    hot, passage = lines(1)[0], lines(8)
+    for _ in range(20):
+        docs.append((at, lines(4) + [hot]))
+        at += 1
+    first_copy = at
+    for i in range(300):  # near copies: one line in eight has another word
+        k = i % 8
+        docs.append((at, [edited(x) if j == k else x for j, x in enumerate(passage)] + [hot]))
+        at += 1
+    out = {r["doc_id"]: r for r in lt.drop_templates(spark.createDataFrame([Row(doc_id=i, text="\n".join(x)) for i, x in docs])).collect()}
+    for g, (n, own) in enumerate(((6, 3), (10, 3), (20, 10))):
+        assert [out[i]["n_dropped"] for i in range(60 * g, 60 * g + 60)] == [0] + [n] * 59
+        assert all(out[i]["text"] == "\n".join(docs[i][1][:own]) for i in range(60 * g + 1, 60 * g + 60))
+    assert [out[i]["n_dropped"] for i in range(180, 200)] == [0] + [1] * 19
+    for i in range(first_copy, at):  # the near copies lose the line that recurs elsewhere and nothing else
+        assert out[i]["text"] == "\n".join(docs[i][1][:-1])
