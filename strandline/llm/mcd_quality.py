@@ -133,7 +133,7 @@ def _distances(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     return out.select(*rows.columns, "d2")
 
 
-def judge(docs: DataFrame, share: float = 0.75, steps: int = 5, tail: float = 1e-6, least: int = 50) -> DataFrame:
+def judge(docs: DataFrame, share: float = 0.75, steps: int = 5, tail: float = 0.01, least: int = 50) -> DataFrame:
     """The base counts with base_failed, distance2 and kept, one row for each document.
 
     Null texts are empty (base_failed). Null languages and sources are values like others. Groups of fewer than

@@ -52,3 +52,23 @@ def test_counts_and_verdicts(spark):
 def test_quantiles_and_no_rows(spark):
     assert mcd.chi2_quantile(0.975, 4) == pytest.approx(11.1433, abs=1e-3)
     assert mcd.judge(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
+
+
+def test_symbol_densities_near_the_cut(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+
+    def text(n, symbols):
+        words = [rng.choice(vocabulary) for _ in range(n)]
+        for i in rng.sample(range(n), round(symbols * n)):
+            words[i] += "#"
+        return " ".join(words)
+
+    docs = [(i, text(300, 0.0), "plain") for i in range(200)]
+    docs += [(1000 + i, text(2236, 1093 / 2236), "dense") for i in range(10)]
+    docs += [(2000 + i, text(1000, 0.486), "dense") for i in range(10)]
+    docs += [(3000 + i, text(1000, 0.05), "light") for i in range(10)]
+    df = spark.createDataFrame([Row(doc_id=i, text=t, lang="en", source="s") for i, t, _ in docs])
+    kept = {r["doc_id"]: r["kept"] for r in mcd.judge(df).collect()}
+    for kind, want in (("plain", True), ("dense", False), ("light", True)):
+        assert all(kept[i] == want for i, _, k in docs if k == kind), kind
