@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import checkpointed, table
 
 TREES, BITS, SHARD_ROWS, RECALL, NEIGHBOURS = 64, 20, 8192, 0.92, 20
+QUERY_BLOCK = 16_384  # queries of a task, on average; every shard is read once for each block
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -110,15 +111,19 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, trees: int = TREES
     of their vectors). Ties in score go to the smaller vec_id. An empty table gives no rows.
     """
     rows = checkpointed(usable(vectors).dropDuplicates(["vec_id"]).withColumn("dim", F.size("v")))
-    shape = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("most")).collect()  # a row for each vector length
+    shape = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("queries"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("most")).collect()  # a row for each vector length
     parts = None
     for s in shape:
         shards = max(1, math.ceil(s["n"] / shard_rows))
         some = rows.where(F.col("dim") == s["dim"])
-        queries = some.where(is_query).select(F.lit(0).alias("one"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+        # a task holds one shard and one block of queries
+        dealt = max(1, math.ceil(s["queries"] / QUERY_BLOCK))
+        block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(dealt)).cast("int")
+        queries = some.where(is_query).select(block.alias("block"), F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
         blocks = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
         base = some.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-        found = base.groupBy("shard").cogroup(blocks.groupBy("shard")).applyInPandas(_search(s["dim"], float(s["most"]), k, shards, trees, bits, recall), FOUND)
+        base = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(dealt - 1))))
+        found = base.groupBy("shard", "block").cogroup(blocks.groupBy("shard", "block")).applyInPandas(_search(s["dim"], float(s["most"]), k, shards, trees, bits, recall), FOUND)
         parts = found if parts is None else parts.unionByName(found)
     if parts is None:
         parts = vectors.sparkSession.createDataFrame([], FOUND)

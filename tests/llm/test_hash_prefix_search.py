@@ -26,3 +26,26 @@ def test_recall_scores_and_edges(spark):
     assert hit / 600 >= 0.9
     assert set(got) == set(range(0, 1200, 20))
     assert hps.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_no_task_holds_more_than_a_block_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.standard_normal((800, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def got():
+        return sorted(tuple(r) for r in hps.search(df, F.col("vec_id") % 2 == 0, k=5, shard_rows=400, recall=1.0).select("query_id", "rank", "vec_id").collect())
+
+    whole = got()
+    monkeypatch.setattr(hps, "QUERY_BLOCK", 40, raising=False)
+    assert got() == whole
+
+    def sizes(*_):
+        def run(base, queries):
+            return queries[["query_id"]].assign(vec_id=base["vec_id"].min(), score=float(len(queries)))
+
+        return run
+
+    monkeypatch.setattr(hps, "_search", sizes)
+    seen = hps.search(df, F.col("vec_id") % 2 == 0, k=5, shard_rows=400).collect()
+    assert len({r["query_id"] for r in seen}) == 400 and max(r["score"] for r in seen) <= 80
