@@ -137,113 +137,147 @@ def known_texts(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """c_id: documents whose words are those of a document with a smaller doc_id (128-bit digests are compared)."""
-    same = F.unhex(F.md5(F.trim(F.regexp_replace("text", GAP, " ")).cast("binary")))
-    keyed = docs.select("doc_id", same.alias("same"))
-    first = keyed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").select("same", "rep")
-    return keyed.join(first, "same").where("doc_id > rep").select(F.col("doc_id").alias("c_id")).distinct()
-
-
-def repeated_windows(docs: DataFrame, dealt: DataFrame, copied: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, starts: word positions of the windows that also start in a document with a smaller doc_id; copies are
-    left out, since a smaller document has all their windows. ``dealt``: docs dealt by doc_id, one exchange for all
-    that needs the texts."""
-
-    def seen_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
+def _read(window: int):
+    """Digest of the words and the super-windows of every text: anchors as int64, windows of each as one byte. The
+    runs follow each other without a gap, so their first windows are sums of the windows before."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            a, k = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for text in batch["text"]:
+            rows = []
+            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 words = words_of(text)
-                anchor = np.unique(super_windows(hashes.of(words), window)[0])
-                a.append(anchor)
-                k.append(np.full(len(anchor), xxhash.xxh3_64_intdigest(b" ".join(words)) >> 16))
-            yield pd.DataFrame({"anchor": np.concatenate(a), "of": np.concatenate(k)})
+                anchor, _, count = super_windows(hashes.of(words), window)
+                rows.append((doc_id, hashlib.blake2b(b" ".join(words), digest_size=16).digest(), anchor.tobytes(), count.astype(np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "same", "anchors", "counts"])
 
-    def spans_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for batch in batches:
-            out = [[np.empty(0, np.int64)] for _ in range(4)]
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                anchor, first, count = super_windows(hashes.of(words_of(text)), window)
-                for o, values in zip(out, (anchor, np.full(len(anchor), doc_id), first, count), strict=True):
-                    o.append(values)
-            yield pd.DataFrame(dict(zip(("anchor", "doc_id", "first", "n"), map(np.concatenate, out), strict=True)))
+    return run
 
-    # anchors in two or more different texts; copies of a text count once
-    seen = docs.select("text").mapInPandas(seen_in, "anchor long, of long")
-    shared = stored(seen.groupBy("anchor").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("anchor"), "shared anchors")
-    spans = docs.mapInPandas(spans_of, "anchor long, doc_id long, first int, n int").join(shared, "anchor", "left_semi")
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "first", "n")).alias("spans"))  # of one document
-    spans = stored(spans.join(copied, F.col("doc_id") == F.col("c_id"), "left_anti"), "spans")
-
-    def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sent: set[bytes] = set()
+
+def _anchors_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """anchor, of (a hash of the text), n: a row for each anchor of a text."""
+    for batch in batches:
+        per = np.array([len(c) for c in batch["counts"]], np.int64)
+        anchor = np.frombuffer(b"".join(batch["anchors"]), np.int64)
+        of = np.frombuffer(b"".join(s[:8] for s in batch["same"]), np.int64) >> 16
+        order = np.lexsort((anchor, np.repeat(np.arange(len(batch)), per)))
+        anchor, of = anchor[order], np.repeat(of, per)
+        at = np.flatnonzero(np.append(True, (np.diff(anchor) != 0) | (np.diff(of) != 0))) if len(anchor) else np.empty(0, np.int64)
+        yield pd.DataFrame({"anchor": anchor[at], "of": of[at], "n": np.diff(np.append(at, len(anchor)))})
+
+
+def _spans_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """anchor, doc_id, span: a row for each super-window; span is its first window and its number of windows."""
+    for batch in batches:
+        per = np.array([len(c) for c in batch["counts"]], np.int64)
+        count = np.frombuffer(b"".join(batch["counts"]), np.uint8).astype(np.int64)
+        ends = np.cumsum(count)
+        before = np.repeat(np.append(0, ends)[np.append(0, np.cumsum(per))[:-1]], per) if len(count) else count
+        yield pd.DataFrame({"anchor": np.frombuffer(b"".join(batch["anchors"]), np.int64), "doc_id": np.repeat(batch["doc_id"].to_numpy(np.int64), per), "span": (ends - count - before) * 256 + count})
+
+
+def _passages(window: int):
+    """anchor, seq, doc_id, first, passage of every span that may recur. A task sends the words of a passage once, and
+    again only for a smaller doc_id. Spans of a hot anchor are parted into their windows, each its own anchor."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        sent: dict[tuple[int, int], int] = {}
         for batch in batches:
             rows = []
             for doc_id, text, found in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
                 words = words_of(text)
                 for span in found:
-                    first = span["first"]
-                    passage = b" ".join(words[first : first + span["n"] + window - 1])
-                    seq = hashlib.blake2b(passage, digest_size=16).digest()
-                    if len(sent) > 200_000:
-                        sent.clear()
-                    rows.append((span["anchor"], seq, doc_id, first, None if seq in sent else passage))
-                    sent.add(seq)
+                    anchor, (first, n) = span["anchor"], divmod(span["span"], 256)
+                    for lo, size in [(first + i, 1) for i in range(n)] if span["hot"] else [(first, n)]:
+                        if lo + size + window - 1 > len(words):  # of another row with this doc_id
+                            continue
+                        passage = b" ".join(words[lo : lo + size + window - 1])
+                        seq = xxhash.xxh3_64_intdigest(passage)
+                        seq -= (seq >> 63) << 64
+                        key = (seq if span["hot"] else anchor, seq)
+                        if len(sent) > 200_000:
+                            sent.clear()
+                        fresh = sent.get(key, doc_id + 1) > doc_id
+                        if fresh:
+                            sent[key] = doc_id
+                        rows.append((*key, doc_id, lo, passage if fresh else None))
             yield pd.DataFrame(rows, columns=["anchor", "seq", "doc_id", "first", "passage"])
 
-    found = dealt.join(spans, "doc_id").mapInPandas(passages, "anchor long, seq binary, doc_id long, first int, passage binary")
+    return run
+
+
+def _search(window: int, shard_words: int):
+    """seq, least: shards of whole anchors, from rows sorted by anchor and seq, each through its own FM-index."""
 
     def distinct(rows: pd.DataFrame) -> pd.DataFrame:
-        """A row for each passage: its least document, and the words if any of the rows has them."""
-        return rows.groupby("seq", sort=False, as_index=False).agg(anchor=("anchor", "first"), doc_id=("doc_id", "min"), passage=("passage", "first"))
+        return rows.groupby(["anchor", "seq"], sort=False, as_index=False).agg(doc_id=("doc_id", "min"), passage=("passage", "first"))
+
+    def shard(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = distinct(pd.concat(parts))
+        found = first_seen(rows["passage"].tolist(), rows["doc_id"].to_numpy(np.int64), window)
+        return pd.DataFrame({"l_anchor": rows["anchor"].to_numpy(np.int64), "l_seq": rows["seq"].to_numpy(np.int64), "least": found})
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         size, last = 0, None
-        for batch in batches:  # sorted by anchor: a shard takes whole anchors
+        for batch in batches:
             batch = distinct(batch)
+            if not len(batch):
+                continue
             anchor = batch["anchor"].to_numpy()
-            total = np.append(0, np.cumsum([p.count(b" ") + 2 if p is not None else 0 for p in batch["passage"]]))
+            total = np.append(0, np.cumsum([p.count(b" ") + 2 for p in batch["passage"]]))
             turns, cut = (np.flatnonzero(np.diff(anchor)) + 1).tolist(), 0
-            fresh = len(anchor) > 0 and last is not None and anchor[0] != last
-            for at in [0, *turns] if fresh else turns:
-                if size + total[at] - total[cut] >= SHARD_WORDS:
-                    yield shard(pd.concat([*held, batch.iloc[cut:at]]))
+            for at in [0, *turns] if last is not None and anchor[0] != last else turns:
+                if size + total[at] - total[cut] >= shard_words:
+                    yield shard([*held, batch.iloc[cut:at]])
                     held, size, cut = [], 0, at
             held.append(batch.iloc[cut:])
             size += int(total[-1] - total[cut])
-            last = anchor[-1] if len(anchor) else last
+            last = anchor[-1]
         if held:
-            yield shard(pd.concat(held))
+            yield shard(held)
+
+    return run
 
-    def shard(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = distinct(rows)
-        found = first_seen(rows["passage"].tolist(), rows["doc_id"].to_numpy(np.int64), window)
-        return pd.DataFrame({"seq": rows["seq"].to_numpy(), "least": found})
 
-    least = found.repartition(partitions(docs), "anchor").sortWithinPartitions("anchor", "seq").mapInPandas(search, "seq binary, least array<long>")
-    hits = found.select("seq", "doc_id", "first").join(least, "seq")
+def repeated_windows(read: DataFrame, dealt: DataFrame, copied: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, starts: word positions of the windows that also start in a document with a smaller doc_id; copies are
+    left out, since a smaller document has all their windows. ``read``: rows of _read; ``dealt``: the texts dealt by
+    doc_id, one exchange for all that needs them. No task holds more than two shards of ``shard_words`` words: an
+    anchor with more passages than that is parted into its windows, which still meet by their own hashes."""
+    # anchors in two or more different texts; copies of a text count once
+    shared = read.mapInPandas(_anchors_of, "anchor long, of long, n long").groupBy("anchor").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.sum("n").alias("n"))
+    shared = stored(shared.where("lo < hi").select(F.col("anchor").alias("s_anchor"), (F.col("n") * (2 * window - ANCHOR) > shard_words).alias("hot")), "shared anchors")
+    spans = read.mapInPandas(_spans_of, "anchor long, doc_id long, span long").join(shared, F.col("anchor") == F.col("s_anchor"))
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "span", "hot")).alias("spans"))  # of one document
+    spans = spans.join(copied, F.col("doc_id") == F.col("c_id"), "left_anti")
+    found = stored(dealt.join(spans, "doc_id").mapInPandas(_passages(window), "anchor long, seq long, doc_id long, first int, passage binary"), "passages")
+    fresh = found.where(F.col("passage").isNotNull()).select("anchor", "seq", "doc_id", "passage")
+    least = fresh.repartition(partitions(read), "anchor").sortWithinPartitions("anchor", "seq").mapInPandas(_search(window, shard_words), "l_anchor long, l_seq long, least array<long>")
+    hits = found.select("anchor", "seq", "doc_id", "first").join(least, (F.col("seq") == F.col("l_seq")) & (F.col("anchor") == F.col("l_anchor")))
     starts = F.filter(F.transform("least", lambda d, i: F.when(d < F.col("doc_id"), F.col("first") + i)), lambda s: s.isNotNull())
     hits = hits.select("doc_id", starts.alias("starts")).where(F.size("starts") > 0)
     return hits.groupBy("doc_id").agg(F.flatten(F.collect_list("starts")).alias("starts"))  # of one document
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, text (kept words joined by one space), n_words, n_removed, kept_sha256 for each document.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, text (kept words joined by one space), n_words, n_removed, kept_sha256 for each document; windows of
+    13 words unless stated, of at most 255.
 
     A word goes if a window that covers it also starts in a document with a smaller doc_id. Documents without a
     doc_id and null texts lose nothing; rows that share a doc_id do not count against each other. Texts shorter
     than a window are left. An empty table gives no rows; other columns are ignored.
     """
     known = known_texts(docs)
-    copied = stored(copies(known), "copies")
+    read = stored(known.mapInPandas(_read(window), "doc_id long, same binary, anchors binary, counts binary"), "super-windows")
+    # documents whose words are those of a document with a smaller doc_id (128-bit digests are compared)
+    first = read.groupBy("same").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep < last").select("same", "rep")
+    copied = read.select("doc_id", "same").join(first, "same").where("doc_id > rep").select(F.col("doc_id").alias("c_id")).distinct()
+    copied = stored(copied, "copies")
     dealt = known.repartition(partitions(docs), "doc_id")
-    starts = repeated_windows(known, dealt, copied, window).select(F.col("doc_id").alias("r_id"), "starts")
+    starts = repeated_windows(read, dealt, copied, window, shard_words).select(F.col("doc_id").alias("r_id"), "starts")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -259,7 +293,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     at = at[at + window <= n]  # rows of one doc_id may differ in length
                     gone[at] += 1
                     gone[at + window] -= 1
-                    kept = [w for w, g in zip(words, np.cumsum(gone)[:n], strict=True) if not g]
+                    kept = [w for w, g in zip(words, np.cumsum(gone)[:n].tolist(), strict=True) if not g]
                 data = b" ".join(kept)
                 rows.append((doc_id, data.decode("utf-8", "replace"), n, n - len(kept), hashlib.sha256(data).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "text", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64"})
@@ -273,3 +307,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op7_fm_substrings(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("text")
+
+
+#: doc_ids of the table are unique, as the query takes them.
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM d WHERE len(ws) >= 13),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM w),
+f AS (SELECT k, min(doc_id) AS least FROM k GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS p FROM k JOIN f USING (k) WHERE least < doc_id),
+p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM d),
+kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.p) AS text, count(*) AS n FROM p ANTI JOIN gone ON p.doc_id = gone.doc_id AND p.p = gone.p GROUP BY p.doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

@@ -34,4 +34,6 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_fm_substrings": fm_substrings.OP7_SQL,
+    }

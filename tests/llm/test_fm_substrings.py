@@ -61,9 +61,10 @@ def test_removal_matches_brute_force(spark):
     docs = corpus()
     df = spark.createDataFrame([Row(doc_id=i, text=t, first=1, spans="x") for i, t in docs])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in fm.remove_repeats(df).collect()}
+    for shard_words in (fm.SHARD_WORDS, 60):  # the small shards part most anchors into windows
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in fm.remove_repeats(df, shard_words=shard_words).collect()}
+        assert got == brute(docs)
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert got == brute(docs)
 
 
 def test_no_rows_and_no_ids(spark):
