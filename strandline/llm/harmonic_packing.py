@@ -41,7 +41,8 @@ class TokenBytes(dict):
     """Ids of white-space-free chunks as little-endian unsigned 32-bit; the vocabulary never joins across such gaps.
 
     Chunks and their pre-tokens are kept for as many as fit the bound. Pre-tokens of Latin chunks go straight to
-    the tokenizer's model; all other chunks take its whole path (normaliser and pre-tokenizer included).
+    the tokenizer's model; all other chunks, and those that hold an added token's text (one id wherever it stands), take
+    its whole path (added tokens, normaliser and pre-tokenizer included).
     """
 
     def __init__(self, path: str, bound: int = 800_000):
@@ -51,7 +52,7 @@ class TokenBytes(dict):
         super().__init__()
         self.bound, self.pieces = bound, {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())  # a handful; none has white space
         self.model, self.split = self.tokenizer.model, regex.compile(PRE_TOKEN).findall
 
     def piece(self, piece: str) -> bytes:
@@ -67,7 +68,7 @@ class TokenBytes(dict):
         if len(self) >= self.bound:
             self.clear()
         text = chunk.decode("utf-8", "replace")
-        if max(text) < "\u0250":  # precomposed Latin letters: composing changes nothing, lower case is by character
+        if max(text) < "\u0250" and not any(t in text for t in self.added):  # precomposed Latin letters: composing changes nothing, lower case is by character
             value = b"".join(map(self.piece, self.split(text.lower())))
         else:
             value = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

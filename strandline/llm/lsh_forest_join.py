@@ -1,11 +1,13 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
-A document is the set of its five-word shingles. Each tree of the forest is the sorted trie of one signature of
-min-hashes; two documents are candidates if they share a prefix in any tree, and the prefix is shortened from the
-full signature until the expected recall at the similarity threshold reaches the target. Prefix groups become star
-edges (never pairs), their components are verified exactly: within a component the shingle sets are bit rows, and
-intersections are counted tile by tile, so that no task holds more than two blocks of a component and no pairs are
-emitted. Verified links give each document its number of links and spanning edges of its class.
+A document is the set of its five-word shingles. Each tree of the forest is the prefix trie of one signature of
+``depth`` min-hashes; its nodes at a depth are the groups of texts with equal prefixes of that length. The join starts
+with whole signatures. Members of a node become star edges (never pairs), whose components are verified exactly: within
+a component the shingle sets are bit rows, and intersections are counted tile by tile, so that no task holds more than
+two blocks of a component and no pairs are emitted. How many links were missed follows from those found: a link of
+similarity s shares a prefix of length d in some of t trees with probability 1 - (1 - s^d)^t. As long as the recall
+so estimated is below the target, the prefixes are shortened by one and their wider nodes are verified.
+Verified links give each document its number of links and spanning edges of its class.
 """
 
 from __future__ import annotations
@@ -18,18 +20,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordHashes, checkpointed, grouped_stream, mix64, partitions, table, window_hashes, words_of
+from strandline.llm.common import WordHashes, checkpointed, grouped_stream, partitions, table, window_hashes, words_of
 from strandline.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL, BLOCK = 32, 8, 0.9999, 1500
 
 
-def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
-    """The longest prefix, shortened from the full signature, with which the forest's expected recall is enough."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def estimated_recall(found: dict[float, int], threshold: float, trees: int, depth: int) -> float:
+    """Share of the links that prefixes of this length meet, from the numbers of links found by similarity. One link
+    at the threshold is counted besides, so that a table with few links is not judged by easy ones alone."""
+    links = [*found.items(), (threshold, 1)]
+    met = [(n, 1 - (1 - s**depth) ** trees) for s, n in links]
+    return sum(n for n, _ in met) / sum(n / p for n, p in met)
 
 
 def shingles(words: list[bytes], hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
@@ -39,53 +42,60 @@ def shingles(words: list[bytes], hashes: WordHashes, size: int = SHINGLE) -> np.
 
 
 class Forest:
-    """Min-hash prefixes of all trees for a shingle set."""
+    """Signatures of all trees for a shingle set: ``depth`` min-hashes each, 16 bits of every one."""
 
-    def __init__(self, trees: int, prefix: int, seed: int = 5):
+    def __init__(self, trees: int, depth: int, seed: int = 5):
         rng = np.random.default_rng(seed)
-        n = trees * prefix
-        self.trees, self.prefix = trees, prefix
+        n = trees * depth
         self.mul = (rng.integers(0, 2**31, n, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
         self.add = rng.integers(0, 2**32, n, dtype=np.uint32)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
+    def signatures(self, s: np.ndarray) -> bytes:
         x = (s >> np.uint64(32)).astype(np.uint32) ^ s.astype(np.uint32)
         least = np.full(len(self.mul), 2**32 - 1, np.uint32)
         for at in range(0, len(x), 512):
             y = x[at : at + 512, None] * self.mul + self.add
             y ^= y >> np.uint32(15)
             np.minimum(least, y.min(axis=0), out=least)
-        h = least.astype(np.uint64).reshape(self.trees, self.prefix)
-        acc = np.arange(self.trees, dtype=np.uint64)
-        for level in range(self.prefix):  # descend the trie
-            acc = mix64(acc * np.uint64(0x9E3779B97F4A7C15) + h[:, level])
-        return acc.astype(np.int64)
+        return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16).tobytes()  # the low ends of minima alone are even
 
 
-def _sketch(trees: int, prefix: int):
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _sketch(trees: int, depth: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, forest = WordHashes(), Forest(trees, prefix)
+        hashes, forest = WordHashes(), Forest(trees, depth)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 words = words_of(text)
                 if words:
-                    key = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
-                    rows.append((doc_id, key, forest.keys(shingles(words, hashes)).tolist()))
-            yield pd.DataFrame(rows, columns=["doc_id", "same", "keys"])
+                    rows.append((doc_id, _digest(words), forest.signatures(shingles(words, hashes))))
+            yield pd.DataFrame(rows, columns=["doc_id", "same", "sig"])
 
     return run
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
+    """Shingle sets of the rows whose text is the wanted one; repeated rows of a task once."""
+    hashes, seen = WordHashes(), set()
     for batch in batches:
-        batch["shingles"] = [shingles(words_of(t), hashes).tobytes() for t in batch["text"]]
-        yield batch[["comp", "ti", "tj", "blk", "rep", "copies", "shingles"]]
-
-
-def links_of(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, threshold: float, cross: bool) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Verified links of each set (copies counted) and spanning edges; with ``cross`` only between blocks."""
+        rows = []
+        for comp, ti, tj, blk, rep, copies, same, text in batch.itertuples(index=False):
+            words = words_of(text)
+            if (rep, ti, tj) not in seen and _digest(words) == bytes(same):
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen.add((rep, ti, tj))
+                rows.append((comp, ti, tj, blk, rep, copies, shingles(words, hashes).tobytes()))
+        yield pd.DataFrame(rows, columns=["comp", "ti", "tj", "blk", "rep", "copies", "shingles"])
+
+
+def links_of(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, threshold: float, cross: bool) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """Verified links of each set (copies counted), spanning edges and numbers of links by similarity in hundredths
+    (rounded down); with ``cross`` only between blocks."""
     m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     values, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -102,7 +112,7 @@ def links_of(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, thre
         np.bitwise_or.at(bits, (owner[here], cols >> 6), np.uint64(1) << (cols & 63).astype(np.uint64))
         for i in range(m - 1):
             both[i, i + 1 :] += np.bitwise_count(bits[i] & bits[i + 1 :]).sum(axis=1, dtype=np.int32)
-    links, parent, edges = np.zeros(m, np.int64), list(range(m)), []
+    links, parent, edges, near = np.zeros(m, np.int64), list(range(m)), [], np.zeros(101, np.int64)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -111,9 +121,11 @@ def links_of(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, thre
 
     for i in range(m - 1):
         inter = both[i, i + 1 :]
-        ok = inter >= threshold * (size[i] + size[i + 1 :] - inter) - 1e-9
+        union = size[i] + size[i + 1 :] - inter
+        ok = inter >= threshold * union - 1e-9
         if cross:
             ok &= block[i + 1 :] != block[i]
+        near += np.bincount(100 * inter[ok] // union[ok], minlength=101)
         j = np.flatnonzero(ok) + i + 1
         links[i] += copies[j].sum()
         links[j] += copies[i]
@@ -122,56 +134,88 @@ def links_of(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, thre
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 edges.append((i, x))
-    return links, edges
+    return links, edges, near
 
 
 def _verify(threshold: float):
+    """a, b, n: n links of a where a = b, a spanning edge where they differ, and without a: n links of similarity b / 100."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in grouped_stream(batches, ["comp", "ti", "tj"]):
+            g = g.drop_duplicates("rep")
             sets = [np.frombuffer(s, np.uint64) for s in g["shingles"]]
-            links, edges = links_of(sets, g["blk"].to_numpy(), g["copies"].to_numpy(np.int64), threshold, bool(g["ti"].iloc[0] != g["tj"].iloc[0]))
-            rep = g["rep"].to_numpy(np.int64)
-            first = np.arange(len(rep))
-            yield pd.DataFrame({"a": np.append(rep, [rep[i] for i, _ in edges]).astype(np.int64), "b": np.append(rep[first], [rep[j] for _, j in edges]).astype(np.int64), "n": np.append(links, np.zeros(len(edges), np.int64)).astype(np.int64)})
+            links, edges, near = links_of(sets, g["blk"].to_numpy(), g["copies"].to_numpy(np.int64), threshold, bool(g["ti"].iloc[0] != g["tj"].iloc[0]))
+            rep, some = g["rep"].to_numpy(np.int64), np.flatnonzero(near)
+            rows = [*zip(rep, rep, links), *((rep[i], rep[j], 0) for i, j in edges), *((None, s, near[s]) for s in some)]
+            yield pd.DataFrame(rows, columns=["a", "b", "n"]).astype("Int64")
 
     return run
 
 
+def verified_links(texts: DataFrame, known: DataFrame, trees: int, depth: int, prefix: int, threshold: float, block: int) -> DataFrame:
+    """Rows of _verify for the texts that share a prefix of this length in any tree."""
+    width = 2 * depth  # bytes of a signature
+    node = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * width + 1, F.lit(2 * prefix))))
+    nodes = texts.select("rep", F.explode(node).alias("node"))
+    # nodes as stars around their smallest member; their members never meet in a task
+    heads = nodes.groupBy("node").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("node", "head")
+    stars = nodes.join(heads, "node").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    comps = checkpointed(components(stars))
+    sizes = comps.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).withColumnRenamed("root", "comp")
+    members = comps.select(F.col("node").alias("rep"), F.col("root").alias("comp")).join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    members = members.join(texts.select("rep", "copies", "same", "least"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = members.select("comp", F.least("blk", "other").alias("ti"), F.greatest("blk", "other").alias("tj"), "blk", "rep", "copies", "same", "least")
+    texted = tiles.join(known, F.col("least") == F.col("doc_id")).select("comp", "ti", "tj", "blk", "rep", "copies", "same", "text")
+    sets = texted.mapInPandas(_sets, "comp long, ti int, tj int, blk int, rep long, copies long, shingles binary")
+    dealt = sets.repartition(partitions(known), "comp", "ti", "tj").sortWithinPartitions("comp", "ti", "tj", "rep")
+    return checkpointed(dealt.mapInPandas(_verify(threshold), "a long, b long, n long"))
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """doc_id, class_id (smallest doc_id linked with it, over any number of links), n_links (other documents with a
     similarity of at least ``threshold``; exact copies count) for each document with a doc_id.
 
     Documents with the same words are copies; null, empty and word-less texts are alone (no links), as are rows
-    without a doc_id, which are returned with a null class. Rows that repeat a doc_id and text are returned as
-    often, counted as copies. An empty table gives no rows; other columns are ignored.
+    without a doc_id, which are returned with a null class. Every row is a document: rows that repeat a doc_id are
+    returned as often, and count as copies of each other if their words agree. An empty table gives no rows; other
+    columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    sketches = checkpointed(known.mapInPandas(_sketch(trees, prefix_length(threshold, trees, depth, recall)), "doc_id long, same binary, keys array<long>"))
-    copies = sketches.groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    copies = checkpointed(copies)
-    reps = sketches.join(copies, "same").where("doc_id = rep").dropDuplicates(["rep", "same"])
-    nodes = reps.select("rep", F.explode("keys").alias("node"))
-    # prefix groups as stars around their smallest member; a group's members never meet in a task
-    heads = nodes.groupBy("node").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("node", "head")
-    stars = nodes.join(heads, "node").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
-    comps = checkpointed(components(stars))
-    sizes = comps.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).withColumnRenamed("root", "comp")
-    members = comps.select(F.col("node").alias("rep"), F.col("root").alias("comp")).join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = members.select("comp", "rep", "blk", F.least("blk", "other").alias("ti"), F.greatest("blk", "other").alias("tj"))
-    tiles = tiles.join(copies.select("rep", "copies").dropDuplicates(["rep"]), "rep")
-    text = known.select(F.col("doc_id").alias("rep"), "text")
-    sets = tiles.join(text, "rep").mapInPandas(_sets, "comp long, ti int, tj int, blk int, rep long, copies long, shingles binary")
-    dealt = sets.repartition(partitions(docs), "comp", "ti", "tj").sortWithinPartitions("comp", "ti", "tj", "rep")
-    verified = checkpointed(dealt.mapInPandas(_verify(threshold), "a long, b long, n long"))
+    sketches = checkpointed(known.mapInPandas(_sketch(trees, depth), "doc_id long, same binary, sig binary"))
+    texts = sketches.groupBy("same").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))  # copies agree in sig
+    texts = checkpointed(checkpointed(texts).withColumn("rep", F.monotonically_increasing_id()))  # numbers of rows that lie fixed
+    for prefix in range(depth, 0, -1):
+        verified = verified_links(texts, known, trees, depth, prefix, threshold, block)
+        found = {r["b"] / 100: r["n"] for r in verified.where("a IS NULL").groupBy("b").agg(F.sum("n").alias("n")).collect()}  # hundredths
+        if estimated_recall(found, threshold, trees, prefix) >= recall:
+            break
     links = verified.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    classes = components(verified.where("a <> b").select("a", "b")).select(F.col("node").alias("rep"), F.col("root").alias("class"))
-    by_copy = copies.join(links, "rep", "left").join(classes, "rep", "left")
-    found = sketches.select("doc_id", "same").join(by_copy, "same").select(F.col("doc_id"), F.coalesce("class", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    rooted = components(verified.where("a <> b").select("a", "b")).select(F.col("node").alias("rep"), "root")
+    first = rooted.join(texts.select("rep", "least"), "rep").groupBy("root").agg(F.min("least").alias("class"))
+    by_text = texts.select("rep", "same", "least", "copies").join(links, "rep", "left").join(rooted.join(first, "root").select("rep", "class"), "rep", "left")
+    by_text = by_text.select("same", F.coalesce("class", "least").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    found = sketches.select("doc_id", "same").join(by_text, "same").select("doc_id", "class_id", "n_links")
     hollow = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) | F.col("doc_id").isNull())
     return found.unionByName(hollow.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def op2_lsh_forest_join(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+#: doc_ids of the table are unique.
+OP2_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT array_to_string(ws, ' ') AS k, any_value(ws) AS ws, min(doc_id) AS t, count(*) AS copies FROM d WHERE len(ws) > 0 GROUP BY 1),
+w AS (SELECT t, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM t),
+s AS (SELECT DISTINCT t, hash(array_to_string(ws[i:i + 4], ' ')) AS s FROM w),
+n AS (SELECT t, count(*) AS n FROM s GROUP BY t),
+p AS (SELECT a.t AS a, b.t AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.t <> b.t GROUP BY a.t, b.t),
+l AS (SELECT a, b FROM p JOIN n x ON x.t = a JOIN n y ON y.t = b WHERE c >= 0.8 * (x.n + y.n - c)),
+r(t, least) AS (SELECT t, t FROM t UNION SELECT l.b, r.least FROM r JOIN l ON r.t = l.a),
+c AS (SELECT t, min(least) AS class_id FROM r GROUP BY t),
+k AS (SELECT a AS t, sum(copies) AS links FROM l JOIN t ON t.t = l.b GROUP BY a)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(copies - 1 + coalesce(links, 0), 0)::BIGINT AS n_links
+FROM d LEFT JOIN t ON t.k = array_to_string(d.ws, ' ') AND len(d.ws) > 0 LEFT JOIN c ON c.t = t.t LEFT JOIN k ON k.t = t.t
+"""

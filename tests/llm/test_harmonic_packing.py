@@ -5,14 +5,13 @@ from pyspark.sql import Row
 
 from strandline.llm import harmonic_packing as hp
 
-TEXTS = [None, "", "plain words", "it's <|endoftext|> İ ΑΣ é\xa0x 12ab 中文", "word another " * 3000, "a " * 4095, "b " * 4096] + [f"text {i} " * i for i in range(1, 60)]
+TEXTS = [None, "", "plain words", "<|endoftext|> hi", "x<|endoftext|>y <|startoftext|><|endoftext|>, <|EndOfText|>", "it's <|endoftext|> İ ΑΣ é\xa0x 12ab 中文", "word another " * 3000, "a " * 4095, "b " * 4096] + [f"text {i} " * i for i in range(1, 60)]
 
 
 def test_round_trip(spark):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(hp.vocabulary_path())
-    tk.encode_special_tokens = True
     docs = spark.createDataFrame([Row(doc_id=i, text=t, idx="clash", part=1) for i, t in enumerate(TEXTS)])
     rows = hp.pack(docs).collect()
     whole = {i: np.asarray(tk.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes() for i, t in enumerate(TEXTS)}

@@ -59,6 +59,25 @@ def test_join_matches_brute_force(spark):
         assert got == want, [(i, got.get(i), want[i]) for i in want if got.get(i) != want[i]][:5]
 
 
-def test_prefix_shortens_and_no_rows(spark):
-    assert lsh.prefix_length(0.8, 32, 8, 0.9999) == 6
+def test_prefixes_shorten_until_the_recall_is_reached(spark):
+    assert lsh.estimated_recall({0.99: 1000}, 0.8, 32, 8) > 0.9999  # whole signatures do for copies with small edits
+    assert lsh.estimated_recall({0.8: 1000}, 0.8, 32, 8) < 0.9999 < lsh.estimated_recall({0.8: 1000}, 0.8, 32, 6)
     assert lsh.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_prefixes_find_what_long_ones_miss(spark):
+    docs = corpus()
+    df = spark.createDataFrame([Row(doc_id=i, text=t) for i, t in enumerate(docs)])
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in lsh.join(df, trees=4, depth=8).collect()}
+    assert got == brute(docs)
+
+
+def test_rows_that_repeat_a_doc_id(spark):
+    a = " ".join(f"w{i}" for i in range(100))
+    b = a.replace("w50 ", "x ")
+    other = " ".join(f"o{i}" for i in range(50))
+    rows = spark.createDataFrame([(1, a), (1, a), (2, b)], "doc_id long, text string")
+    assert sorted(map(tuple, lsh.join(rows).collect())) == [(1, 1, 2), (1, 1, 2), (2, 1, 2)]
+    rows = spark.createDataFrame([(1, a), (1, other), (2, b), (None, a), (3, None)], "doc_id long, text string")
+    got = sorted(map(tuple, lsh.join(rows).collect()), key=str)
+    assert got == sorted([(1, 1, 1), (1, 1, 0), (2, 1, 1), (None, None, 0), (3, 3, 0)], key=str)
