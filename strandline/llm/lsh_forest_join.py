@@ -1,12 +1,14 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
-A document is the set of its five-word shingles. Each tree of the forest is the prefix trie of one signature of
-``depth`` min-hashes; its nodes at a depth are the groups of texts with equal prefixes of that length. The join starts
-with whole signatures. Members of a node become star edges (never pairs), whose components are verified exactly: within
-a component the shingle sets are bit rows, and intersections are counted tile by tile, so that no task holds more than
-two blocks of a component and no pairs are emitted. How many links were missed follows from those found: a link of
-similarity s shares a prefix of length d in some of t trees with probability 1 - (1 - s^d)^t. As long as the recall
-so estimated is below the target, the prefixes are shortened by one and their wider nodes are verified.
+A document is the set of its five-word shingles. Each tree of the forest is a sorted prefix trie: the texts' signatures
+of ``depth`` min-hashes, sorted; equal prefixes are neighbours there. One pass over the sorted signatures links every
+text with the first one of its longest matching prefix and notes that prefix's length, so the links of at least some
+length span the trie's nodes of that depth, as stars and never as pairs. The join starts with whole signatures: linked
+texts form components, which are verified exactly: within a component the shingle sets are bit rows, and
+intersections are counted tile by tile, so that no task holds more than two blocks of a component. How many links were
+missed follows from those found: a link of similarity s shares a prefix of length d in some of t trees with
+probability 1 - (1 - s^d)^t. As long as the recall so estimated is below the target, the matched prefixes are shortened
+by one and the wider components are verified.
 Verified links give each document its number of links and spanning edges of its class.
 """
 
@@ -17,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordHashes, checkpointed, grouped_stream, partitions, table, window_hashes, words_of
+from strandline.llm.common import WordHashes, checkpointed, grouped_stream, mix64, partitions, table, window_hashes, words_of
 from strandline.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -35,6 +38,13 @@ def estimated_recall(found: dict[float, int], threshold: float, trees: int, dept
     return sum(n for n, _ in met) / sum(n / p for n, p in met)
 
 
+def shortest_prefix(threshold: float, trees: int, depth: int, recall: float) -> int:
+    """The longest prefix with which the recall is reached even if all links are just at the threshold."""
+    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+        depth -= 1
+    return depth
+
+
 def shingles(words: list[bytes], hashes: WordHashes, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct shingle hashes; a shorter text is one shingle, an empty one has none."""
     h = hashes.of(words)
@@ -60,6 +70,61 @@ class Forest:
         return ((least * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16).tobytes()  # the low ends of minima alone are even
 
 
+def _nodes(trees: int, depth: int, floor: int):
+    """key, node (tree and signature), rep, head: a row for each text and tree. A text whose whole signature is another
+    one's in its batch has that one as its head and goes anywhere; all others are dealt by the shortest prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            nodes = np.empty((n * trees, depth + 1), np.uint16)
+            nodes[:, 0] = np.tile(np.arange(trees, dtype=np.uint16), n)
+            nodes[:, 1:] = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint16).reshape(n * trees, depth)
+            rep = np.repeat(batch["rep"].to_numpy(), trees)
+            _, first, group = np.unique(nodes.view(f"V{2 * depth + 2}").ravel(), return_index=True, return_inverse=True)
+            head = first[group]
+            follows = head != np.arange(len(rep))
+            key = np.zeros(len(rep), np.uint64)
+            for level in range(floor + 1):
+                key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + nodes[:, level])
+            key[follows] = mix64(rep[follows].astype(np.uint64))
+            width = 2 * depth + 2
+            data = pa.Array.from_buffers(pa.binary(), len(rep), [None, pa.py_buffer(np.arange(0, width * len(rep) + 1, width, dtype=np.int32)), pa.py_buffer(nodes)])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), data, pa.array(rep), pa.array(rep[head], mask=~follows)], ["key", "node", "rep", "head"])
+
+    return run
+
+
+def _tries(depth: int, floor: int):
+    """a, b, shared: from rows of _nodes sorted by node, each text with the first one of its longest matching prefix of
+    at least ``floor`` min-hashes. Holds a batch and the first texts of the present prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, heads = None, np.zeros(depth + 1, np.int64)  # the last node; the first text of its prefix of each length
+        for batch in batches:
+            head = batch["head"].to_pandas()
+            follows = head.notna().to_numpy()
+            rep = batch["rep"].to_numpy()
+            out = [(rep[follows], head[follows].to_numpy(np.int64), np.full(int(follows.sum()), depth))]
+            rep = rep[~follows]
+            if len(rep):
+                nodes = np.frombuffer(b"".join(x for x, f in zip(batch["node"].to_pylist(), follows.tolist(), strict=True) if not f), np.uint16).reshape(len(rep), depth + 1)
+                equal = np.vstack([nodes[:1] == before if before is not None else np.zeros((1, depth + 1), bool), nodes[1:] == nodes[:-1]])
+                shared = np.cumprod(equal, axis=1).sum(axis=1) - 1  # min-hashes shared with the row before; -1: another tree
+                at = np.arange(len(rep))
+                for d in range(floor, depth + 1):
+                    start = np.maximum.accumulate(np.where(shared < d, at, -1))
+                    first = np.where(start < 0, heads[d], rep[start])
+                    mine = shared == d
+                    out.append((rep[mine], first[mine], np.full(int(mine.sum()), d)))
+                    heads[d] = first[-1]
+                before = nodes[-1]
+            a, b, shared = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(shared)], ["a", "b", "shared"])
+
+    return run
+
+
 def _digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
@@ -152,14 +217,15 @@ def _verify(threshold: float):
     return run
 
 
-def verified_links(texts: DataFrame, known: DataFrame, trees: int, depth: int, prefix: int, threshold: float, block: int) -> DataFrame:
-    """Rows of _verify for the texts that share a prefix of this length in any tree."""
-    width = 2 * depth  # bytes of a signature
-    node = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * width + 1, F.lit(2 * prefix))))
-    nodes = texts.select("rep", F.explode(node).alias("node"))
-    # nodes as stars around their smallest member; their members never meet in a task
-    heads = nodes.groupBy("node").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).where("head < last").select("node", "head")
-    stars = nodes.join(heads, "node").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+def prefix_links(texts: DataFrame, trees: int, depth: int, floor: int) -> DataFrame:
+    """a, b, shared: links between texts that span the nodes of all tries down to the depth ``floor``."""
+    nodes = texts.select("rep", "sig").mapInArrow(_nodes(trees, depth, floor), "key long, node binary, rep long, head long")
+    tries = nodes.repartition(partitions(texts), "key").sortWithinPartitions("node").mapInArrow(_tries(depth, floor), "a long, b long, shared long")
+    return checkpointed(tries.groupBy("a", "b").agg(F.max("shared").alias("shared")))
+
+
+def verified_links(texts: DataFrame, known: DataFrame, stars: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Rows of _verify for the components of the links."""
     comps = checkpointed(components(stars))
     sizes = comps.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).withColumnRenamed("root", "comp")
     members = comps.select(F.col("node").alias("rep"), F.col("root").alias("comp")).join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
@@ -185,8 +251,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, dept
     sketches = checkpointed(known.mapInPandas(_sketch(trees, depth), "doc_id long, same binary, sig binary"))
     texts = sketches.groupBy("same").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))  # copies agree in sig
     texts = checkpointed(checkpointed(texts).withColumn("rep", F.monotonically_increasing_id()))  # numbers of rows that lie fixed
-    for prefix in range(depth, 0, -1):
-        verified = verified_links(texts, known, trees, depth, prefix, threshold, block)
+    floor = shortest_prefix(threshold, trees, depth, recall)
+    linked = prefix_links(texts, trees, depth, floor)
+    for prefix in range(depth, floor - 1, -1):
+        verified = verified_links(texts, known, linked.where(F.col("shared") >= prefix).select("a", "b"), threshold, block)
         found = {r["b"] / 100: r["n"] for r in verified.where("a IS NULL").groupBy("b").agg(F.sum("n").alias("n")).collect()}  # hundredths
         if estimated_recall(found, threshold, trees, prefix) >= recall:
             break

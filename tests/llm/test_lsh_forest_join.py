@@ -65,6 +65,35 @@ def test_prefixes_shorten_until_the_recall_is_reached(spark):
     assert lsh.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_tries_span_all_prefix_groups():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    trees, depth, floor, n = 3, 4, 2, 200
+    sig = rng.integers(0, 3, (n, trees, depth)).astype(np.uint16)
+    texts = pa.RecordBatch.from_pydict({"rep": pa.array(range(n), pa.int64()), "sig": [x.tobytes() for x in sig]})
+    rows = pa.Table.from_batches(list(lsh._nodes(trees, depth, floor)([texts.slice(0, 90), texts.slice(90)]))).sort_by("node").combine_chunks()
+    edges = pa.Table.from_batches(list(lsh._tries(depth, floor)(rows.to_batches(max_chunksize=37)))).to_pylist()
+    for d in (floor, 3, 4):
+        parent = list(range(n))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for e in edges:
+            if e["shared"] >= d:
+                parent[root(e["a"])] = root(e["b"])
+                assert (sig[e["a"], :, :d] == sig[e["b"], :, :d]).all(axis=1).any()
+        groups = {}
+        for i in range(n):
+            for t in range(trees):
+                groups.setdefault((t, sig[i, t, :d].tobytes()), set()).add(root(i))
+        assert all(len(g) == 1 for g in groups.values())
+
+
 def test_short_prefixes_find_what_long_ones_miss(spark):
     docs = corpus()
     df = spark.createDataFrame([Row(doc_id=i, text=t) for i, t in enumerate(docs)])
