@@ -1,8 +1,9 @@
 """Line deduplication with a log-template tree.
 
-Lines are parsed to a fixed depth: their number of tokens, then their leading tokens, lead to a leaf. Tokens with
-digits are variable fields from the start; within a leaf, lines that agree in most positions share a template and
-the positions where they differ become variable too. A template recurs if it stands in ``families`` documents
+Lines are parsed to a fixed depth: their number of tokens, then their leading constant tokens, lead to a leaf. Tokens
+with digits are variable fields from the start; within a leaf, lines that agree in most positions share a template and
+the positions where they differ become variable too. A line of variable fields alone has no template. Leaves of many
+distinct lines are parsed in parts of a bounded number, whose templates are then merged. A template recurs if it stands in ``families`` documents
 that are pairwise unrelated. Documents are compared by sketches of their lines (min-hashes of word pairs, so an edited
 line is still found): two are unrelated if each has enough text of its own that the other lacks, whatever they share.
 Tasks pick unrelated documents for each template greedily, stop at ``families``, and their picks are merged by template;
@@ -26,7 +27,8 @@ from pyspark.sql import types as T
 
 from strandline.llm.common import WordHashes, checkpointed, grouped_stream, mix64, partitions, table
 
-LEADING, LEAST_TOKENS, SIMILARITY, FAMILIES = 3, 4, 0.6, 4.0
+LEADING, LEAST_TOKENS, SIMILARITY, FAMILIES = 3, 1, 0.6, 4.0
+LEAF_LINES = 20_000  # distinct lines of a leaf that are parsed at once, on average
 VARIABLE, DIGIT = b"<*>", re.compile(rb"[0-9]").search
 HASHES, MATCHES = 8, 3  # a line is found in a document that has so many of its min-hashes
 SKETCH_LINES = 48  # longer documents are compared by the lines of the smallest min-hashes
@@ -34,17 +36,19 @@ OWN_LINES, OWN_SHARE, OWN_MOST = 2, 0.15, 0.5  # own text: so many lines and sha
 
 
 def parsed(text: str, leading: int, least_tokens: int) -> list[tuple[int, int, bytes] | None]:
-    """(leaf, form, masked line) of each line, or None for lines of fewer tokens; tokens with digits are variable."""
+    """(leaf, form, masked line) of each line, or None for lines of fewer tokens and those without a constant token;
+    tokens with digits are variable. Lines of up to ``leading`` tokens are alone with their like in a leaf."""
     out: list[tuple[int, int, bytes] | None] = []
     for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
-        tokens = line.split()
-        if len(tokens) < least_tokens:
-            out.append(None)
-            continue
+        tokens = constant = line.split()
         if DIGIT(line):
             tokens = [VARIABLE if DIGIT(t) else t for t in tokens]
+            constant = [t for t in tokens if t != VARIABLE]
+        if len(tokens) < least_tokens or not constant:
+            out.append(None)
+            continue
         masked = b" ".join(tokens)
-        leaf = b"%d %s" % (len(tokens), b" ".join(tokens[:leading]))
+        leaf = b"%d %s" % (len(tokens), b" ".join(constant[:leading]))
         out.append((_signed(xxhash.xxh3_64_intdigest(leaf)), _signed(xxhash.xxh3_64_intdigest(masked)), masked))
     return out
 
@@ -75,11 +79,14 @@ def sketch_of(lines: list[bytes], hashes: WordHashes) -> bytes:
     h = hashes.of([t for x in tokens for t in x])
     pairs = h * np.uint64(0x9E3779B97F4A7C15)
     pairs[:-1] += h[1:]
+    single = sizes == 1
+    pairs[ends[single] - 1] = h[ends[single] - 1]  # a token alone stands for itself
+    last = ends[~single] - 1
     rows = np.empty((len(lines), HASHES + 1), np.uint32)
     rows[:, 0] = sizes
     for k in range(HASHES):
         mixed = mix64(pairs + np.uint64(0x632BE59BD9B4E019 * (k + 1) % (1 << 64))) >> np.uint64(32)
-        mixed[ends - 1] = 0xFFFFFFFF  # the pairs across two lines
+        mixed[last] = 0xFFFFFFFF  # the pairs across two lines
         rows[:, k + 1] = np.minimum.reduceat(mixed, ends - sizes)
     limit = 0xFFFFFFFF
     if len(rows) > SKETCH_LINES:
@@ -225,18 +232,40 @@ def templates_of(lines: list[list[bytes]], similarity: float) -> list[int]:
 
 
 def _parse(similarity: float):
+    """leaf, form, template (the form of its first line) and pattern (the template's line) of each line, by part of a leaf."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for leaf in grouped_stream(batches, ["leaf"]):
-            number = templates_of([x.split(b" ") for x in leaf["line"]], similarity)
-            first = leaf["form"].to_numpy()
+        for part in grouped_stream(batches, ["leaf", "part"]):
+            lines = [x.split(b" ") for x in part["line"]]
+            number = templates_of(lines, similarity)
+            forms = part["form"].to_numpy()
             names: dict[int, int] = {}
+            patterns: dict[int, list[bytes]] = {}
             for i, k in enumerate(number):
-                names.setdefault(k, first[i])
-            yield pd.DataFrame({"form": first, "template": [names[k] for k in number]})
+                names.setdefault(k, forms[i])
+                mine = patterns.setdefault(k, lines[i])
+                if mine != lines[i]:
+                    patterns[k] = [x if x == y else VARIABLE for x, y in zip(mine, lines[i], strict=True)]
+            yield pd.DataFrame({"leaf": part["leaf"], "form": forms, "template": [names[k] for k in number], "pattern": [b" ".join(patterns[k]) for k in number]})
 
     return run
 
 
+def parsed_leaves(lines: DataFrame, leaves: DataFrame, similarity: float) -> DataFrame:
+    """p_form, template: the distinct lines (leaf, form, line) of the leaves (leaf, forms) by their templates. Parts of
+    leaves are dealt by the lines' hashes; the templates of leaves with several parts are parsed once more together."""
+    parts = F.ceil(F.col("forms") / LEAF_LINES).cast("int")
+    shared = lines.join(leaves.select(F.col("leaf").alias("l_leaf"), parts.alias("parts")), F.col("leaf") == F.col("l_leaf")).dropDuplicates(["leaf", "form"])
+    shared = shared.select("leaf", "form", "line", F.pmod("form", "parts").cast("int").alias("part"))
+    dealt = shared.repartition(partitions(lines), "leaf", "part").sortWithinPartitions("leaf", "part", "form")
+    found = checkpointed(dealt.mapInPandas(_parse(similarity), "leaf long, form long, template long, pattern binary"))
+    large = leaves.where(F.col("forms") > LEAF_LINES).select("leaf")
+    first = found.where("form = template").join(large, "leaf", "left_semi").select("leaf", "form", F.col("pattern").alias("line"), F.lit(0).alias("part"))
+    merged = first.repartition(partitions(lines), "leaf").sortWithinPartitions("leaf", "form").mapInPandas(_parse(similarity), "leaf long, form long, template long, pattern binary")
+    merged = merged.select(F.col("form").alias("m_form"), F.col("template").alias("merged"))
+    return found.join(merged, F.col("template") == F.col("m_form"), "left").select(F.col("form").alias("p_form"), F.coalesce("merged", "template").alias("template"))
+
+
 def recurring_lines(docs: DataFrame, leading: int, least_tokens: int, similarity: float, families: float) -> DataFrame:
     """doc_id, text_key, form and first_id of the lines of recurring templates; first_id is the template's first document."""
     least = math.ceil(families)
@@ -245,10 +274,8 @@ def recurring_lines(docs: DataFrame, leading: int, least_tokens: int, similarity
     # Leaves with two or more distinct lines, and with enough documents for one template, are parsed further; a line
     # alone in its leaf is its own template.
     leaves = seen.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("rows"))
-    leaves = leaves.where((F.col("forms") > 1) & (F.col("rows") >= least)).select("leaf")
-    shared = masked_lines(docs, leading, least_tokens).join(leaves, "leaf", "left_semi").dropDuplicates(["leaf", "form"])
-    dealt = shared.repartition(partitions(docs), "leaf").sortWithinPartitions("leaf", "form")
-    named = dealt.mapInPandas(_parse(similarity), "form long, template long").select(F.col("form").alias("p_form"), "template")
+    leaves = checkpointed(leaves.where((F.col("forms") > 1) & (F.col("rows") >= least)).select("leaf", "forms"))
+    named = parsed_leaves(masked_lines(docs, leading, least_tokens), leaves, similarity)
     named = checkpointed(seen.join(named, F.col("form") == F.col("p_form"), "left").select("form", F.coalesce("template", "form").alias("template"), "n", "first_id"))
     # only templates of enough documents, related or not, can recur
     often = named.groupBy("template").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id")).where(F.col("n") >= least)
@@ -268,9 +295,10 @@ def recurring_lines(docs: DataFrame, leading: int, least_tokens: int, similarity
 def drop_templates(docs: DataFrame, leading: int = LEADING, least_tokens: int = LEAST_TOKENS, similarity: float = SIMILARITY, families: float = FAMILIES) -> DataFrame:
     """The documents with their columns (text without dropped lines), n_lines and n_dropped.
 
-    Lines of fewer than ``least_tokens`` tokens are kept, since they show no template. Null texts stay null and
-    empty ones empty (0 lines). Null doc_ids sort last for which document is the first. Rows that repeat doc_id and
-    text are treated alike. An empty table gives no rows; columns beside doc_id and text pass through unread.
+    Lines of fewer than ``least_tokens`` tokens and those without a token free of digits are kept, since they show no
+    template. Null texts stay null and empty ones empty (0 lines). Null doc_ids sort last for which document is the
+    first. Rows that repeat doc_id and text are treated alike. An empty table gives no rows; columns beside doc_id and
+    text pass through unread, whatever their names.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
@@ -278,10 +306,9 @@ def drop_templates(docs: DataFrame, leading: int = LEADING, least_tokens: int =
     gone = recurring_lines(slim, leading, least_tokens, similarity, families)
     gone = gone.groupBy(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key")).agg(F.collect_set("form").alias("g_forms"))  # of one document
     row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    rows = docs.drop("n_lines", "n_dropped").withColumns({"g_doc": row_id, "g_text": key})
-    rows = rows.join(gone, (F.col("g_doc") == F.col("g_id")) & (F.col("g_text") == F.col("g_key")), "left")
     others = [c for c in names if c != "text"]
-    rows = rows.select(F.struct(*others).alias("g_row") if others else F.lit(None).alias("g_row"), F.col("text").cast("string"), "g_forms")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("g_row"), F.col("text").cast("string").alias("text"), row_id.alias("g_doc"), key.alias("g_text"))
+    rows = rows.join(gone, (F.col("g_doc") == F.col("g_id")) & (F.col("g_text") == F.col("g_key")), "left").select("g_row", "text", "g_forms")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
