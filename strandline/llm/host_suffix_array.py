@@ -1,15 +1,16 @@
-"""Main text of web pages: page structure, and a suffix array over each host's pages for what structure leaves open.
-
-A page is read into blocks. Blocks of a main content element (article, main) are the text; those of menus, headers,
-footers, asides, forms, notices, adverts and comments (by tag, role or class) are not. All other blocks are decided
-by their host: the token streams of its pages outside main content are concatenated, their suffixes sorted, and runs
-of at least RUN tokens that stand on PAGES or more pages of different content are boilerplate. Covered runs are
-removed and unique runs kept. Hosts are dealt to shards of about SHARD_PAGES pages by hash, so a host of any size
-stays within a task's memory; a run must recur within its shard.
+"""Main text of web pages: page structure, and suffix arrays over each host's pages for what structure leaves open.
+
+A page is read into blocks. Blocks of a main content element (article, main) are text; those of menus, headers,
+footers, asides, forms, notices, adverts and comments (by tag, role or class) are not. All other blocks, whether or not
+the page has an article, are decided by their host: runs of at least RUN tokens that stand on PAGES or more pages of
+different content are boilerplate. Covered runs are removed and unique runs kept, in page order. The host's token streams are
+dealt by content: neighbouring runs that share their least token pair form a passage, and passages of one host and pair
+meet in a shard, however many pages the host has. A shard concatenates its distinct passages and sorts their suffixes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -19,14 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import checkpointed, table
+from strandline.llm.common import WordHashes, partitions, stored, table
+from strandline.llm.fm_substrings import super_windows
 
-RUN, PAGES, SHARD_PAGES = 5, 3, 1000
-#: Hosts of several shards that are broadcast; more of them are joined by shuffling.
-MOST_BROADCAST = 100_000
+RUN, PAGES, SHARD_TOKENS = 5, 3, 500_000
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>"']*(?:"[^"]*"[^<>"']*|'[^']*'[^<>"']*)*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>|<[a-zA-Z/!?][^<>]*\Z""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "xmp", "noembed")
+RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "object", "canvas", "xmp", "noembed")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 OUTSIDE = frozenset("nav footer aside form menu dialog button select fieldset datalist".split())
@@ -49,6 +49,8 @@ def _outside(name: str, attributes: str, in_main: bool) -> bool:
     if re.search(r"(?:^|\s)hidden(?:\s|$)", ATTRIBUTE.sub(" ", attributes), re.I) or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         return True
     marks = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
+    if in_main:
+        marks -= {"header", "masthead"}  # of the article itself
     return bool(marks & (PARTS if name in ("article", "main", "body", "html") else CLASSES))
 
 
@@ -164,62 +166,133 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             return order
 
 
+def _key(data: str) -> int:
+    """A signed 64-bit key of a text."""
+    return int.from_bytes(hashlib.blake2b(data.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The blocks that may be text (zones 0 and 1), a key of them, and the number of tokens that structure leaves open."""
     for batch in batches:
-        rows = [blocks_of(h) if h else [] for h in batch["html"]]
+        rows = [[(z, t) for z, t in blocks_of(h) if z < 2] if h else [] for h in batch["html"]]
         batch["zones"] = [[z for z, _ in r] for r in rows]
         batch["blocks"] = [[t for _, t in r] for r in rows]
+        batch["content"] = [_key("\n".join(f"{z}{t}" for z, t in r)) for r in rows]
+        batch["n_open"] = [sum(t.count(" ") + 1 for z, t in r if z) for r in rows]
         yield batch.drop(columns="html")
 
 
-def _decide(run: int, least_pages: int):
-    def host(rows: pd.DataFrame) -> pd.DataFrame:
-        zones = [list(z) for z in rows["zones"]]
-        blocks = [list(b) for b in rows["blocks"]]
-        streams = [[t for zone, text in zip(z, b, strict=True) if zone for t in text.split(" ")] for z, b in zip(zones, blocks, strict=True)]
-        whole = [hash("\n".join(b)) for b in blocks]  # copies of a page count as one
-        covered = repeated_tokens(streams, np.unique(np.array(whole, np.int64), return_inverse=True)[1], run, least_pages)
+def open_tokens(zones, blocks) -> list[str]:
+    return [t for z, b in zip(zones, blocks, strict=True) if z for t in b.split(" ")]
+
+
+def _passages(run: int, least_pages: int):
+    """host, anchor, seq, content, first, passage of every passage; a task sends a passage for ``least_pages`` pages, which
+    is enough to know that it recurs."""
+
+    def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, sent = WordHashes(), {}
+        for batch in batches:
+            rows = []
+            for host, content, zones, blocks in zip(batch["host"], batch["content"], batch["zones"], batch["blocks"], strict=True):
+                tokens = open_tokens(zones, blocks)
+                for anchor, first, n in zip(*(x.tolist() for x in super_windows(hashes.of([t.encode("utf-8", "replace") for t in tokens]), run, 2)), strict=True):
+                    passage = " ".join(tokens[first : first + n + run - 1])
+                    seq = _key(f"{host} {passage}")
+                    if len(sent) > 200_000:
+                        sent.clear()
+                    pages = sent.setdefault(seq, set())
+                    fresh = len(pages) < least_pages and content not in pages
+                    if fresh:
+                        pages.add(content)
+                    rows.append((host, anchor, seq, content, first, passage if fresh else None))
+            yield pd.DataFrame(rows, columns=["host", "anchor", "seq", "content", "first", "passage"])
+
+    return passages
+
+
+def _search(run: int, least_pages: int, shard_tokens: int):
+    """s_seq, covered: positions of each passage's tokens that lie in recurring runs, where there are any. Rows come sorted
+    by host, anchor and seq; whole anchors go to shards."""
+
+    def shard(rows: list[tuple[int, int, str]]) -> pd.DataFrame:
+        content = np.unique(np.array([c for _, c, _ in rows], np.int64), return_inverse=True)[1]
+        flags = repeated_tokens([p.split(" ") for _, _, p in rows], content, run, least_pages)
+        found = {seq: np.flatnonzero(f).tolist() for (seq, _, _), f in zip(rows, flags, strict=True) if f.any()}
+        return pd.DataFrame({"s_seq": np.array(list(found), np.int64), "covered": pd.Series(list(found.values()), dtype=object)})
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[int, int, str]] = []
+        size, last, seq, pages = 0, None, None, set()
+        for batch in batches:
+            for host, anchor, now, content, passage in zip(batch["host"], batch["anchor"], batch["seq"], batch["content"], batch["passage"], strict=True):
+                if (host, anchor) != last:
+                    if size >= shard_tokens:
+                        yield shard(held)
+                        held, size = [], 0
+                    last = host, anchor
+                if now != seq:
+                    seq, pages = now, set()
+                if len(pages) < least_pages and content not in pages:
+                    pages.add(content)
+                    held.append((now, content, passage))
+                    size += passage.count(" ") + 2
+        if held:
+            yield shard(held)
+
+    return search
+
+
+def covered_tokens(opened: DataFrame, run: int, least_pages: int, shard_tokens: int) -> DataFrame:
+    """c_host, c_content, covered: positions in the open tokens of a page that lie in runs which recur on its host."""
+    pages = opened.select("host", "content", "zones", "blocks").dropDuplicates(["host", "content"])
+    found = stored(pages.mapInPandas(_passages(run, least_pages), "host string, anchor long, seq long, content long, first int, passage string"), "page passages")
+    sent = found.where(F.col("passage").isNotNull()).select("host", "anchor", "seq", "content", "passage")
+    dealt = sent.repartition(partitions(opened), "host", "anchor").sortWithinPartitions("host", "anchor", "seq", "content")
+    hits = found.select("host", "content", "first", "seq").join(dealt.mapInPandas(_search(run, least_pages, shard_tokens), "s_seq long, covered array<int>"), F.col("seq") == F.col("s_seq"))
+    hits = hits.select(F.col("host").alias("c_host"), F.col("content").alias("c_content"), F.transform("covered", lambda x: x + F.col("first")).alias("covered"))
+    return hits.groupBy("c_host", "c_content").agg(F.flatten(F.collect_list("covered")).alias("covered"))  # of one page
+
+
+def _decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
         texts, gone = [], []
-        for z, b, flags in zip(zones, blocks, covered, strict=True):
-            at, kept, main, open_tokens, open_covered = 0, [], [], 0, 0
-            for zone, text in zip(z, b, strict=True):
-                if zone == 0:
-                    main.append(text)
-                    continue
-                tokens = text.split(" ")
-                mine = flags[at : at + len(tokens)]
-                at += len(tokens)
-                if zone == 1:
-                    open_tokens += len(tokens)
-                    open_covered += int(mine.sum())
-                    kept.append((text, " ".join(t for t, f in zip(tokens, mine, strict=True) if not f)))
-            copied = open_covered >= 0.9 * open_tokens  # the page as a whole recurs: a copy, not boilerplate around a text
-            texts.append("\n".join(main if main else [t if copied else k for t, k in kept if copied or k]))
+        for zones, blocks, covered in zip(batch["zones"], batch["blocks"], batch["covered"], strict=True):
+            flags = np.zeros(len(open_tokens(zones, blocks)), bool)
+            if covered is not None:
+                flags[np.asarray(covered, np.int64)] = True
+            copied = 0 not in zones and flags.sum() >= 0.9 * len(flags)  # the page as a whole recurs: a copy, not boilerplate around a text
+            at, kept = 0, []
+            for zone, text in zip(zones, blocks, strict=True):
+                if zone:
+                    tokens = text.split(" ")
+                    mine = flags[at : at + len(tokens)].tolist()
+                    at += len(tokens)
+                    text = text if copied else " ".join(t for t, f in zip(tokens, mine, strict=True) if not f)
+                if text:
+                    kept.append(text)
+            texts.append("\n".join(kept))
             gone.append(int(flags.sum()))
-        return pd.DataFrame({"page_id": rows["page_id"].astype("Int64"), "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_covered": gone})
-
-    return host
+        yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts], "n_covered": gone})
 
 
-def extract(pages: DataFrame, run: int = RUN, least_pages: int = PAGES, shard_pages: int = SHARD_PAGES) -> DataFrame:
+def extract(pages: DataFrame, run: int = RUN, least_pages: int = PAGES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """page_id, url, text (main text, blocks joined by line feeds), n_chars, n_covered (tokens outside main content
-    that the suffix array found repeated), one row for each page.
+    that the suffix arrays found repeated), one row for each page.
 
-    A null or empty html gives an empty text; a null url is a host of its own. Repeated rows are returned as often,
+    A null or empty html gives an empty text; null urls are a host of their own. Repeated rows are returned as often,
     but count as one page for repeats. Unclosed tags, comments and cut pages are read as far as they go. An empty
     table gives no rows; other columns are ignored.
     """
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
-    pages = pages.withColumn("host", host)
-    sizes = pages.groupBy(F.col("host").alias("c_host")).agg(F.ceil(F.count(F.lit(1)) / shard_pages).cast("int").alias("shards"))
-    large = checkpointed(sizes.where("shards > 1"))  # a row for each shard_pages pages at most
-    if large.count() <= MOST_BROADCAST:
-        large = F.broadcast(large)
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))).cast("int")
-    dealt = pages.join(large, F.col("host") == F.col("c_host"), "left").withColumn("shard", shard)
-    read = dealt.select("page_id", "url", "host", "shard", "html").mapInPandas(_read, "page_id long, url string, host string, shard int, zones array<int>, blocks array<string>")
-    return read.groupBy("host", "shard").applyInPandas(_decide(run, least_pages), "page_id long, url string, text string, n_chars long, n_covered long")
+    read = pages.select("page_id", "url", host.alias("host"), "html").mapInPandas(_read, "page_id long, url string, host string, zones array<int>, blocks array<string>, content long, n_open long")
+    read = stored(read, "pages")
+    opened = read.where("n_open > 0")
+    covered = covered_tokens(opened, run, least_pages, shard_tokens)
+    opened = opened.join(covered, (F.col("host") == F.col("c_host")) & (F.col("content") == F.col("c_content")), "left").select("page_id", "url", "zones", "blocks", "covered")
+    settled = read.where("n_open = 0").select("page_id", "url", "zones", "blocks", F.lit(None).cast("array<int>").alias("covered"))
+    return settled.unionByName(opened).mapInPandas(_decide, "page_id long, url string, text string, n_chars long, n_covered long")
 
 
 def op4_host_suffix_array(spark, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ def test_structure():
     assert [t for z, t in hsa.blocks_of(page) if z == 0] == ["Title & more", "First line one", "Second <x> line", "a", "b"]
     assert hsa.blocks_of("") == [] and hsa.blocks_of("a < b &am") == [(1, "a < b &am")]
     assert hsa.blocks_of("<p>cut <scr") == [(1, "cut")]
+    assert [t for _, t in hsa.blocks_of("<article><div class=entry-header><h1>Head</h1></div><p>x<math>y</math></article>")] == ["Head", "xy"]
 
 
 def test_repeats_match_brute_force():
@@ -44,3 +45,36 @@ def test_pages(spark):
     assert text[21] == "" and text[22] == "" and text[23] == "Welcome to this fine host page here"
     assert all(r["n_chars"] == len(r["text"]) for r in out)
     assert hsa.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_large_hosts_and_articles_get_the_same_answer(spark):
+    """Boilerplate on four pages goes, whatever the number of other pages; also beside an article, whose text stays."""
+    common = "<p>this block stands on four pages of the host</p>"
+    teaser = "<article><p>a teaser of few words, on every page of them</p></article>"
+    for others in (5, 2500):
+        rows = [(i, "http://big.example/a", f"<div>{' '.join(f'w{i}x{k}' for k in range(12))}</div>") for i in range(others)]
+        rows += [(10_000 + i, "http://big.example/b", f"{teaser}{common}<div>{'b' * i} body {'z' * i} of the page {'y' * i} is here {'v' * i} in a plain part</div>") for i in range(1, 5)]
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        for shard_tokens in (hsa.SHARD_TOKENS, 50):
+            text = {r["page_id"]: r["text"] for r in hsa.extract(df, shard_tokens=shard_tokens).collect()}
+            for i in range(1, 5):
+                assert text[10_000 + i] == f"a teaser of few words, on every page of them\n{'b' * i} body {'z' * i} of the page {'y' * i} is here {'v' * i} in a plain part"
+            assert all(text[i].split() == [f"w{i}x{k}" for k in range(12)] for i in range(others))
+
+
+def test_covered_tokens_match_brute_force(spark):
+    rng = np.random.default_rng(7)
+    pages = [(i, f"http://{'ab'[i % 2]}.example/", " ".join(f"t{x}" for x in rng.integers(0, 4, rng.integers(0, 40)))) for i in range(60)]
+    where = {}
+    for i, url, text in pages:
+        t = text.split()
+        for k in range(len(t) - 4):
+            where.setdefault((url, *t[k : k + 5]), set()).add(text)
+    got = {r["page_id"]: r["n_covered"] for r in hsa.extract(spark.createDataFrame([(i, u, f"<div>{t}</div>") for i, u, t in pages], "page_id long, url string, html string"), shard_tokens=60).collect()}
+    for i, url, text in pages:
+        t = text.split()
+        flags = np.zeros(len(t), bool)
+        for k in range(len(t) - 4):
+            if len(where[(url, *t[k : k + 5])]) >= 3:
+                flags[k : k + 5] = True
+        assert got[i] == flags.sum()
