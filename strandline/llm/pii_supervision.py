@@ -1,11 +1,12 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
-Fixed patterns give the base spans (emails, IP addresses, card and phone numbers). For other candidates (long
-strings with digits, groups of digits) six labelers vote 1, 0 (abstain) or -1: two by pattern, two by gazetteer and
-two by context. Expectation-maximisation over the counts of vote patterns (at most 3^6 rows, whatever the input)
-estimates prior and reliabilities without any gold labels; its posteriors are soft labels for the final span
-classifier, a naive Bayes model over shape, length and context features that is fitted by one aggregation. Base
-spans take part as candidates, which ties the classes down, and always stay in the result.
+Fixed patterns give the base spans (emails, IP addresses, card and phone numbers). For other candidates (long strings
+with digits, groups of digits, account and identity numbers, names after a form of address, street addresses) six
+labelers vote 1, 0 (abstain) or -1: two by pattern, two by gazetteer and two by context. Expectation-maximisation over
+the counts of vote patterns (at most 3^6 rows, whatever the input) estimates prior and reliabilities without any gold
+labels; its posteriors are soft labels for the final span classifier, a naive Bayes model over shape, length and context
+features that is fitted by one aggregation. Base spans take part as candidates, which ties the classes down, and always
+stay in the result.
 """
 
 from __future__ import annotations
@@ -15,18 +16,27 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import checkpointed, let, table
 
-# Possessive forms of the stated patterns: nothing follows the repeated groups, so they match the same strings.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++"
-IP = r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
+# Possessive forms of the stated patterns: nothing follows the repeated groups, so they match the same strings. A match
+# starts where its first run of characters does, or at the end of the match before: a start further on in the run could
+# match only where that one does, and would be tried at each character of a long run.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-CANDIDATE = r"[A-Za-z0-9_/+-]{12,}+|\(?[0-9][0-9() ./-]{5,}[0-9]"
+#: Gazetteers: forms of address and street words of candidates, words before personal data and before harmless numbers.
+TITLES = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Herrn|Frau|Mme|Mlle|Monsieur|Madame|Señor|Señora|Sra|Sr)"
+STREETS = r"(?:Street|Avenue|Road|Lane|Drive|Boulevard|Court|Square|Terrace|Way)"
+NAME = TITLES + r"\.? \p{Lu}\p{L}++(?:[ -]\p{Lu}\p{L}++){0,2}+"
+ADDRESS = r"[0-9]{1,5}+[a-zA-Z]? (?:\p{Lu}\p{L}++ ){1,3}" + STREETS + r"\b|\p{Lu}\p{L}*(?:straße|strasse|weg|platz|allee) [0-9]{1,4}+[a-z]?\b|\b(?:[Rr]ue|[Cc]alle|[Aa]venida|[Pp]laza) (?:de |del |la |las |los |du |des )*\p{Lu}\p{L}++,? [0-9]{1,4}+"
+IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?+\b"
+IDENTITY = r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"
+CANDIDATE = rf"(?:\b{NAME}|\b(?:{ADDRESS})|\b{IBAN}|[A-Za-z0-9_/+-]{{8,}}+|\(?[0-9][0-9() ./-]{{4,}}[0-9])"
 KINDS = ("email", "ip", "card", "phone")
-VOTES, ROUNDS, ACCEPT, BEFORE = 6, 25, 0.9, 24
-#: Gazetteers: words before personal data, and words before harmless numbers.
-PRIVATE_WORDS = r"(?i)(passw|token|secret|api.?key|\bkey\b|\bpin\b|\bssn\b|iban|account|konto|cuenta|compte|\btel|phone|telefon|mobil|\bfax\b|e-?mail|contact|card|passport|login)"
+VOTES, ROUNDS, ACCEPT, BEFORE = 6, 25, 0.9, 32
+PRIVATE_WORDS = r"(?i)(passw|token|secret|api.?key|\bkey\b|\bpin\b|\bssn\b|social.security|iban|account|konto|cuenta|compte|\btel|phone|telefon|mobil|\bfax\b|e-?mail|contact|card|passport|login|address|adresse|dirección|\blives? (?:at|in)\b|wohnt|\bname\b|nombre|\bnom\b)"
 HARMLESS_WORDS = r"(?i)(version|page|seite|página|chapter|section|isbn|issn|\bvol|\bno\.?\s*$|year|jahr|année|año|price|total|figure|table|[$€£]\s*$)"
 SPAN = "array<struct<s:int,e:int,v:string,b:string>>"
+STEP = 64
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -35,17 +45,31 @@ def matches(text: Column, pattern: str) -> Column:
     def place(found: Column) -> Column:
         def gaps(parts: Column) -> Column:
             pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-            zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+            return let(pairs, in_steps)
 
-            def step(acc: Column, p: Column) -> Column:
-                start = acc["at"] + F.length(p["g"])
-                end = start + F.length(p["m"])
-                span = F.struct(start.alias("s"), end.alias("e"), p["m"].alias("v"), F.right(p["g"], F.lit(BEFORE)).alias("b"))
-                return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), gaps)).otherwise(F.array().cast(SPAN))
 
-            return F.aggregate(pairs, zero, step)["out"]
+    def in_steps(pairs: Column) -> Column:
+        """Running sums by STEP matches at a time and then over the steps, so that the work hardly grows faster than a text."""
+        steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / STEP).cast("int")), lambda c: sums(F.slice(pairs, c * STEP + 1, F.lit(STEP))))
 
-        return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), gaps)).otherwise(F.array().cast(SPAN))
+        def moved(found: Column) -> Column:
+            zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+            ahead = F.aggregate(found, zero, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))
+            return F.flatten(F.zip_with(found, ahead["starts"], lambda x, start: F.transform(x["out"], lambda m: m.withField("s", m["s"] + start).withField("e", m["e"] + start))))
+
+        return let(steps, moved)
+
+    def sums(pairs: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+
+        def step(acc: Column, p: Column) -> Column:
+            start = acc["at"] + F.length(p["g"])
+            end = start + F.length(p["m"])
+            span = F.struct(start.alias("s"), end.alias("e"), p["m"].alias("v"), F.right(p["g"], F.lit(BEFORE)).alias("b"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(pairs, zero, step)
 
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
@@ -71,6 +95,27 @@ def small_parts(value: Column) -> Column:
     return F.forall(short, lambda p: F.when(F.length(p) <= 3, p).otherwise(F.lit("999")).cast("int") <= 255)
 
 
+def iban(value: Column) -> Column:
+    """Whether the check digits of an international account number hold (remainder 1 of 97, letters as 10 to 35)."""
+
+    def check(x: Column) -> Column:
+        moved = F.concat(F.substring(x, 5, 64), F.substring(x, 1, 4))
+
+        def step(acc: Column, c: Column) -> Column:
+            code = F.ascii(c)
+            return F.when(code >= 65, (acc * 100 + code - 55) % 97).otherwise((acc * 10 + code - 48) % 97)
+
+        return F.when(x.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), F.aggregate(F.filter(F.split(moved, ""), lambda c: c != ""), F.lit(0), step) == 1).otherwise(False)
+
+    return let(F.regexp_replace(value, " ", ""), check)
+
+
+def shaped(value: Column) -> Column:
+    """The kind that a candidate's pattern tells: name, address, iban, identity, or null."""
+    kind = F.when(value.rlike(rf"^{TITLES}\.? \p{{Lu}}"), "name").when(value.rlike(rf"^(?:{ADDRESS})$"), "address")
+    return kind.when(value.rlike(IDENTITY), "identity").when(iban(value), "iban")
+
+
 def base_spans(text: Column) -> list[Column]:
     """The spans of each of KINDS, in this order."""
     some = text.rlike("[0-9]")
@@ -91,11 +136,11 @@ def _vote(yes: Column, no: Column | None = None) -> Column:
 
 def votes(c: Column) -> Column:
     v, b = c["v"], c["b"]
-    letters, figures = v.rlike("[A-Za-z]"), F.length(digits(v))
+    letters, figures, kind = v.rlike("[A-Za-z]"), F.length(digits(v)), shaped(v)
     return F.array(
-        _vote(letters & (figures >= 3) & (F.length(v) >= 16), ~letters & v.rlike(r"^\(?(19|20)[0-9]{2}[ ./-]")),  # pattern: secrets; years
-        _vote(c["base"], ~letters & (figures < 7)),  # pattern: validated numbers; short ones
-        _vote(b.rlike(PRIVATE_WORDS)),  # gazetteer
+        _vote(kind.isNotNull() | (letters & (figures >= 3) & (F.length(v) >= 16)), ~letters & v.rlike(r"^\(?(19|20)[0-9]{2}[ ./-]")),  # pattern: shapes and secrets; years
+        _vote(c["base"] | kind.isin("iban", "identity"), kind.isNull() & ~letters & (figures < 7)),  # pattern: validated numbers; short ones
+        _vote(b.rlike(PRIVATE_WORDS) | kind.isin("name", "address")),  # gazetteers
         _vote(F.lit(False), b.rlike(HARMLESS_WORDS)),  # gazetteer
         _vote(b.rlike(r"""[=:]\s*["']?$""")),  # context: a value is assigned
         _vote(b.rlike(r"""["'(<]$""") & letters, b.rlike(r"[0-9][.,)]?\s*$") & ~letters),  # context: quoted; one of a list of numbers
@@ -112,6 +157,7 @@ def traits(c: Column) -> Column:
         F.concat(F.lit("length "), F.least(F.length(v), F.lit(48)).cast("string")),
         F.concat(F.lit("digits "), F.least(F.length(digits(v)), F.lit(32)).cast("string")),
         F.concat(F.lit("word "), F.xxhash64(F.lower(word)).bitwiseAND(F.lit(1023)).cast("string")),
+        F.concat(F.lit("kind "), F.coalesce(shaped(v), F.lit(""))),
         F.concat(F.lit("before "), F.regexp_extract(b, r"([=:\"'(]?)\s*[\"']?$", 1)),
     )
 
@@ -171,7 +217,8 @@ def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-    some = F.when(F.col("text").rlike("[0-9]"), F.filter(matches(F.col("text"), CANDIDATE), lambda m: m["v"].rlike("[0-9]"))).otherwise(F.array().cast(SPAN))
+    some = F.filter(matches(F.col("text"), CANDIDATE), lambda m: m["v"].rlike("[0-9]") | m["v"].rlike(rf"^{TITLES}\.? \p{{Lu}}") | m["v"].rlike(rf"^(?:{ADDRESS})$"))
+    some = F.when(F.col("text").rlike(rf"[0-9]|\b{TITLES}\.? \p{{Lu}}"), some).otherwise(F.array().cast(SPAN))
     found = found.select("doc_id", F.xxhash64("text").alias("text_key"), *(c.alias(k) for k, c in zip(KINDS, base_spans(F.col("text")), strict=True)), some.alias("free"))
     base = F.concat(*(F.transform(k, _of_kind(k)) for k in KINDS))
     valued = F.concat(*(F.col(k) for k in KINDS))
@@ -192,7 +239,7 @@ def find(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     judged = free.join(F.broadcast(model), F.col("trait") == F.col("m_trait"))  # some 1,500 traits
     judged = judged.groupBy("doc_id", "text_key", "s", "e", "v").agg((F.sum("lean") + F.max("prior")).alias("odds"), F.max("r").alias("r"))
     good = judged.where((1 / (1 + F.exp(-F.col("odds"))) >= accept) & (F.col("r") >= 0.5))
-    kind = F.when(F.col("v").rlike("[A-Za-z]"), "secret").otherwise("number")
+    kind = F.coalesce(shaped(F.col("v")), F.when(F.col("v").rlike("[A-Za-z]"), "secret").otherwise("number"))
     added = good.groupBy(F.col("doc_id").alias("a_id"), F.col("text_key").alias("a_key")).agg(F.sort_array(F.collect_list(F.struct(kind.alias("kind"), "s", "e"))).alias("added"))
     same = F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_key") == F.col("a_key"))
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
@@ -203,6 +250,24 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def spans_op8(spark, sf_dir: str) -> DataFrame:
+    """The base part of op8, which SQL can state: emails and phone numbers by position."""
+    out = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    email, _, _, phone = base_spans(F.col("text"))
+    spans = out.select("doc_id", F.posexplode(F.concat(F.transform(email, lambda m: F.struct(F.lit("email").alias("kind"), m["s"].alias("s"), m["v"].alias("v"))), F.transform(phone, lambda m: F.struct(F.lit("phone").alias("kind"), m["s"].alias("s"), m["v"].alias("v"))))))
+    return spans.select("doc_id", "col.kind", F.col("col.v").alias("value")).groupBy("doc_id", "kind").agg(F.array_join(F.sort_array(F.collect_list("value")), ",").alias("found"), F.count(F.lit(1)).alias("n"))
+
+
+SPANS_SQL = r"""
+WITH f AS (
+  SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS v FROM documents
+  UNION ALL SELECT doc_id, 'phone', unnest(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]')) FROM documents
+)
+SELECT doc_id, kind, string_agg(v, ',' ORDER BY v) AS found, count(*) AS n
+FROM f WHERE kind = 'email' OR length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 8 AND 15 GROUP BY doc_id, kind
+"""
+
+
 def op8_pii_supervision(spark, sf_dir: str) -> DataFrame:
     out = find(table(spark, sf_dir, "documents"))
     counts = [count_of("base", k).alias(f"n_{k}") for k in KINDS]
