@@ -15,7 +15,10 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder. A single file may be one task's work, so texts and pages of one are dealt to all cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = {"documents": "doc_id", "pages": "page_id"}.get(name)
+    return df.repartition(spark.sparkContext.defaultParallelism, key) if key and len(df.inputFiles()) == 1 else df
 
 
 def words_column(text: Column) -> Column:

@@ -1,10 +1,12 @@
 """Quality rules and robust multivariate outliers, in DataFrame operations only.
 
 Every text gives counts (words, symbols, repeated lines and word windows). For each language and source the
-minimum-covariance-determinant estimate of their transformed shares is found by concentration steps: distances to
-the current centre are histogrammed together with their moments, so one aggregation over the statistics gives the
-moments of the nearest ``share`` of the rows for every group at once, whatever a group's size. After a reweighting
-step, documents beyond a chi-square quantile of the squared Mahalanobis distance are rejected.
+minimum-covariance-determinant estimate of their transformed shares is found by concentration steps from a robust start
+(medians and quartiles): distances to the current centre are histogrammed together with their moments, so one
+aggregation over the statistics gives the moments of the nearest ``share`` of the rows for every group at once, whatever
+a group's size. The moments of a group count together with those of its language, as much as ``prior`` rows of them, and
+a language's with those of all; so small groups lean on the others and large ones stand alone, without a limit between.
+After a reweighting step, documents beyond a chi-square quantile of the squared Mahalanobis distance are rejected.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ P = len(FEATURES)
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 FLOOR = (0.12, 0.35, 0.35, 0.35)  # least standard deviations: shares that are nearly always zero must not become singular
 BINS = 32  # a factor of two of the squared distance
+PRIOR = 50
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -87,78 +90,101 @@ def features(counts: DataFrame) -> DataFrame:
     })
 
 
-def with_groups(rows: DataFrame, least: int) -> DataFrame:
-    """g_lang, g_source, g_level: language and source, or a pool of the language, or of all, where fewer than ``least`` rows fit."""
-    fit = rows.where(~F.col("base_failed"))
-    fine = fit.groupBy(F.col("lang").alias("a_lang"), F.col("source").alias("a_source")).agg(F.count(F.lit(1)).alias("a_n"))
-    coarse = fine.where(F.col("a_n") < least).groupBy(F.col("a_lang").alias("b_lang")).agg(F.sum("a_n").alias("b_n"))
-    out = rows.join(fine, F.col("lang").eqNullSafe(F.col("a_lang")) & F.col("source").eqNullSafe(F.col("a_source")), "left").join(coarse, F.col("lang").eqNullSafe(F.col("b_lang")), "left")
-    level = F.when(F.coalesce("a_n", F.lit(0)) >= least, 0).when(F.coalesce("b_n", F.lit(0)) >= least, 1).otherwise(2)
-    out = out.withColumn("g_level", level)
-    out = out.withColumns({"g_lang": F.when(F.col("g_level") < 2, F.col("lang")), "g_source": F.when(F.col("g_level") < 1, F.col("source"))})
-    return out.drop("a_lang", "a_source", "a_n", "b_lang", "b_n")
+GROUP = ("lang", "source")
+MOMENTS = ("n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS))
 
 
-GROUP = ("g_level", "g_lang", "g_source")
+# The small tables of estimates are written as SQL expressions: one call a table, not one for each operator.
 
 
 def _moments() -> list[Column]:
-    return [F.count(F.lit(1)).alias("n"), *(F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)), *(F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in PAIRS)]
+    sums = [*(f"sum({f}) AS s{i}" for i, f in enumerate(FEATURES)), *(f"sum({FEATURES[i]} * {FEATURES[j]}) AS q{i}{j}" for i, j in PAIRS)]
+    return [F.expr(x) for x in ("CAST(count(1) AS DOUBLE) AS n", *sums)]
 
 
-def _summed(moments: DataFrame) -> DataFrame:
-    names = ["n", *(f"s{i}" for i in range(P)), *(f"q{i}{j}" for i, j in PAIRS)]
-    return moments.groupBy(*GROUP).agg(*(F.sum(x).alias(x) for x in names))
+def _summed(moments: DataFrame, *by: str) -> DataFrame:
+    return moments.groupBy(*by).agg(*(F.expr(f"sum({x}) AS {x}") for x in MOMENTS))
+
+
+def _with_prior(moments: DataFrame, prior: float) -> DataFrame:
+    """Moments of each group, joined by ``prior`` rows like those of its language, joined by as many like all."""
+    every = _summed(moments).selectExpr(*(f"{x} AS all_{x}" for x in MOMENTS))
+    langs = _summed(moments, "lang").join(F.broadcast(every), F.lit(True))  # one row
+    langs = langs.selectExpr("lang AS l_lang", *(f"{x} + {prior} * all_{x} / all_n AS lang_{x}" for x in MOMENTS))
+    return moments.join(langs, F.expr("lang <=> l_lang")).selectExpr(*GROUP, *(f"{x} + {prior} * lang_{x} / lang_n AS {x}" for x in MOMENTS))
+
+
+def _start(fit: DataFrame) -> DataFrame:
+    """Moments with the medians as centre and the quartiles' distance as deviation of each feature, no feature going with
+    another, of each group."""
+    quartiles = fit.groupBy(*GROUP).agg(F.expr("CAST(count(1) AS DOUBLE) AS n"), *(F.expr(f"percentile_approx({f}, array(0.25, 0.5, 0.75), 10000) AS {f}") for f in FEATURES))
+    spread = [f" + pow(({f}[2] - {f}[0]) / 1.349, 2)" for f in FEATURES]
+    second = [f"n * ({FEATURES[i]}[1] * {FEATURES[j]}[1]{spread[i] if i == j else ''}) AS q{i}{j}" for i, j in PAIRS]
+    return quartiles.selectExpr(*GROUP, "n", *(f"n * {f}[1] AS s{i}" for i, f in enumerate(FEATURES)), *second)
 
 
 def _estimate(moments: DataFrame, factor: float) -> DataFrame:
     """Centre m* and lower Cholesky factor l** of the scatter (times factor, plus the floors) of each group."""
-    out = moments.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(P)})
+    rows = [f"s{i} / n AS m{i}" for i in range(P)]
     for i, j in PAIRS:
-        cov = factor * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}"))
+        cov = f"{factor} * (q{i}{j} / n - m{i} * m{j})"
         if i == j:
-            cov = F.greatest(cov, F.lit(0.0)) + FLOOR[i] ** 2
-        inner = cov - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-        out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(inner, F.lit(1e-6))) if i == j else inner / F.col(f"l{j}{j}"))
-    return out.select(*(F.col(g).alias(f"e_{g}") for g in GROUP), *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in PAIRS))
+            cov = f"greatest({cov}, 0D) + {FLOOR[i] ** 2}"
+        inner = " - ".join([cov, *(f"l{i}{k} * l{j}{k}" for k in range(j))])
+        rows.append(f"sqrt(greatest({inner}, 1e-6)) AS l{i}{j}" if i == j else f"({inner}) / l{j}{j} AS l{i}{j}")
+    return moments.selectExpr(*(f"{g} AS e_{g}" for g in GROUP), *rows)
 
 
 def _distances(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance; null where a group has no estimate."""
-    out = rows.join(estimate, [F.col(g).eqNullSafe(F.col(f"e_{g}")) for g in GROUP], "left")
-    for i in range(P):
-        inner = F.col(FEATURES[i]) - F.col(f"m{i}") - sum((F.col(f"l{i}{k}") * F.col(f"z{k}") for k in range(i)), F.lit(0.0))
-        out = out.withColumn(f"z{i}", inner / F.col(f"l{i}{i}"))
-    out = out.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, P)), F.col("z0") * F.col("z0")))
-    return out.select(*rows.columns, "d2")
+    out = rows.join(estimate, F.expr(" AND ".join(f"{g} <=> e_{g}" for g in GROUP)), "left")
+    z = ["(" + " - ".join([f"{f} - m{i}", *(f"l{i}{k} * z{k}" for k in range(i))]) + f") / l{i}{i} AS z{i}" for i, f in enumerate(FEATURES)]
+    return out.selectExpr(*rows.columns, *z).selectExpr(*rows.columns, " + ".join(f"z{i} * z{i}" for i in range(P)) + " AS d2")
 
 
-def judge(docs: DataFrame, share: float = 0.75, steps: int = 5, tail: float = 0.01, least: int = 50) -> DataFrame:
+def judge(docs: DataFrame, share: float = 0.75, steps: int = 5, tail: float = 0.01, prior: float = PRIOR) -> DataFrame:
     """The base counts with base_failed, distance2 and kept, one row for each document.
 
-    Null texts are empty (base_failed). Null languages and sources are values like others. Groups of fewer than
-    ``least`` documents are pooled by language, then over all. Repeated rows count as often; an empty table gives
-    no rows; other columns are ignored. kept is false if base_failed, else whether the distance is within the
-    quantile 1 - ``tail``.
+    Null texts are empty (base_failed). Null languages and sources are values like others. Repeated rows count as
+    often; an empty table gives no rows; other columns are ignored. kept is false if base_failed, else whether the
+    distance is within the quantile 1 - ``tail``.
     """
-    rows = checkpointed(with_groups(checkpointed(features(base_counts(docs))), least))
+    rows = checkpointed(features(base_counts(docs)))
     fit = rows.where(~F.col("base_failed")).select(*GROUP, *FEATURES)
     inside = share / chi2_cdf(chi2_quantile(share, P), P + 2)
-    estimate = _estimate(fit.groupBy(*GROUP).agg(*_moments()), 1.0)
+    estimate = checkpointed(_estimate(_with_prior(_start(fit), prior), 1.0))
     for _ in range(steps):  # concentration: moments of the nearest ``share`` of each group
         binned = _distances(fit, estimate).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * BINS))
         bins = binned.groupBy(*GROUP, "bin").agg(*_moments())
         ranked = bins.withColumns({"up_to": F.sum("n").over(Window.partitionBy(*GROUP).orderBy("bin")), "all": F.sum("n").over(Window.partitionBy(*GROUP))})
-        near = _summed(ranked.where(F.col("up_to") - F.col("n") < F.ceil(share * F.col("all"))))
-        estimate = checkpointed(_estimate(near, inside))
+        near = _summed(ranked.where(F.col("up_to") - F.col("n") < F.ceil(share * F.col("all"))), *GROUP)
+        estimate = checkpointed(_estimate(_with_prior(near, prior), inside))
     weighted = 0.975
     cut = chi2_quantile(weighted, P)
     near = _distances(fit, estimate).where(F.col("d2") <= cut).groupBy(*GROUP).agg(*_moments())
-    estimate = _estimate(near, weighted / chi2_cdf(cut, P + 2))
+    estimate = checkpointed(_estimate(_with_prior(near, prior), weighted / chi2_cdf(cut, P + 2)))
     out = _distances(rows, estimate)
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= chi2_quantile(1 - tail, P))
     return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance2"))
 
 
+def counts_op1(spark, sf_dir: str) -> DataFrame:
+    """The base columns of op1, which SQL can state."""
+    return base_counts(table(spark, sf_dir, "documents")).drop("lang", "source", "n_lines")
+
+
+COUNTS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM d WHERE len(ws) >= 5),
+k AS (SELECT doc_id, i, array_to_string(ws[i:i + 4], ' ') AS k FROM w),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM k),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, unnest(range(0, 5)) AS j FROM twice WHERE n > 1) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ws) < 10 OR 100 * coalesce(r.n, 0) > 20 * len(ws) AS base_failed
+FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)
+"""
+
+
 def op1_mcd_quality(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).drop("lang", "source")

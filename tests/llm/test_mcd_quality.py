@@ -72,3 +72,69 @@ def test_symbol_densities_near_the_cut(spark):
     kept = {r["doc_id"]: r["kept"] for r in mcd.judge(df).collect()}
     for kind, want in (("plain", True), ("dense", False), ("light", True)):
         assert all(kept[i] == want for i, _, k in docs if k == kind), kind
+
+
+def test_verdicts_match_brute_force(spark):
+    """The whole estimate in numpy: start, concentration, reweighting, with large, small and single groups."""
+    import math
+
+    import numpy as np
+
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    docs = []
+    for i in range(420):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(8, 200))]
+        words = [w + "#" if rng.random() < (0.4 if i % 11 == 0 else 0.02) else w for w in words]
+        docs.append((i, "\n".join([" ".join(words)] + ["again"] * (i % 4)), ["en", "de", None][i % 3 if i < 400 else 1], "large" if i < 400 else f"small{i // 3}"))
+    out = {r["doc_id"]: r for r in mcd.judge(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    group, x, fit = [(d[2], d[3]) for d in docs], [], []
+    for _, text, _, _ in docs:
+        n, chars, symbols, dup, repeat, failed = brute(text)
+        lines = len([t for t in text.split("\n") if t.strip()])
+        x.append([math.log((chars + 100) / (n + 20)), math.log(symbols / (chars + 100) + 0.02), math.log(dup / (lines + 5) + 0.1), math.log(repeat / (n + 20) + 0.1)])
+        fit.append(not failed)
+    x, fit = np.array(x), np.array(fit)
+    groups = sorted(set(group), key=str)
+    of = {g: np.array([h == g for h in group]) & fit for g in groups}
+    groups = [g for g in groups if of[g].any()]
+
+    def estimates(moments, factor):
+        out, floor = {}, np.diag(np.array(mcd.FLOOR) ** 2)
+        add = lambda ms: tuple(sum(m[k] for m in ms) for k in range(3))
+        like = lambda m: tuple(mcd.PRIOR * m[k] / m[0] for k in range(3))
+        for g in groups:
+            lang = add([add([moments[h] for h in groups if h[0] == g[0]]), like(add(list(moments.values())))])
+            n, s, q = add([moments[g], like(lang)])
+            cov = factor * (q / n - np.outer(s / n, s / n))
+            out[g] = s / n, cov - np.diag(np.diag(cov)) + np.diag(np.maximum(np.diag(cov), 0)) + floor
+        return out
+
+    def moments(rows):
+        return float(len(rows)), rows.sum(axis=0), rows.T @ rows
+
+    def d2(g, e):
+        z = x[of[g]] - e[g][0]
+        return np.einsum("ij,jk,ik->i", z, np.linalg.inv(e[g][1]), z)
+
+    start = {}
+    for g in groups:
+        rows = np.sort(x[of[g]], axis=0)
+        low, mid, high = (rows[max(math.ceil(p * len(rows)) - 1, 0)] for p in (0.25, 0.5, 0.75))
+        start[g] = len(rows), len(rows) * mid, len(rows) * (np.outer(mid, mid) + np.diag(((high - low) / 1.349) ** 2))
+    e = estimates(start, 1.0)
+    for _ in range(5):
+        near = {}
+        for g in groups:
+            bins = np.floor(np.log2(d2(g, e) + 1e-6) * mcd.BINS)
+            before = np.array([(bins < b).sum() for b in bins])
+            near[g] = moments(x[of[g]][before < math.ceil(0.75 * len(bins))])
+        e = estimates(near, 0.75 / mcd.chi2_cdf(mcd.chi2_quantile(0.75, 4), 6))
+    cut = mcd.chi2_quantile(0.975, 4)
+    e = estimates({g: moments(x[of[g]][d2(g, e) <= cut]) for g in groups}, 0.975 / mcd.chi2_cdf(cut, 6))
+    for g in groups:
+        for i, want in zip(np.flatnonzero(of[g]), d2(g, e), strict=True):
+            assert out[int(i)]["distance2"] == pytest.approx(want, rel=1e-6)
+            assert out[int(i)]["kept"] == (want <= mcd.chi2_quantile(0.99, 4))
+    assert not any(r["kept"] for i, r in out.items() if not fit[i])
+    assert sum(r["kept"] for r in out.values()) > 0.7 * fit.sum()
