@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
 A bounded sample of labelled documents is the example set (``max_examples`` of each label, the smallest hashes of
-doc_id and text). Terms are words and word beginnings; those whose document frequencies depend on the label at the 5 %
+doc_id and text). Terms are words and word beginnings; those whose document frequencies depend on the label at the 1 %
 level (either way) form the vocabulary. Every document becomes a sparse TF-IDF vector over it (document frequencies are
 counted over all documents), and the k nearest examples are found exactly: the index keeps for each term and block of
 examples the largest weight, so blocks whose summed maxima cannot reach the k-th score are never opened. Votes are
@@ -144,7 +144,7 @@ class Voter:
         if not len(term):
             return self.base, []
         if key not in self.memo:
-            if len(self.memo) > 100_000:
+            if len(self.memo) > 20_000:
                 self.memo.clear()
             at, cosine = self.index.nearest(term, weight, self.k, key)
             y = self.index.y[at]
@@ -167,7 +167,7 @@ def example_rows(labelled: DataFrame, max_examples: int) -> DataFrame:
     return checkpointed(keyed.join(ids, same, "left_semi").dropDuplicates(["doc_id", "key", "y"]))
 
 
-def score(docs: DataFrame, labelled: DataFrame, max_examples: int = 4096, k: int = 25, threshold: float = 0.7, least_g: float = 3.84, least_docs: int = 8) -> DataFrame:
+def score(docs: DataFrame, labelled: DataFrame, max_examples: int = 2048, k: int = 25, threshold: float = 0.7, least_g: float = 6.63, least_docs: int = 8) -> DataFrame:
     """One row for each document: doc_id, score (0 to 1), predicted (score >= threshold), evidence (example doc_ids).
 
     labelled: doc_id, text, y (0 or 1; other labels and null ones are left out). A text without vocabulary terms
