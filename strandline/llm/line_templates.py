@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import WordHashes, checkpointed, grouped_stream, mix64, partitions, table
+from strandline.llm.common import WordHashes, checkpointed, grouped_stream, mix64, partitions, stored, table
 
 LEADING, LEAST_TOKENS, SIMILARITY, FAMILIES = 3, 1, 0.6, 4.0
 LEAF_LINES = 20_000  # distinct lines of a leaf that are parsed at once, on average
@@ -71,9 +71,10 @@ def parsed_lines(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, text_key long, leaf long, form long")
 
 
-def sketch_of(lines: list[bytes], hashes: WordHashes) -> bytes:
-    """Limit, then number of tokens and min-hashes of each line; of long documents the lines up to the limit."""
-    tokens = [x.split(b" ") for x in lines]
+def sketches_of(docs: list[list[bytes]], hashes: WordHashes) -> list[bytes]:
+    """For each document (its lines): limit, then number of tokens and min-hashes of each line; of long documents the
+    lines up to the limit."""
+    tokens = [x.split(b" ") for lines in docs for x in lines]
     sizes = np.array([len(x) for x in tokens], np.int64)
     ends = np.cumsum(sizes)
     h = hashes.of([t for x in tokens for t in x])
@@ -82,17 +83,22 @@ def sketch_of(lines: list[bytes], hashes: WordHashes) -> bytes:
     single = sizes == 1
     pairs[ends[single] - 1] = h[ends[single] - 1]  # a token alone stands for itself
     last = ends[~single] - 1
-    rows = np.empty((len(lines), HASHES + 1), np.uint32)
+    rows = np.empty((len(tokens), HASHES + 1), np.uint32)
     rows[:, 0] = sizes
-    for k in range(HASHES):
-        mixed = mix64(pairs + np.uint64(0x632BE59BD9B4E019 * (k + 1) % (1 << 64))) >> np.uint64(32)
-        mixed[last] = 0xFFFFFFFF  # the pairs across two lines
-        rows[:, k + 1] = np.minimum.reduceat(mixed, ends - sizes)
-    limit = 0xFFFFFFFF
-    if len(rows) > SKETCH_LINES:
-        rows = rows[np.argsort(rows[:, 1], kind="stable")[:SKETCH_LINES]]
-        limit = int(rows[-1, 1])
-    return np.uint32(limit).tobytes() + rows.tobytes()
+    for k in range(0, HASHES, 2):  # two from each mixed value
+        mixed = mix64(pairs + np.uint64(0x632BE59BD9B4E019 * (k + 1) % (1 << 64)))
+        mixed[last] = 0xFFFFFFFFFFFFFFFF  # the pairs across two lines
+        for i, half in enumerate((mixed >> np.uint64(32), mixed & np.uint64(0xFFFFFFFF))):
+            rows[:, k + 1 + i] = np.minimum.reduceat(half, ends - sizes)
+    out, at = [], 0
+    for lines in docs:
+        mine, limit = rows[at : at + len(lines)], 0xFFFFFFFF
+        at += len(lines)
+        if len(mine) > SKETCH_LINES:
+            mine = mine[np.argsort(mine[:, 1], kind="stable")[:SKETCH_LINES]]
+            limit = int(mine[-1, 1])
+        out.append(np.uint32(limit).tobytes() + mine.tobytes())
+    return out
 
 
 def sketches(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
@@ -101,12 +107,20 @@ def sketches(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            rows = []
+            held, size = [], 0
             for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
-                lines = {x[1]: x[2] for x in parsed(text, leading, least_tokens) if x}
+                lines = list({x[1]: x[2] for x in parsed(text, leading, least_tokens) if x}.values())
                 if lines:
-                    rows.append((doc_id, key, sketch_of(list(lines.values()), hashes)))
-            yield pd.DataFrame(rows, columns=["s_id", "s_key", "sketch"])
+                    held.append((doc_id, key, lines))
+                    size += len(text)
+                if size > 1_000_000:
+                    yield sketched(held, hashes)
+                    held, size = [], 0
+            if held:
+                yield sketched(held, hashes)
+
+    def sketched(held: list, hashes: WordHashes) -> pd.DataFrame:
+        return pd.DataFrame({"s_id": [i for i, _, _ in held], "s_key": [k for _, k, _ in held], "sketch": sketches_of([x for _, _, x in held], hashes)})
 
     return docs.mapInPandas(run, "s_id long, s_key long, sketch binary")
 
@@ -269,7 +283,7 @@ def parsed_leaves(lines: DataFrame, leaves: DataFrame, similarity: float) -> Dat
 def recurring_lines(docs: DataFrame, leading: int, least_tokens: int, similarity: float, families: float) -> DataFrame:
     """doc_id, text_key, form and first_id of the lines of recurring templates; first_id is the template's first document."""
     least = math.ceil(families)
-    lines = parsed_lines(docs, leading, least_tokens)
+    lines = stored(parsed_lines(docs, leading, least_tokens), "lines")
     seen = checkpointed(lines.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")))
     # Leaves with two or more distinct lines, and with enough documents for one template, are parsed further; a line
     # alone in its leaf is its own template.
