@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import WordHashes, checkpointed, grouped_stream, mix64, partitions, stored, table
+from strandline.llm.common import WordHashes, checkpointed, grouped_stream, mix64, partitions, table
 
 LEADING, LEAST_TOKENS, SIMILARITY, FAMILIES = 3, 1, 0.6, 4.0
 LEAF_LINES = 20_000  # distinct lines of a leaf that are parsed at once, on average
@@ -105,7 +105,7 @@ def sketches(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
     """s_id, s_key and the sketch of every document with lines of enough tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes = WordHashes(100_000)
         for batch in batches:
             held, size = [], 0
             for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
@@ -113,7 +113,7 @@ def sketches(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
                 if lines:
                     held.append((doc_id, key, lines))
                     size += len(text)
-                if size > 1_000_000:
+                if size > 200_000:
                     yield sketched(held, hashes)
                     held, size = [], 0
             if held:
@@ -283,7 +283,7 @@ def parsed_leaves(lines: DataFrame, leaves: DataFrame, similarity: float) -> Dat
 def recurring_lines(docs: DataFrame, leading: int, least_tokens: int, similarity: float, families: float) -> DataFrame:
     """doc_id, text_key, form and first_id of the lines of recurring templates; first_id is the template's first document."""
     least = math.ceil(families)
-    lines = stored(parsed_lines(docs, leading, least_tokens), "lines")
+    lines = checkpointed(parsed_lines(docs, leading, least_tokens))
     seen = checkpointed(lines.groupBy("leaf", "form").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")))
     # Leaves with two or more distinct lines, and with enough documents for one template, are parsed further; a line
     # alone in its leaf is its own template.

@@ -156,15 +156,24 @@ class Voter:
 
 
 def example_rows(labelled: DataFrame, max_examples: int) -> DataFrame:
-    """doc_id, text, y, key of at most ``max_examples`` rows of each label; rows that repeat all of these count once."""
-    keyed = labelled.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    ids = None
-    for y in (0, 1):
-        some = keyed.where(F.col("y") == y).select("doc_id", "y", "key", F.xxhash64("doc_id", "key").alias("h")).distinct().orderBy("h", "doc_id", "key").limit(max_examples)
-        ids = some if ids is None else ids.unionByName(some)
-    ids = F.broadcast(ids.select(F.col("doc_id").alias("e_id"), F.col("key").alias("e_key"), F.col("y").alias("e_y")))  # at most 2 * max_examples
-    same = F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("key") == F.col("e_key")) & (F.col("y") == F.col("e_y"))
-    return checkpointed(keyed.join(ids, same, "left_semi").dropDuplicates(["doc_id", "key", "y"]))
+    """doc_id, text, y, key of at most ``max_examples`` rows of each label; rows that repeat all of these count once.
+
+    Documents are chosen by their ids alone, so that only their texts are read; where ids repeat, rows are chosen again
+    by id and text."""
+
+    def smallest(rows: DataFrame, *by: str) -> DataFrame:
+        out = None
+        for y in (0, 1):
+            some = rows.where(F.col("y") == y).select("y", *by, F.xxhash64(*by).alias("h")).distinct().orderBy("h", *by).limit(max_examples)
+            out = some if out is None else out.unionByName(some)
+        return out.select(*(F.col(c).alias(f"e_{c}") for c in ("y", *by)))
+
+    ids = F.broadcast(smallest(labelled, "doc_id").select("e_doc_id").distinct())  # at most 2 * max_examples
+    some = labelled.join(ids, F.col("doc_id").eqNullSafe(F.col("e_doc_id")), "left_semi")
+    some = checkpointed(some.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))))
+    ids = F.broadcast(smallest(some, "doc_id", "key"))  # at most 2 * max_examples
+    same = F.col("doc_id").eqNullSafe(F.col("e_doc_id")) & (F.col("key") == F.col("e_key")) & (F.col("y") == F.col("e_y"))
+    return checkpointed(some.join(ids, same, "left_semi").dropDuplicates(["doc_id", "key", "y"]))
 
 
 def score(docs: DataFrame, labelled: DataFrame, max_examples: int = 2048, k: int = 25, threshold: float = 0.7, least_g: float = 6.63, least_docs: int = 8) -> DataFrame:
