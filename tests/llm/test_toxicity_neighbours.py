@@ -41,7 +41,7 @@ def test_held_out_documents(spark):
     df = spark.createDataFrame([Row(doc_id=i, text=t, term="clash", score=1) for i, t, _ in docs] + [Row(doc_id=2000, text=None, term="", score=1), Row(doc_id=2001, text="", term="", score=1)])
     train = spark.createDataFrame([Row(doc_id=i, text=t, y=y) for i, t, y in docs if i % 3] + [Row(doc_id=1, text=docs[1][1], y=None)], "doc_id long, text string, y int")
     train = spark.createDataFrame([(i, t, y) for i, t, y in docs if (i // 6) % 3], "doc_id long, text string, y int")
-    out = {r["doc_id"]: r for r in tn.score(df, train).collect()}
+    out = {r["doc_id"]: r for r in tn.score(df, train, least_g=2.7).collect()}
     assert len(out) == 902 and all(0 <= r["score"] <= 1 for r in out.values())
     held = [(out[i]["predicted"], y) for i, _, y in docs if not (i // 6) % 3]
     assert sum(p == y for p, y in held) >= 0.97 * len(held)
