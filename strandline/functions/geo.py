@@ -79,6 +79,61 @@ def segment_distance(x: Column, y: Column, ax: Column, ay: Column, bx: Column, b
     return F.hypot(x - (ax + t * (bx - ax)), y - (ay + t * (by - ay)))
 
 
+def strictly_inside(x: Column, y: Column, ring: Column) -> Column:
+    """Inside by the even-odd rule and on no edge."""
+    def on(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        cross = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
+        return (cross == 0) & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+
+    return in_ring(x, y, ring) & ~F.exists(edges(ring), on)
+
+
+def path_distance(x: Column, y: Column, path: Column) -> Column:
+    """Distance of a point from the nearest of some segments (structs a, b)."""
+    return F.array_min(F.transform(path, lambda e: segment_distance(x, y, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])))
+
+
+def paths_distance(left: Column, right: Column) -> Column:
+    """Distance of two lines or outlines given as segments (structs a, b): 0 where they cross or touch, or where one holds
+    the other's first vertex."""
+    def side(a: Column, b: Column, p: Column) -> Column:
+        return (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+
+    def apart(e: Column, f: Column) -> Column:
+        crossed = (side(e["a"], e["b"], f["a"]) * side(e["a"], e["b"], f["b"]) < 0) & (side(f["a"], f["b"], e["a"]) * side(f["a"], f["b"], e["b"]) < 0)
+        ends = [segment_distance(p["x"], p["y"], s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]) for p, s in ((e["a"], f), (e["b"], f), (f["a"], e), (f["b"], e))]
+        return F.when(crossed, 0.0).otherwise(F.least(*ends))
+
+    def holds(outer: Column, inner: Column) -> Column:
+        p = F.element_at(inner, 1)["a"]
+        closed = F.element_at(outer, 1)["a"] == F.element_at(outer, -1)["b"]
+        return closed & in_ring(p["x"], p["y"], F.transform(outer, lambda e: e["a"]))
+
+    nearest = F.array_min(F.transform(left, lambda e: F.array_min(F.transform(right, lambda f: apart(e, f)))))
+    return F.when(holds(left, right) | holds(right, left), 0.0).otherwise(nearest)
+
+
+def circle_area(ring: Column, cx: float, cy: float, radius: float) -> Column:
+    """Area that a ring shares with a circle: for each edge the part inside the circle spans a triangle with the centre
+    and the parts outside span sectors, signed by direction."""
+    def turn(ux, uy, vx, vy) -> Column:
+        return F.atan2(ux * vy - uy * vx, ux * vx + uy * vy)
+
+    def of(e: Column) -> Column:
+        ax, ay, bx, by = e["a"]["x"] - cx, e["a"]["y"] - cy, e["b"]["x"] - cx, e["b"]["y"] - cy
+        dx, dy = bx - ax, by - ay
+        a, b = dx * dx + dy * dy, ax * dx + ay * dy
+        root = F.sqrt(F.greatest(b * b - a * (ax * ax + ay * ay - radius * radius), F.lit(0.0)))
+        meets = (a > 0) & (root > 0)
+        at = lambda t: F.when(meets, F.least(F.greatest(t / F.when(a > 0, a), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+        s, t = at(-b - root), at(-b + root)
+        px, py, qx, qy = ax + s * dx, ay + s * dy, ax + t * dx, ay + t * dy
+        return radius * radius * (turn(ax, ay, px, py) + turn(qx, qy, bx, by)) + px * qy - py * qx
+
+    return F.abs(F.aggregate(edges(ring), F.lit(0.0), lambda total, e: total + of(e))) / 2
+
+
 def separated(ring: Column, xmin, ymin, xmax, ymax) -> Column:
     """Whether some edge normal of a convex ring parts it from a box (the box's own axes are the bounding boxes)."""
     def apart(e: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.operators.iterate import checkpointed, components
+from strandline.operators.order import numbered
 from strandline.operators.raster import EIGHT, least_levels, neighbours
 
 
@@ -36,6 +37,7 @@ def directions(cells: DataFrame, value: str = "elev") -> DataFrame:
     return cells.where(F.col(value).isNotNull()).select("row", "col", value).join(best, ["row", "col"], "left").select("row", "col", value, F.col("n.n_row").alias("to_row"), F.col("n.n_col").alias("to_col"))
 
 
+#: Facets as (side, corner) offsets in the order that decides ties (fixed values of the method).
 FACETS = (((0, 1), (-1, 1)), ((-1, 0), (-1, 1)), ((-1, 0), (-1, -1)), ((0, -1), (-1, -1)), ((0, -1), (1, -1)), ((1, 0), (1, -1)), ((1, 0), (1, 1)), ((0, 1), (1, 1)))
 
 
@@ -89,10 +91,10 @@ def terminals(edges: DataFrame, nodes: DataFrame, most_rounds: int = 64) -> Data
 def pits(fill: DataFrame, least: int = 10) -> DataFrame:
     """row, col, elev, fill, pit: components (8 neighbours) of cells filled by more than ``least`` mm; pit is the
     rank of a component's first cell in row-major order."""
-    wet = fill.where(F.col("fill") - F.col("elev") > least).withColumn("node", F.col("row") * 1_000_000 + F.col("col"))
+    wet = fill.where(F.col("fill") - F.col("elev") > least).withColumn("node", F.col("row") * 1_000_000_000 + F.col("col"))
     pairs = neighbours(wet.select("row", "col", "node"), EIGHT, "node").where("node < n_node")
     roots = components(wet.select("node"), pairs.select(F.col("node").alias("a"), F.col("n_node").alias("b")))
-    numbers = roots.select("root").distinct().withColumn("pit", F.row_number().over(Window.orderBy("root")).cast("long"))
+    numbers = numbered(roots.select("root").distinct(), [F.col("root")], "pit")
     return wet.join(roots, "node").join(numbers, "root").select("row", "col", "elev", "fill", "pit")
 
 
@@ -125,6 +127,6 @@ def border_lengths(labels: DataFrame) -> DataFrame:
     return pairs.groupBy(F.least("label", "n_label").alias("a"), F.greatest("label", "n_label").alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def in_order(column: str) -> Column:
-    """Drain order: highest first."""
-    return F.row_number().over(Window.orderBy(F.desc(column), "row", "col"))
+def drain_order(cells: DataFrame, column: str) -> DataFrame:
+    """cells with their place: highest first, then by row and column."""
+    return numbered(cells, [F.desc(column), F.col("row"), F.col("col")], "place")

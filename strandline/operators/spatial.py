@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import geo
+from strandline.operators.iterate import checkpointed
 
 
 def bins_of_box(xmin, ymin, xmax, ymax, size: float) -> Column:
@@ -57,18 +58,22 @@ def nearest(left: DataFrame, right: DataFrame, distance: float, key: str = "id",
 
 
 def nearest_anywhere(left: DataFrame, right: DataFrame, first: float, key: str = "id", other: str = "rid", most_rounds: int = 40) -> DataFrame:
-    """Nearest without a bound: the search radius doubles for the points that have found none yet."""
-    out, todo, radius = None, left, first
+    """Nearest without a bound: the search radius doubles for the points that have found none yet. Points without a
+    position have no nearest one (null)."""
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
+    lost = left.where(~placed).select(key, F.lit(None).cast("long").alias(other), F.lit(None).cast("double").alias("d"))
+    out, todo, radius = lost, left.where(placed), first
+    right = right.where("rx is not null and ry is not null")
     if not right.limit(1).count():
         return left.select(key, F.lit(None).cast("long").alias(other), F.lit(None).cast("double").alias("d"))
     for _ in range(most_rounds):
-        found = nearest(todo, right, radius, key, other).persist()
-        out = found if out is None else out.unionByName(found)
-        todo = todo.join(found.select(key), key, "left_anti").persist()
-        if not todo.limit(1).count():
-            break
+        found = checkpointed(nearest(todo, right, radius, key, other))
+        out = out.unionByName(found)
+        todo = checkpointed(todo.join(found.select(key), key, "left_anti"))
+        if todo.isEmpty():
+            return out
         radius *= 2
-    return out
+    raise RuntimeError("some points are further from all others than the radius has grown to")
 
 
 def circle_overlap(boxes: DataFrame, cx: float, cy: float, radius: float) -> DataFrame:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline import testbed as tb
 from strandline.functions import codec
 from strandline.operators import raster
+from strandline.operators.iterate import shared_folder
+from strandline.operators.order import numbered
 from strandline.plans import rasters
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 c = F.col
 CELL, PATHS, BORDER = rasters.CELL, rasters.PATHS, rasters.BORDER
-BASIN = "bs as (select w.src as node, w.row * 1000 + w.col as root from walk w where not exists (select 1 from rec where rec.row = w.row and rec.col = w.col)), be as (select bs.root, cell.row, cell.col, (cell.row in (0, (select max(row) from cell)) or cell.col in (0, (select max(col) from cell))) as edge from bs join cell on cell.row * 1000 + cell.col = bs.node)"
+BASIN = "bs as (select w.src as node, w.row * 1000000000 + w.col as root from walk w where not exists (select 1 from rec where rec.row = w.row and rec.col = w.col)), be as (select bs.root, cell.row, cell.col, (cell.row in (0, (select max(row) from cell)) or cell.col in (0, (select max(col) from cell))) as edge from bs join cell on cell.row * 1000000000 + cell.col = bs.node)"
 
 
 def _register(name: str, sql: str | None = None):
@@ -28,7 +29,7 @@ def _register(name: str, sql: str | None = None):
 
 
 def _basins(spark, sf_dir):
-    cells = tb.cells(spark, sf_dir).withColumn("node", c("row") * 1000 + c("col"))
+    cells = tb.cells(spark, sf_dir).withColumn("node", c("row") * 1000000000 + c("col"))
     ends = F.broadcast(cells.agg(F.max("row").alias("r1"), F.max("col").alias("c1")))  # one row
     edge = (c("row") == 0) | (c("col") == 0) | (c("row") == c("r1")) | (c("col") == c("c1"))
     return rasters.basin_outlets(spark, sf_dir).join(cells, "node").join(ends, F.lit(True)).select("root", "node", "row", "col", edge.alias("edge"))
@@ -43,7 +44,7 @@ def edge_truncated_share(spark, sf_dir):
 @_register("g16_clipped_basins", f"with recursive {CELL}, {PATHS}, {BASIN}, k as (select root, count(*) as cells from be where row between 5 and 30 and col between 5 and 40 group by root) select root, dense_rank() over (order by root) as basin, cells from k")
 def clipped_basins(spark, sf_dir):
     b = _basins(spark, sf_dir).where("row between 5 and 30 and col between 5 and 40").groupBy("root").agg(F.count(F.lit(1)).alias("cells"))
-    return b.withColumn("basin", F.dense_rank().over(Window.orderBy("root")).cast("long"))
+    return numbered(b, [F.col("root")], "basin")
 
 
 @_register("g28_basin_export", f"with recursive {CELL}, {PATHS}, {BASIN} select root, count(*) * 25 as area, min(row) as north, max(row) as south, min(col) as west, max(col) as east from be group by root")
@@ -94,13 +95,11 @@ def typed_reread(spark, sf_dir):
 @_register("k01_layer_round_trip", f"with {CELL} select row, col, elev from cell")
 def layer_round_trip(spark, sf_dir):
     """A layer written as Parquet by area and condition in the shared folder and read again."""
-    import tempfile
     import uuid
 
     from strandline.sources.sinks import write_cells
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="layers-")
-    path = f"{folder}/layer-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/layer-{uuid.uuid4().hex}"
     cells = tb.cells(spark, sf_dir).select(F.lit("bench").alias("aoi"), F.lit("highres").alias("cond"), "row", "col", "elev", F.lit(None).cast("long").alias("h"))
     write_cells(cells, path)
     return spark.read.parquet(path).where("cond = 'highres'").select("row", "col", "elev")

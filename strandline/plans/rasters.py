@@ -195,9 +195,9 @@ def crest_blocks(spark, sf_dir):
     return band.where("cells >= 4")
 
 
-@_register("a23_spill_level", f"with recursive {CELL}, {LEV}, i as (select * from lev where col >= 2 and h is not null) select min(h) as spill, (select count(*) from i where h = (select min(h) from i)) as cells, (select min(row * 1000 + col) from i where h = (select min(h) from i)) as first_cell, quantile_cont(h, 0.05)::double as p5, quantile_cont(h, 0.5)::double as p50 from i")
+@_register("a23_spill_level", f"with recursive {CELL}, {LEV}, i as (select * from lev where col >= 2 and h is not null) select min(h) as spill, (select count(*) from i where h = (select min(h) from i)) as cells, (select min(row * 1000000000 + col) from i where h = (select min(h) from i)) as first_cell, quantile_cont(h, 0.05)::double as p5, quantile_cont(h, 0.5)::double as p50 from i")
 def spill_level(spark, sf_dir):
-    inland = h_conn(spark, sf_dir).where("col >= 2 and h is not null").withColumn("cell", c("row") * 1000 + c("col"))
+    inland = h_conn(spark, sf_dir).where("col >= 2 and h is not null").withColumn("cell", c("row") * 1000000000 + c("col"))
     low = inland.groupBy("h").agg(F.count(F.lit(1)).alias("cells"), F.min("cell").alias("first_cell")).agg(F.min("h").alias("spill"), F.min_by("cells", "h").alias("cells"), F.min_by("first_cell", "h").alias("first_cell"))
     return low.join(F.broadcast(inland.agg(F.percentile("h", 0.05).alias("p5"), F.percentile("h", 0.5).alias("p50"))), F.lit(True))
 
@@ -221,27 +221,27 @@ def d8_directions(spark, sf_dir):
 
 
 def _d8_edges(spark, sf_dir):
-    node = lambda r, k: F.col(r) * 1000 + F.col(k)
+    node = lambda r, k: F.col(r) * 1000000000 + F.col(k)
     d = d8_directions(spark, sf_dir).select(node("row", "col").alias("a"), node("to_row", "to_col").alias("b"))
     return d.select(c("a").alias("node")), d.where("b is not null")
 
 
-PATHS = f"{SLOPES}, walk(src, row, col) as (select row * 1000 + col, row, col from cell where elev is not null union all select w.src, rec.tr, rec.tc from walk w join rec on rec.row = w.row and rec.col = w.col)"
+PATHS = f"{SLOPES}, walk(src, row, col) as (select row * 1000000000 + col, row, col from cell where elev is not null union all select w.src, rec.tr, rec.tc from walk w join rec on rec.row = w.row and rec.col = w.col)"
 
 
-@_register("g08_d8_accumulation", f"with recursive {CELL}, {PATHS} select row * 1000 + col as node, count(*)::double as acc from walk group by 1")
+@_register("g08_d8_accumulation", f"with recursive {CELL}, {PATHS} select row * 1000000000 + col as node, count(*)::double as acc from walk group by 1")
 def d8_accumulation(spark, sf_dir):
     nodes, edges = _d8_edges(spark, sf_dir)
     return flow.accumulated(edges.withColumn("share", F.lit(1.0)), nodes.withColumn("w", F.lit(1.0)))
 
 
-@_register("g14_basin_outlets", f"with recursive {CELL}, {PATHS} select w.src as node, w.row * 1000 + w.col as root from walk w where not exists (select 1 from rec where rec.row = w.row and rec.col = w.col)")
+@_register("g14_basin_outlets", f"with recursive {CELL}, {PATHS} select w.src as node, w.row * 1000000000 + w.col as root from walk w where not exists (select 1 from rec where rec.row = w.row and rec.col = w.col)")
 def basin_outlets(spark, sf_dir):
     nodes, edges = _d8_edges(spark, sf_dir)
     return flow.terminals(edges, nodes)
 
 
-@_register("a33_flow_summary", f"with recursive {CELL}, {PATHS}, t as (select w.src, w.row * 1000 + w.col as root from walk w where not exists (select 1 from rec where rec.row = w.row and rec.col = w.col)), b as (select root, count(*) as n from t group by 1) select count(*) as basins, max(n) as largest, sum(n)::bigint as cells, round(avg(n), 6) as mean_cells from b")
+@_register("a33_flow_summary", f"with recursive {CELL}, {PATHS}, t as (select w.src, w.row * 1000000000 + w.col as root from walk w where not exists (select 1 from rec where rec.row = w.row and rec.col = w.col)), b as (select root, count(*) as n from t group by 1) select count(*) as basins, max(n) as largest, sum(n)::bigint as cells, round(avg(n), 6) as mean_cells from b")
 def flow_summary(spark, sf_dir):
     sizes = basin_outlets(spark, sf_dir).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.count(F.lit(1)).alias("basins"), F.max("n").alias("largest"), F.sum("n").alias("cells"), F.round(F.avg("n"), 6).alias("mean_cells"))
@@ -249,7 +249,7 @@ def flow_summary(spark, sf_dir):
 
 @_register("g10_drain_order", f"with recursive {CELL}, {FILL} select row, col, row_number() over (order by fill desc, row, col) as place from fil")
 def drain_order(spark, sf_dir):
-    return fill(spark, sf_dir).where("fill is not null").select("row", "col", flow.in_order("fill").cast("long").alias("place"))
+    return fill(spark, sf_dir).where("fill is not null").select("row", "col", "fill").transform(flow.drain_order, "fill").drop("fill")
 
 
 @_register("g09_facet_directions")
@@ -260,8 +260,8 @@ def facet_directions(spark, sf_dir):
 
 @_register("g11_facet_accumulation")
 def facet_accumulation(spark, sf_dir):
-    d = flow.facet_directions(tb.cells(spark, sf_dir)).withColumn("node", c("row") * 1000 + c("col"))
-    edges = d.where("slope is not null").select(c("node").alias("a"), F.explode(F.array(F.struct((c("to1.row") * 1000 + c("to1.col")).alias("b"), c("p1").alias("share")), F.struct((c("to2.row") * 1000 + c("to2.col")).alias("b"), c("p2").alias("share")))).alias("e")).select("a", "e.b", "e.share").where("share > 0")
+    d = flow.facet_directions(tb.cells(spark, sf_dir)).withColumn("node", c("row") * 1000000000 + c("col"))
+    edges = d.where("slope is not null").select(c("node").alias("a"), F.explode(F.array(F.struct((c("to1.row") * 1000000000 + c("to1.col")).alias("b"), c("p1").alias("share")), F.struct((c("to2.row") * 1000000000 + c("to2.col")).alias("b"), c("p2").alias("share")))).alias("e")).select("a", "e.b", "e.share").where("share > 0")
     # facets can point level or uphill on one side: keep the strictly descending part, whose graph has no cycle
     z = d.select("node", c("elev").alias("z"))
     down = edges.join(z.select(c("node").alias("a"), c("z").alias("za")), "a").join(z.select(c("node").alias("b"), c("z").alias("zb")), "b").where("za > zb")
@@ -270,7 +270,7 @@ def facet_accumulation(spark, sf_dir):
     return flow.accumulated(down, d.select("node", F.lit(1.0).alias("w"))).withColumn("acc", F.round("acc", 6))
 
 
-WETCELLS = "wet as (select row, col, elev, fill, row * 1000000 + col as node from fil where fill - elev > 10), cc(node, row, col, root) as (select node, row, col, node from wet union select n.node, n.row, n.col, r.root from cc r join wet n on greatest(abs(n.row - r.row), abs(n.col - r.col)) = 1), rt as (select node, min(root) as root from cc group by node), pit as (select wet.*, dense_rank() over (order by root) as pit from wet join rt using (node))"
+WETCELLS = "wet as (select row, col, elev, fill, row * 1000000000 + col as node from fil where fill - elev > 10), cc(node, row, col, root) as (select node, row, col, node from wet union select n.node, n.row, n.col, r.root from cc r join wet n on greatest(abs(n.row - r.row), abs(n.col - r.col)) = 1), rt as (select node, min(root) as root from cc group by node), pit as (select wet.*, dense_rank() over (order by root) as pit from wet join rt using (node))"
 
 
 @_register("g19_pit_labels", f"with recursive {CELL}, {FILL}, {WETCELLS} select row, col, elev, fill, pit from pit")
@@ -298,7 +298,7 @@ def basin_borders(spark, sf_dir):
     return flow.border_lengths(tb.cells(spark, sf_dir).select("row", "col", F.floor(F.coalesce("elev", F.lit(0)) / 700).alias("label")))
 
 
-SEEDC = f"low as (select row, col, row * 1000 + col as node from cell where coalesce(elev <= 1400, true)), cs(node, row, col, root) as (select node, row, col, node from low union select n.node, n.row, n.col, r.root from cs r join low n on abs(n.row - r.row) + abs(n.col - r.col) = 1), rs as (select node, min(root) as root from cs group by node), sz as (select root, count(*) as n, bool_or({BORDER}) as edge from rs join low using (node) group by root)"
+SEEDC = f"low as (select row, col, row * 1000000000 + col as node from cell where coalesce(elev <= 1400, true)), cs(node, row, col, root) as (select node, row, col, node from low union select n.node, n.row, n.col, r.root from cs r join low n on abs(n.row - r.row) + abs(n.col - r.col) = 1), rs as (select node, min(root) as root from cs group by node), sz as (select root, count(*) as n, bool_or({BORDER}) as edge from rs join low using (node) group by root)"
 
 
 @_register("g02_open_water", f"with recursive {CELL}, {SEEDC} select low.row, low.col, root from low join rs using (node) join sz using (root) where n >= 5 and edge")
@@ -306,7 +306,7 @@ def open_water(spark, sf_dir):
     from strandline.operators.iterate import components
 
     cells = tb.cells(spark, sf_dir)
-    low = cells.where(F.coalesce(c("elev") <= 1400, F.lit(True))).withColumn("node", c("row") * 1000 + c("col"))
+    low = cells.where(F.coalesce(c("elev") <= 1400, F.lit(True))).withColumn("node", c("row") * 1000000000 + c("col"))
     pairs = raster.neighbours(low.select("row", "col", "node"), raster.structure(4), "node").select(c("node").alias("a"), c("n_node").alias("b"))
     ends = F.broadcast(cells.agg(F.max("row").alias("r1"), F.max("col").alias("c1")))
     roots = low.join(components(low.select("node"), pairs), "node").join(ends, F.lit(True))
@@ -319,7 +319,7 @@ def open_water(spark, sf_dir):
 def component_stats(spark, sf_dir):
     from strandline.operators.iterate import components
 
-    low = tb.cells(spark, sf_dir).where(F.coalesce(c("elev") <= 1400, F.lit(True))).withColumn("node", c("row") * 1000 + c("col"))
+    low = tb.cells(spark, sf_dir).where(F.coalesce(c("elev") <= 1400, F.lit(True))).withColumn("node", c("row") * 1000000000 + c("col"))
     pairs = raster.neighbours(low.select("row", "col", "node"), raster.structure(4), "node").select(c("node").alias("a"), c("n_node").alias("b"))
     roots = low.join(components(low.select("node"), pairs), "node")
     return roots.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("row"), 6).alias("mid_row"), F.round(F.avg("col"), 6).alias("mid_col")).where("n >= 3")
@@ -335,6 +335,6 @@ def region_edges(spark, sf_dir):
 def seed_components(spark, sf_dir):
     from strandline.operators.iterate import components
 
-    low = tb.cells(spark, sf_dir).where(F.coalesce(c("elev") <= 1400, F.lit(True))).withColumn("node", c("row") * 1000 + c("col"))
+    low = tb.cells(spark, sf_dir).where(F.coalesce(c("elev") <= 1400, F.lit(True))).withColumn("node", c("row") * 1000000000 + c("col"))
     pairs = raster.neighbours(low.select("row", "col", "node"), raster.structure(4), "node").select(c("node").alias("a"), c("n_node").alias("b"))
     return components(low.select("node"), pairs).join(low.where("seed").select("node"), "node", "left_semi").select("root").distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline import testbed as tb
 from strandline.functions import geo
+from strandline.operators.order import running_sums
 from strandline.operators import series
 from strandline.sources import parsers, sinks
 
@@ -119,13 +120,13 @@ def local_time(spark, sf_dir):
 
 #: Fixed-width lines made of a customer's key: 24 heights, a date and the station.
 def _tide_text(spark, sf_dir):
-    f = tb.features(spark, sf_dir).where("id < 300")
+    f = tb.features(spark, sf_dir)
     cm = [F.when((c("id") + i) % 29 == 0, F.lit("   ")).otherwise(F.lpad(((c("id") * 7 + i * 11) % 200).cast("string"), 3, " ")) for i in range(24)]
     date = [F.lpad(x.cast("string"), 2, " ") for x in (F.when(c("id") % 2 == 0, 24).otherwise(99), c("id") % 12 + 1, c("id") % 28 + 1)]
     return f.select(F.concat(*cm, *date, F.when(c("id") % 5 == 0, "XX").otherwise("OS")).alias("value"))
 
 
-TIDE = "t as (select make_date(cast(case when id % 2 = 0 then 2024 else 1999 end as bigint), id % 12 + 1, id % 28 + 1) as day, h as hour, (id * 7 + h * 11) % 200 as cm, (id + h) % 29 = 0 as blank, id from fc, range(24) r(h) where id < 300 and id % 5 <> 0)"
+TIDE = "t as (select make_date(cast(case when id % 2 = 0 then 2024 else 1999 end as bigint), id % 12 + 1, id % 28 + 1) as day, h as hour, (id * 7 + h * 11) % 200 as cm, (id + h) % 29 = 0 as blank, id from fc, range(24) r(h) where id % 5 <> 0)"
 
 
 @_register("s13_tide_lines", f"with {FC}, {TIDE} select cast(day as varchar) as day, hour, cm from t where not blank")
@@ -195,8 +196,7 @@ def truncation_guard(spark, sf_dir):
 @_register("t06_budget_prefix", f"with {FC}, r as (select id, sum(section * 10 + 1) over (order by frontage nulls last, id) as points, sum(section * 100 + 5) over (order by frontage nulls last, id) as bytes from fc) select id from r where points <= 8000 and bytes <= 90000")
 def budget_prefix(spark, sf_dir):
     """Nodes in order until a budget is spent: the sums only grow, so the prefix is a filter on them."""
-    w = Window.orderBy(F.asc_nulls_last("frontage"), "id")
-    r = tb.features(spark, sf_dir).select("id", F.sum(c("section") * 10 + 1).over(w).alias("points"), F.sum(c("section") * 100 + 5).over(w).alias("bytes"))
+    r = running_sums(tb.features(spark, sf_dir), [F.asc_nulls_last("frontage"), F.col("id")], {"points": c("section") * 10 + 1, "bytes": c("section") * 100 + 5})
     return r.where("points <= 8000 and bytes <= 90000").select("id")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline import testbed as tb
 from strandline.functions import flood, geo
 from strandline.operators import networks, spatial
+from strandline.operators.order import numbered
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -337,9 +338,9 @@ def union_parts(spark, sf_dir):
     return a.unionByName(roads(spark, sf_dir).select(F.lit("supplier").alias("part"), "id"))
 
 
-@_register("k06_union_of_keys", f"with {FC}, {ROAD} select id, ground, null::bigint as y from fc where id < 100 union all select id, null, y from road")
+@_register("k06_union_of_keys", f"with {FC}, {ROAD} select id, ground, null::bigint as y from fc union all select id, null, y from road")
 def union_of_keys(spark, sf_dir):
-    return tb.features(spark, sf_dir).where("id < 100").select("id", "ground").unionByName(roads(spark, sf_dir).select("id", "y"), allowMissingColumns=True)
+    return tb.features(spark, sf_dir).select("id", "ground").unionByName(roads(spark, sf_dir).select("id", "y"), allowMissingColumns=True)
 
 
 @_register("k07_index_upsert", f"with {FC} select id, case when id % 3 = 0 then 'new' else 'old' end as state from fc where id % 3 = 0 or id % 2 = 0")
@@ -356,11 +357,11 @@ def content_hash(spark, sf_dir):
     return rows.select("code", F.sha2(F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), 256).alias("version"))
 
 
-@_register("j12_nearest_water", f"with {tb.cells_sql()}, p as (select row, col from cell where (row * 7 + col * 13) % 211 = 5), k as (select p.row, p.col, s.row as wr, s.col as wc, row_number() over (partition by p.row, p.col order by (p.row - s.row) * (p.row - s.row) + (p.col - s.col) * (p.col - s.col), s.row * 1000 + s.col) as n from p, cell s where s.seed) select row * 1000 + col as id, wr * 1000 + wc as rid from k where n = 1")
+@_register("j12_nearest_water", f"with {tb.cells_sql()}, p as (select row, col from cell where elev is not null and not seed), k as (select p.row, p.col, s.row as wr, s.col as wc, row_number() over (partition by p.row, p.col order by (p.row - s.row) * (p.row - s.row) + (p.col - s.col) * (p.col - s.col), s.row * 1000000000 + s.col) as n from p, cell s where s.seed) select row * 1000000000 + col as id, wr * 1000000000 + wc as rid from k where n = 1")
 def nearest_water(spark, sf_dir):
     cells = tb.cells(spark, sf_dir)
-    p = cells.where("(row * 7 + col * 13) % 211 = 5").select((c("row") * 1000 + c("col")).alias("id"), c("col").alias("x"), c("row").alias("y"))
-    s = cells.where("seed").select((c("row") * 1000 + c("col")).alias("rid"), c("col").alias("rx"), c("row").alias("ry"))
+    p = cells.where("elev is not null and not seed").select((c("row") * 1000000000 + c("col")).alias("id"), c("col").alias("x"), c("row").alias("y"))
+    s = cells.where("seed").select((c("row") * 1000000000 + c("col")).alias("rid"), c("col").alias("rx"), c("row").alias("ry"))
     return spatial.nearest_anywhere(p, s, 8.0).select("id", "rid")
 
 
@@ -422,12 +423,12 @@ def convex_hull(spark, sf_dir):
     return spatial.hulls(tb.features(spark, sf_dir).select("code", "x", "y"), "code")
 
 
-EDGE = "e0 as (select least(a.l_suppkey, b.l_suppkey) as i, greatest(a.l_suppkey, b.l_suppkey) as j from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber - 1 where a.l_orderkey % 5 = 0 and a.l_suppkey <> b.l_suppkey), edge as (select i, j, min(abs(i * 6151 % 1000 - j * 6151 % 1000) + abs(i * 3571 % 1000 - j * 3571 % 1000)) as w from e0 group by 1, 2)"
+EDGE = "e0 as (select least(a.l_suppkey, b.l_suppkey) as i, greatest(a.l_suppkey, b.l_suppkey) as j from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber - 1 where a.l_suppkey <> b.l_suppkey), edge as (select i, j, min(abs(i * 6151 % 1000 - j * 6151 % 1000) + abs(i * 3571 % 1000 - j * 3571 % 1000)) as w from e0 group by 1, 2)"
 
 
 def graph(spark, sf_dir):
-    """Suppliers of consecutive items of some orders are linked; weights are Manhattan distances."""
-    l = tb.table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").select("l_orderkey", "l_linenumber", "l_suppkey")  # noqa: E741
+    """Suppliers of consecutive items of an order are linked; weights are Manhattan distances."""
+    l = tb.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")  # noqa: E741
     nxt = l.select("l_orderkey", (c("l_linenumber") - 1).alias("l_linenumber"), c("l_suppkey").alias("j"))
     at = lambda k: (c(k) * 6151 % 1000, c(k) * 3571 % 1000)
     (xi, yi), (xj, yj) = at("i"), at("j")
@@ -453,11 +454,11 @@ def graph_components(spark, sf_dir):
     return components(tb.table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("node")), e)
 
 
-DIJ = "und as (select i as a, j as b, w from edge union all select j, i, w from edge), dj(node, d) as (select s_suppkey, s_suppkey % 3 * 10 from supplier where s_suppkey % 40 = 1 union select b, d + w from dj join und on und.a = dj.node where d + w <= 400), sp as (select node, min(d)::double as d from dj group by node)"
+DIJ = "und as (select i as a, j as b, w from edge union all select j, i, w from edge), dj(node, d) as (select s_suppkey, s_suppkey % 3 * 10 from supplier where s_nationkey = 1 union select b, d + w from dj join und on und.a = dj.node where d + w <= 400), sp as (select node, min(d)::double as d from dj group by node)"
 
 
 def _sources(spark, sf_dir):
-    return tb.table(spark, sf_dir, "supplier").where("s_suppkey % 40 = 1").select(c("s_suppkey").alias("node"), (c("s_suppkey") % 3 * 10).alias("d"))
+    return tb.table(spark, sf_dir, "supplier").where("s_nationkey = 1").select(c("s_suppkey").alias("node"), (c("s_suppkey") % 3 * 10).alias("d"))
 
 
 @_register("g24_shortest_paths", f"with recursive {EDGE}, {DIJ} select node, d from sp")
@@ -512,9 +513,9 @@ def main_channel(spark, sf_dir):
     return networks.main_channel(d, s.where("node in (1, 2, 5)"))
 
 
-@_register("t02_outfall_selection", f"with {tb.cells_sql()}, p as (select row * 1000 + col as id, elev, (row * 31 + col * 17) % 90 + 1 as area, row, col from cell where elev is not null and (row * 7 + col * 13) % 11 = 3) select id, elev, area from p where area >= 25 and elev < 1500 order by elev, area desc, id limit 60")
+@_register("t02_outfall_selection", f"with {tb.cells_sql()}, p as (select row * 1000000000 + col as id, elev, (row * 31 + col * 17) % 90 + 1 as area, row, col from cell where elev is not null) select id, elev, area from p where area >= 25 and elev < 1500 order by elev, area desc, id limit 60")
 def outfall_selection(spark, sf_dir):
-    p = tb.cells(spark, sf_dir).where("elev is not null and (row * 7 + col * 13) % 11 = 3").select((c("row") * 1000 + c("col")).alias("id"), "elev", ((c("row") * 31 + c("col") * 17) % 90 + 1).alias("area"))
+    p = tb.cells(spark, sf_dir).where("elev is not null").select((c("row") * 1000000000 + c("col")).alias("id"), "elev", ((c("row") * 31 + c("col") * 17) % 90 + 1).alias("area"))
     return p.where("area >= 25 and elev < 1500").orderBy("elev", F.desc("area"), "id").limit(60)
 
 
@@ -551,7 +552,7 @@ QUERIES["w04_contiguous_runs"], ORACLES["w04_contiguous_runs"] = inside_runs, OR
 @_register("t08_large_sorted", f"with {FC}, a as (select id, section * frontage as area from fc) select id, area, row_number() over (order by area desc, id) as place from a where area >= 4")
 def large_sorted(spark, sf_dir):
     a = tb.features(spark, sf_dir).select("id", (c("section") * c("frontage")).alias("area")).where("area >= 4")
-    return a.withColumn("place", F.row_number().over(Window.orderBy(F.desc("area"), "id")).cast("long"))
+    return numbered(a, [F.desc("area"), F.col("id")], "place")
 
 
 @_register("m21_scenario_names", f"with {FS} select distinct level, 'drainage_H' || cast(level as varchar) as name from fs")

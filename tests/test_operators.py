@@ -90,3 +90,30 @@ def test_hourly_peaks_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("peaks").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r["peak"] for r in spark.table("peaks").collect()) == [30, 130, 230, 330]
+
+
+def test_region_rings_and_shared_areas(spark):
+    from strandline.functions import geo
+    from strandline.operators import polygons
+
+    rows = ["#####..", "#...#..", "#.#.#..", "#...#.#", "#####.."]
+    cells = spark.createDataFrame([(r, k, 1 if x == "#" else None) for r, line in enumerate(rows) for k, x in enumerate(line)], "row long, col long, v int")
+    got = sorted((r["sides"], r["area"]) for r in polygons.region_rings(cells, "v").collect())
+    assert got == [(4, 1.0), (4, 1.0), (12, -9.0), (20, 25.0)]
+    square = spark.sql("select array(named_struct('x', -1D, 'y', -1D), named_struct('x', 1D, 'y', -1D), named_struct('x', 1D, 'y', 1D), named_struct('x', -1D, 'y', 1D)) as ring")
+    for radius, want in ((0.5, 3.14159265 * 0.25), (5.0, 4.0)):
+        assert abs(square.select(geo.circle_area(square["ring"], 0.0, 0.0, radius)).first()[0] - want) < 1e-6
+    assert abs(square.select(geo.circle_area(square["ring"], 1.0, 0.0, 0.5)).first()[0] - 3.14159265 * 0.125) < 1e-6
+
+
+def test_numbers_and_sums_in_one_order(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.operators import order
+
+    df = spark.range(1000).withColumn("v", (F.col("id") * 7919 % 1000))
+    got = {r["id"]: r["n"] for r in order.numbered(df, [F.desc("v")], "n").collect()}
+    assert got == {i: 1000 - i * 7919 % 1000 for i in range(1000)}
+    got = {r["v"]: r["s"] for r in order.running_sums(df, [F.col("v")], {"s": F.col("v") * 2}).collect()}
+    assert got == {v: v * (v + 1) for v in range(1000)}
+    assert order.numbered(df.where("id < 0"), [F.col("v")], "n").count() == 0
