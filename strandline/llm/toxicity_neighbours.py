@@ -176,7 +176,7 @@ def example_rows(labelled: DataFrame, max_examples: int) -> DataFrame:
     return checkpointed(some.join(ids, same, "left_semi").dropDuplicates(["doc_id", "key", "y"]))
 
 
-def score(docs: DataFrame, labelled: DataFrame, max_examples: int = 2048, k: int = 25, threshold: float = 0.7, least_g: float = 6.63, least_docs: int = 8) -> DataFrame:
+def score(docs: DataFrame, labelled: DataFrame, max_examples: int = 1024, k: int = 25, threshold: float = 0.7, least_g: float = 6.63, least_docs: int = 8) -> DataFrame:
     """One row for each document: doc_id, score (0 to 1), predicted (score >= threshold), evidence (example doc_ids).
 
     labelled: doc_id, text, y (0 or 1; other labels and null ones are left out). A text without vocabulary terms
