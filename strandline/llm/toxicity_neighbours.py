@@ -201,7 +201,13 @@ def score(docs: DataFrame, labelled: DataFrame, max_examples: int = 1024, k: int
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(None).cast("int").alias("y")).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     counted = checkpointed(texts.mapInPandas(count, sparse))
     n_docs = counted.count()
-    found = counted.select(F.explode("term").alias("term")).groupBy("term").count().collect()  # at most a row for each vocabulary term
+
+    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            terms, n = np.unique(np.concatenate([np.asarray(t, np.int64) for t in batch["term"]]), return_counts=True) if len(batch) else ([], [])
+            yield pd.DataFrame({"term": terms, "n": n}).astype("int64")
+
+    found = counted.select("term").mapInPandas(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("count")).collect()  # at most a row for each vocabulary term
     idf = np.full(len(names) + 1, math.log(1 + n_docs) + 1.0)
     for r in found:
         idf[r["term"]] = math.log((1 + n_docs) / (1 + r["count"])) + 1.0
