@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import WordHashes, checkpointed, grouped_stream, mix64, partitions, table
+from strandline.llm.common import checkpointed, grouped_stream, mix64, partitions, table
 
 LEADING, LEAST_TOKENS, SIMILARITY, FAMILIES = 3, 1, 0.6, 4.0
 LEAF_LINES = 20_000  # distinct lines of a leaf that are parsed at once, on average
 VARIABLE, DIGIT = b"<*>", re.compile(rb"[0-9]").search
 HASHES, MATCHES = 8, 3  # a line is found in a document that has so many of its min-hashes
 SKETCH_LINES = 48  # longer documents are compared by the lines of the smallest min-hashes
+BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # a hash of each byte
 OWN_LINES, OWN_SHARE, OWN_MOST = 2, 0.15, 0.5  # own text: so many lines and share of the words, or most of the words
 
 
@@ -71,33 +72,58 @@ def parsed_lines(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, text_key long, leaf long, form long")
 
 
-def sketches_of(docs: list[list[bytes]], hashes: WordHashes) -> list[bytes]:
-    """For each document (its lines): limit, then number of tokens and min-hashes of each line; of long documents the
-    lines up to the limit."""
-    tokens = [x.split(b" ") for lines in docs for x in lines]
-    sizes = np.array([len(x) for x in tokens], np.int64)
-    ends = np.cumsum(sizes)
-    h = hashes.of([t for x in tokens for t in x])
+def token_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens of masked lines, and which of them end a line: sums over the bytes of a token, weighed by place."""
+    data = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
+    ends = np.flatnonzero((data == 32) | (data == 10))
+    starts = np.append(0, ends[:-1] + 1)
+    sizes = ends - starts + 1
+    weight = np.multiply.accumulate(np.full(int(sizes.max()), 0xD6E8FEB86659FD93, np.uint64))
+    h = weight[np.arange(len(data)) - np.repeat(starts, sizes)]
+    h *= BYTES[data]
+    h[ends] = 0
+    return np.add.reduceat(h, starts), data[ends] == 10
+
+
+def line_rows(lines: list[bytes]) -> np.ndarray:
+    """Number of tokens and min-hashes of the word pairs of each line."""
+    h, last = token_hashes(lines)
+    ends = np.flatnonzero(last) + 1
+    sizes = np.diff(ends, prepend=0)
     pairs = h * np.uint64(0x9E3779B97F4A7C15)
     pairs[:-1] += h[1:]
     single = sizes == 1
     pairs[ends[single] - 1] = h[ends[single] - 1]  # a token alone stands for itself
-    last = ends[~single] - 1
-    rows = np.empty((len(tokens), HASHES + 1), np.uint32)
+    across = ends[~single] - 1
+    rows = np.empty((len(lines), HASHES + 1), np.uint32)
     rows[:, 0] = sizes
     for k in range(0, HASHES, 2):  # two from each mixed value
         mixed = mix64(pairs + np.uint64(0x632BE59BD9B4E019 * (k + 1) % (1 << 64)))
-        mixed[last] = 0xFFFFFFFFFFFFFFFF  # the pairs across two lines
+        mixed[across] = 0xFFFFFFFFFFFFFFFF  # the pairs across two lines
         for i, half in enumerate((mixed >> np.uint64(32), mixed & np.uint64(0xFFFFFFFF))):
             rows[:, k + 1 + i] = np.minimum.reduceat(half, ends - sizes)
+    return rows
+
+
+def sketches_of(docs: list[list[bytes]]) -> list[bytes]:
+    """For each document (its lines): limit, then number of tokens and min-hashes of each line; of long documents the
+    lines up to the limit."""
+    lines = [x for mine in docs for x in mine]
+    parts, first, size = [], 0, 0
+    for i, line in enumerate(lines):  # all lines are hashed, in parts of a bounded size
+        size += len(line)
+        if size > 200_000 or i + 1 == len(lines):
+            parts.append(line_rows(lines[first : i + 1]))
+            first, size = i + 1, 0
+    rows = np.concatenate(parts)
     out, at = [], 0
-    for lines in docs:
-        mine, limit = rows[at : at + len(lines)], 0xFFFFFFFF
-        at += len(lines)
-        if len(mine) > SKETCH_LINES:
-            mine = mine[np.argsort(mine[:, 1], kind="stable")[:SKETCH_LINES]]
-            limit = int(mine[-1, 1])
-        out.append(np.uint32(limit).tobytes() + mine.tobytes())
+    for mine in docs:
+        own, limit = rows[at : at + len(mine)], 0xFFFFFFFF
+        at += len(mine)
+        if len(own) > SKETCH_LINES:
+            own = own[np.argsort(own[:, 1], kind="stable")[:SKETCH_LINES]]
+            limit = int(own[-1, 1])
+        out.append(np.uint32(limit).tobytes() + own.tobytes())
     return out
 
 
@@ -105,7 +131,6 @@ def sketches(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
     """s_id, s_key and the sketch of every document with lines of enough tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes(100_000)
         for batch in batches:
             held, size = [], 0
             for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
@@ -114,13 +139,13 @@ def sketches(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
                     held.append((doc_id, key, lines))
                     size += len(text)
                 if size > 200_000:
-                    yield sketched(held, hashes)
+                    yield sketched(held)
                     held, size = [], 0
             if held:
-                yield sketched(held, hashes)
+                yield sketched(held)
 
-    def sketched(held: list, hashes: WordHashes) -> pd.DataFrame:
-        return pd.DataFrame({"s_id": [i for i, _, _ in held], "s_key": [k for _, k, _ in held], "sketch": sketches_of([x for _, _, x in held], hashes)})
+    def sketched(held: list) -> pd.DataFrame:
+        return pd.DataFrame({"s_id": [i for i, _, _ in held], "s_key": [k for _, k, _ in held], "sketch": sketches_of([x for _, _, x in held])})
 
     return docs.mapInPandas(run, "s_id long, s_key long, sketch binary")
 
