@@ -76,6 +76,22 @@ def accumulated(edges: DataFrame, weights: DataFrame, most_rounds: int = 10_000)
     raise RuntimeError("the graph has a cycle or a longer path than allowed")
 
 
+def accumulated_paths(edges: DataFrame, weights: DataFrame) -> DataFrame:
+    """node, acc like ``accumulated`` where at most one edge (a, b) leaves a node and takes all: jumps double, so rounds
+    grow with the logarithm of the longest path. After a round acc holds what comes from less than 2^round edges away."""
+    jump = checkpointed(edges.select("a", "b"))
+    most, step = jump.count() + 1, 1
+    acc = checkpointed(weights.groupBy("node").agg(F.sum(F.col("w").cast("double")).alias("acc")))
+    while step <= 2 * most:
+        if not jump.limit(1).count():
+            return acc
+        far = acc.join(jump, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "acc")
+        acc = checkpointed(acc.unionByName(far).groupBy("node").agg(F.sum("acc").alias("acc")))
+        jump = checkpointed(jump.join(jump.select(F.col("a").alias("b"), F.col("b").alias("far")), "b").select("a", F.col("far").alias("b")))
+        step *= 2
+    raise RuntimeError("the graph has a cycle")
+
+
 def terminals(edges: DataFrame, nodes: DataFrame, most_rounds: int = 64) -> DataFrame:
     """node, root: the end of each node's path along single edges (a, b), by pointer doubling."""
     jump = checkpointed(nodes.select("node").join(edges.select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "node").alias("root")))

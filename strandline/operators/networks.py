@@ -65,15 +65,17 @@ def upstream(down: DataFrame, starts: DataFrame, most_rounds: int = 10_000) -> D
     raise RuntimeError("closure did not settle")
 
 
-def main_channel(donors: DataFrame, starts: DataFrame, most_rounds: int = 100_000) -> DataFrame:
+def main_channel(donors: DataFrame, starts: DataFrame) -> DataFrame:
     """start, i, node: from each start upwards, always to the donor (a flows to b) with the most accumulation ``acc``,
-    ties to the smaller ``k``."""
-    best = checkpointed(donors.groupBy(F.col("b").alias("node")).agg(F.max_by("a", F.struct("acc", (-F.col("k")).alias("k"))).alias("up")))
-    front = checkpointed(starts.select(F.col("node").alias("start"), F.lit(0).alias("i"), "node"))
-    out = front
-    for _ in range(most_rounds):
-        front = checkpointed(front.join(best, "node").select("start", (F.col("i") + 1).alias("i"), F.col("up").alias("node")))
-        if not front.limit(1).count():
-            return out
-        out = out.unionByName(front)
+    ties to the smaller ``k``. Jumps double, so rounds grow with the logarithm of the longest channel."""
+    jump = checkpointed(donors.groupBy(F.col("b").alias("node")).agg(F.max_by("a", F.struct("acc", (-F.col("k")).alias("k"))).alias("up")))
+    most, step = jump.count() + 1, 1
+    out = checkpointed(starts.select(F.col("node").alias("start"), F.lit(0).cast("long").alias("i"), "node"))
+    while step <= 2 * most:
+        far = checkpointed(out.join(jump, "node").select("start", (F.col("i") + step).alias("i"), F.col("up").alias("node")))
+        if not far.limit(1).count():
+            return out.withColumn("i", F.col("i").cast("int"))
+        out = checkpointed(out.unionByName(far))
+        jump = checkpointed(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", F.col("far").alias("up")))
+        step *= 2
     raise RuntimeError("a channel has a cycle")

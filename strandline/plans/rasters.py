@@ -232,7 +232,7 @@ PATHS = f"{SLOPES}, walk(src, row, col) as (select row * 1000000000 + col, row,
 @_register("g08_d8_accumulation", f"with recursive {CELL}, {PATHS} select row * 1000000000 + col as node, count(*)::double as acc from walk group by 1")
 def d8_accumulation(spark, sf_dir):
     nodes, edges = _d8_edges(spark, sf_dir)
-    return flow.accumulated(edges.withColumn("share", F.lit(1.0)), nodes.withColumn("w", F.lit(1.0)))
+    return flow.accumulated_paths(edges, nodes.withColumn("w", F.lit(1.0)))
 
 
 @_register("g14_basin_outlets", f"with recursive {CELL}, {PATHS} select w.src as node, w.row * 1000000000 + w.col as root from walk w where not exists (select 1 from rec where rec.row = w.row and rec.col = w.col)")

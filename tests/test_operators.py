@@ -3,8 +3,9 @@ import math
 import random
 
 import numpy as np
+import pytest
 
-from strandline.operators import flow, raster, spatial
+from strandline.operators import flow, networks, raster, spatial
 from strandline.sources import parsers
 from strandline.streaming import levels
 
@@ -56,10 +57,25 @@ def test_flow_conserves_and_fills(spark):
     edges = [(node(r["row"], r["col"]), node(r["to_row"], r["to_col"])) for r in flow.directions(cells).collect() if r["to_row"] is not None]
     nodes = [node(*k) for k, z in elev.items() if z is not None]
     acc = flow.accumulated(spark.createDataFrame([(a, b, 1.0) for a, b in edges], "a long, b long, share double"), spark.createDataFrame([(n, 1.0) for n in nodes], "node long, w double"))
+    doubled = flow.accumulated_paths(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(n, 1.0) for n in nodes], "node long, w double"))
+    assert sorted(map(tuple, doubled.collect())) == sorted(map(tuple, acc.collect()))
     ends = set(nodes) - {a for a, _ in edges}
     assert sum(r["acc"] for r in acc.collect() if r["node"] in ends) == len(nodes)
 
 
+def test_long_paths_and_cycles(spark):
+    chain = [(n, n + 1) for n in range(700)]
+    acc = flow.accumulated_paths(spark.createDataFrame(chain, "a long, b long"), spark.createDataFrame([(n, 1.0) for n in range(701)], "node long, w double"))
+    assert {r["node"]: r["acc"] for r in acc.collect()} == {n: n + 1.0 for n in range(701)}
+    donors = spark.createDataFrame([(b, a, 1, 0) for a, b in chain] + [(5000, 3, 1, 1)], "a long, b long, acc long, k long")
+    starts = spark.createDataFrame([(0,), (690,)], "node long")
+    want = sorted([(0, i, i) for i in range(701)] + [(690, i, 690 + i) for i in range(11)])
+    assert sorted(map(tuple, networks.main_channel(donors, starts).collect())) == want
+    ring = spark.createDataFrame([(0, 1), (1, 0)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        flow.accumulated_paths(ring, spark.createDataFrame([(0, 1.0)], "node long, w double"))
+
+
 def test_circle_overlap_matches_sampling(spark):
     boxes = [(i, float(x), float(y), float(x) + 30.0, float(y) + 20.0) for i, (x, y) in enumerate((a, b) for a in np.arange(-60.0, 60.0, 30) for b in np.arange(-60.0, 60.0, 20))]
     df = spark.createDataFrame(boxes, "area int, xmin double, ymin double, xmax double, ymax double")
