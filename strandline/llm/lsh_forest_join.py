@@ -8,7 +8,7 @@ texts form components, which are verified exactly: within a component the shingl
 intersections are counted tile by tile, so that no task holds more than two blocks of a component. How many links were
 missed follows from those found: a link of similarity s shares a prefix of length d in some of t trees with
 probability 1 - (1 - s^d)^t. As long as the recall so estimated is below the target, the matched prefixes are shortened
-by one and the wider components are verified.
+to the longest length at which the links found so far let the target be expected, and the wider components are verified.
 Verified links give each document its number of links and spanning edges of its class.
 """
 
@@ -30,7 +30,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL, BLOCK = 32, 8, 0.9999, 1500
 
 
-def estimated_recall(found: dict[float, int], threshold: float, trees: int, depth: int) -> float:
+def estimated_recall(found: dict[float, float], threshold: float, trees: int, depth: int) -> float:
     """Share of the links that prefixes of this length meet, from the numbers of links found by similarity. One link
     at the threshold is counted besides, so that a table with few links is not judged by easy ones alone."""
     links = [*found.items(), (threshold, 1)]
@@ -38,6 +38,15 @@ def estimated_recall(found: dict[float, int], threshold: float, trees: int, dept
     return sum(n for n, _ in met) / sum(n / p for n, p in met)
 
 
+def next_prefix(found: dict[float, int], threshold: float, trees: int, depth: int, floor: int, recall: float) -> int:
+    """The longest prefix below ``depth`` that is expected to reach the recall, from the links that ``depth`` found."""
+    for d in range(depth - 1, floor, -1):
+        expected = {s: n * (1 - (1 - s**d) ** trees) / (1 - (1 - s**depth) ** trees) for s, n in found.items()}
+        if estimated_recall(expected, threshold, trees, d) >= recall:
+            return d
+    return floor
+
+
 def shortest_prefix(threshold: float, trees: int, depth: int, recall: float) -> int:
     """The longest prefix with which the recall is reached even if all links are just at the threshold."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
@@ -130,14 +139,20 @@ def _digest(words: list[bytes]) -> bytes:
 
 
 def _sketch(trees: int, depth: int):
+    """doc_id, digest and signatures; of copies in a task the first alone has signatures."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, forest = WordHashes(), Forest(trees, depth)
+        hashes, forest, seen = WordHashes(), Forest(trees, depth), set()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 words = words_of(text)
                 if words:
-                    rows.append((doc_id, _digest(words), forest.signatures(shingles(words, hashes))))
+                    same = _digest(words)
+                    rows.append((doc_id, same, None if same in seen else forest.signatures(shingles(words, hashes))))
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(same)
             yield pd.DataFrame(rows, columns=["doc_id", "same", "sig"])
 
     return run
@@ -148,14 +163,14 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes, seen = WordHashes(), set()
     for batch in batches:
         rows = []
-        for comp, ti, tj, blk, rep, copies, same, text in batch.itertuples(index=False):
+        for rep, copies, same, text in batch.itertuples(index=False):
             words = words_of(text)
-            if (rep, ti, tj) not in seen and _digest(words) == bytes(same):
+            if rep not in seen and _digest(words) == bytes(same):
                 if len(seen) > 500_000:
                     seen.clear()
-                seen.add((rep, ti, tj))
-                rows.append((comp, ti, tj, blk, rep, copies, shingles(words, hashes).tobytes()))
-        yield pd.DataFrame(rows, columns=["comp", "ti", "tj", "blk", "rep", "copies", "shingles"])
+                seen.add(rep)
+                rows.append((rep, copies, shingles(words, hashes).tobytes()))
+        yield pd.DataFrame(rows, columns=["rep", "copies", "shingles"])
 
 
 def links_of(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, threshold: float, cross: bool) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
@@ -224,16 +239,22 @@ def prefix_links(texts: DataFrame, trees: int, depth: int, floor: int) -> DataFr
     return checkpointed(tries.groupBy("a", "b").agg(F.max("shared").alias("shared")))
 
 
-def verified_links(texts: DataFrame, known: DataFrame, stars: DataFrame, threshold: float, block: int) -> DataFrame:
+def shingle_sets(texts: DataFrame, known: DataFrame, linked: DataFrame) -> DataFrame:
+    """rep, copies, shingles of the texts that have a link; read from one row of each, once for all prefixes."""
+    wanted = linked.select(F.col("a").alias("rep")).unionByName(linked.select(F.col("b").alias("rep"))).distinct()
+    wanted = wanted.join(texts.select("rep", "copies", "same", "least"), "rep")
+    texted = wanted.join(known, F.col("least") == F.col("doc_id")).select("rep", "copies", "same", "text")
+    return checkpointed(texted.mapInPandas(_sets, "rep long, copies long, shingles binary"))
+
+
+def verified_links(sets: DataFrame, stars: DataFrame, threshold: float, block: int) -> DataFrame:
     """Rows of _verify for the components of the links."""
     comps = checkpointed(components(stars))
     sizes = comps.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).withColumnRenamed("root", "comp")
     members = comps.select(F.col("node").alias("rep"), F.col("root").alias("comp")).join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    members = members.join(texts.select("rep", "copies", "same", "least"), "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = members.select("comp", F.least("blk", "other").alias("ti"), F.greatest("blk", "other").alias("tj"), "blk", "rep", "copies", "same", "least")
-    texted = tiles.join(known, F.col("least") == F.col("doc_id")).select("comp", "ti", "tj", "blk", "rep", "copies", "same", "text")
-    sets = texted.mapInPandas(_sets, "comp long, ti int, tj int, blk int, rep long, copies long, shingles binary")
-    dealt = sets.repartition(partitions(known), "comp", "ti", "tj").sortWithinPartitions("comp", "ti", "tj", "rep")
+    members = members.join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = members.select("comp", F.least("blk", "other").alias("ti"), F.greatest("blk", "other").alias("tj"), "blk", "rep", "copies", "shingles")
+    dealt = tiles.repartition(partitions(sets), "comp", "ti", "tj").sortWithinPartitions("comp", "ti", "tj", "rep")
     return checkpointed(dealt.mapInPandas(_verify(threshold), "a long, b long, n long"))
 
 
@@ -249,15 +270,17 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, dept
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     sketches = checkpointed(known.mapInPandas(_sketch(trees, depth), "doc_id long, same binary, sig binary"))
-    texts = sketches.groupBy("same").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))  # copies agree in sig
-    texts = checkpointed(checkpointed(texts).withColumn("rep", F.monotonically_increasing_id()))  # numbers of rows that lie fixed
+    texts = sketches.groupBy("same").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sig", ignorenulls=True).alias("sig"))  # copies agree in sig
+    texts = checkpointed(texts).withColumn("rep", F.monotonically_increasing_id())  # numbers of rows that lie fixed
     floor = shortest_prefix(threshold, trees, depth, recall)
     linked = prefix_links(texts, trees, depth, floor)
-    for prefix in range(depth, floor - 1, -1):
-        verified = verified_links(texts, known, linked.where(F.col("shared") >= prefix).select("a", "b"), threshold, block)
+    sets, prefix = shingle_sets(texts, known, linked), depth
+    while True:
+        verified = verified_links(sets, linked.where(F.col("shared") >= prefix).select("a", "b"), threshold, block)
         found = {r["b"] / 100: r["n"] for r in verified.where("a IS NULL").groupBy("b").agg(F.sum("n").alias("n")).collect()}  # hundredths
-        if estimated_recall(found, threshold, trees, prefix) >= recall:
+        if prefix <= floor or estimated_recall(found, threshold, trees, prefix) >= recall:
             break
+        prefix = next_prefix(found, threshold, trees, prefix, floor, recall)
     links = verified.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     rooted = components(verified.where("a <> b").select("a", "b")).select(F.col("node").alias("rep"), "root")
     first = rooted.join(texts.select("rep", "least"), "rep").groupBy("root").agg(F.min("least").alias("class"))

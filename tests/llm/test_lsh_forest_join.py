@@ -62,9 +62,20 @@ def test_join_matches_brute_force(spark):
 def test_prefixes_shorten_until_the_recall_is_reached(spark):
     assert lsh.estimated_recall({0.99: 1000}, 0.8, 32, 8) > 0.9999  # whole signatures do for copies with small edits
     assert lsh.estimated_recall({0.8: 1000}, 0.8, 32, 8) < 0.9999 < lsh.estimated_recall({0.8: 1000}, 0.8, 32, 6)
+    assert lsh.next_prefix({0.99: 10**6}, 0.8, 32, 8, 6, 0.9999) == 7
+    assert lsh.next_prefix({0.8: 1000}, 0.8, 32, 8, 6, 0.9999) == 6
     assert lsh.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_components_of_paths_stars_and_none(spark):
+    path = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (100, 102), (103, 102), (7, 7)]
+    got = {r["node"]: r["root"] for r in lsh.components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 104)}
+    stars = spark.createDataFrame([(2, 1), (3, 1), (9, 8)], "a long, b long")
+    assert sorted(map(tuple, lsh.components(stars).collect())) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
+    assert lsh.components(stars.limit(0)).count() == 0
+
+
 def test_tries_span_all_prefix_groups():
     import numpy as np
     import pyarrow as pa
