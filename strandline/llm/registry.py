@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from strandline.llm import (
+    conversation_repair,
     fm_substrings,
     harmonic_packing,
     hash_prefix_search,
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable]:
         "op8_pii_supervision": pii_supervision.op8_pii_supervision,
         "op9_toxicity_neighbours": toxicity_neighbours.op9_toxicity_neighbours,
         "op10_pivotal_mixing": pivotal_mixing.op10_pivotal_mixing,
+        "op13_conversation_repair": conversation_repair.op13_conversation_repair,
         "counts_op1": mcd_quality.counts_op1,
         "spans_op8": pii_supervision.spans_op8,
         "targets_op10": pivotal_mixing.targets_op10,
@@ -40,6 +42,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_lsh_forest_join": lsh_forest_join.OP2_SQL,
         "op7_fm_substrings": fm_substrings.OP7_SQL,
+        "op13_conversation_repair": conversation_repair.OP13_SQL,
         "counts_op1": mcd_quality.COUNTS_SQL,
         "spans_op8": pii_supervision.SPANS_SQL,
         "targets_op10": pivotal_mixing.TARGETS_SQL,
