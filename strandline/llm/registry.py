@@ -13,6 +13,7 @@ from strandline.llm import (
     line_templates,
     lsh_forest_join,
     mcd_quality,
+    merkle_manifest,
     pii_supervision,
     pivotal_mixing,
     quotient_filter_dedup,
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable]:
         "op9_toxicity_neighbours": toxicity_neighbours.op9_toxicity_neighbours,
         "op10_pivotal_mixing": pivotal_mixing.op10_pivotal_mixing,
         "op11_quotient_filter_dedup": quotient_filter_dedup.op11_quotient_filter_dedup,
+        "op12_merkle_manifest": merkle_manifest.op12_merkle_manifest,
         "op13_conversation_repair": conversation_repair.op13_conversation_repair,
         "counts_op1": mcd_quality.counts_op1,
         "spans_op8": pii_supervision.spans_op8,
@@ -45,6 +47,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_lsh_forest_join": lsh_forest_join.OP2_SQL,
         "op7_fm_substrings": fm_substrings.OP7_SQL,
         "op11_quotient_filter_dedup": quotient_filter_dedup.OP11_SQL,
+        "op12_merkle_manifest": merkle_manifest.OP12_SQL,
         "op13_conversation_repair": conversation_repair.OP13_SQL,
         "counts_op1": mcd_quality.COUNTS_SQL,
         "spans_op8": pii_supervision.SPANS_SQL,
