@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of spark.checkpoint.dir."""
+    """Cut the lineage by a table in the shared folder of spark.checkpoint.dir.
+
+    A written table has the size of its files. ``DataFrame.checkpoint`` would keep the optimiser's estimate instead, which is a
+    product over all joins before it and grows by a power each round, to numbers that take the planner longer than the work.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 60) -> DataFrame:

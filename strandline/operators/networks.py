@@ -51,18 +51,26 @@ def reached_edges(edges: DataFrame, reach: DataFrame, most: float) -> DataFrame:
     return out.select("i", "j", "w", F.when(whole, 1.0).otherwise(F.col("fi")).alias("from_i"), F.when(whole, 0.0).otherwise(F.col("fj")).alias("from_j"))
 
 
-def upstream(down: DataFrame, starts: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """start, node: everything that drains to a start over downstream links (node, to), the start included."""
-    links = checkpointed(down.select("node", "to"))
-    front = starts.select(F.col("node").alias("start"), "node")
-    out = checkpointed(front)
-    for _ in range(most_rounds):
-        step = front.join(links.select(F.col("node").alias("up"), F.col("to").alias("node")), "node").select("start", F.col("up").alias("node"))
-        front = checkpointed(step.distinct().join(out, ["start", "node"], "left_anti"))
-        if not front.limit(1).count():
+def upstream(down: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, node: everything that drains to a start over downstream links (node, to; one a node), the start included.
+
+    Jumps double: after a round the parts hold all that is less than 2^round links away, so rounds grow with the logarithm of
+    the longest path and no row is written twice.
+    """
+    jump = checkpointed(down.select("node", "to"))
+    most, step = jump.count() + 1, 1
+    parts = [checkpointed(starts.select(F.col("node").alias("start"), "node").distinct())]
+    while step <= 2 * most:
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        far = checkpointed(out.join(jump, F.col("to") == out["node"]).select("start", jump["node"]))
+        if not far.limit(1).count():
             return out
-        out = checkpointed(out.unionByName(front))
-    raise RuntimeError("closure did not settle")
+        parts.append(far)
+        jump = checkpointed(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")))
+        step *= 2
+    raise RuntimeError("the links have a cycle")
 
 
 def main_channel(donors: DataFrame, starts: DataFrame) -> DataFrame:
