@@ -6,11 +6,12 @@ import heapq
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.flood import LEVEL_MOST, STEP
+from strandline.operators import tiles
 from strandline.operators.iterate import checkpointed
 
 FOUR = ((-1, 0), (1, 0), (0, -1), (0, 1))
@@ -72,67 +73,61 @@ def despiked(cells: DataFrame, radius: int, drop: int) -> DataFrame:
     return out.withColumn("elev", F.when(F.coalesce(F.col("median") - F.col("elev") <= drop, F.lit(True)), F.col("elev"))).drop("median")
 
 
-def _flow_in(tile: pd.DataFrame, cost: Callable[[np.ndarray], np.ndarray], most: float, offsets) -> pd.DataFrame:
-    """Least-maximum paths within a tile: rows with own = False only lend their level at the border."""
-    at = {rc: i for i, rc in enumerate(zip(tile["row"].tolist(), tile["col"].tolist(), strict=True))}
-    step = cost(tile["elev"].to_numpy(dtype="float64", na_value=np.nan))
-    start = tile["h"].to_numpy(dtype="float64", na_value=np.nan)
-    own = tile["own"].to_numpy(bool)
-    best = np.where(np.isnan(start), np.inf, start)
-    heap = [(best[i], i) for i in np.flatnonzero(np.isfinite(best))]
+def _flow_in(step: np.ndarray, best: np.ndarray, own: np.ndarray, most: float, offsets) -> np.ndarray:
+    """Least-maximum paths within an array, from the cells that have a level in ``best``; only ``own`` cells take one."""
+    side = best.shape[1]
+    cost, open_ = step.reshape(-1).tolist(), (own & ~np.isnan(step)).reshape(-1).tolist()
+    level = best.reshape(-1).tolist()
+    around = [a * side + b for a, b in offsets]
+    heap = [(level[i], i) for i in np.flatnonzero(np.isfinite(best.reshape(-1))).tolist()]
     heapq.heapify(heap)
-    where = list(at)
     while heap:
         h, i = heapq.heappop(heap)
-        if h > best[i]:
+        if h > level[i]:
             continue
-        r, c = where[i]
-        for dr, dc in offsets:
-            j = at.get((r + dr, c + dc))
-            if j is not None and own[j] and not np.isnan(step[j]):
-                new = max(h, step[j])
-                if new <= most and new < best[j]:
-                    best[j] = new
+        for d in around:
+            j = i + d
+            if open_[j]:
+                new = max(h, cost[j])
+                if new <= most and new < level[j]:
+                    level[j] = new
                     heapq.heappush(heap, (new, j))
-    tile = tile.assign(h=pd.array(np.where(np.isfinite(best), best, np.nan), dtype="Float64"))
-    return tile[own]
+    return np.array(level).reshape(best.shape)
 
 
-def least_levels(cells: DataFrame, quantised: bool = True, connectivity: int = 4, tile: int = 256, most: float = LEVEL_MOST, most_rounds: int = 500) -> DataFrame:
+def least_levels(cells: DataFrame, quantised: bool = True, connectivity: int = 4, tile: int = 256, most: float = LEVEL_MOST) -> DataFrame:
     """row, col, elev, h: the least level at which a cell connects to a source (h already set) over its neighbours.
 
     h is the smallest possible maximum of heights along a path; cells without data are barriers unless they are
-    sources. Tiles solve themselves with the levels that bordering tiles had a round ago, until nothing changes:
-    no task ever holds more than a tile and its rim.
+    sources. Tiles solve themselves with the levels of their margins; after the first round only tiles whose margin fell
+    are solved again, and only margins travel. A task holds a tile and its margin.
     """
     offsets = structure(connectivity)
-    ids = {"tr": F.floor(F.col("row") / tile).cast("long"), "tc": F.floor(F.col("col") / tile).cast("long")}
-
-    def cost(elev: np.ndarray) -> np.ndarray:
-        return np.ceil(np.maximum(elev, 0) / STEP) * STEP if quantised else elev
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        before = rows.loc[rows["own"], "h"].to_numpy(dtype="float64", na_value=np.inf)
-        out = _flow_in(rows, cost, most if quantised else float("inf"), offsets)
-        out["changed"] = out["h"].to_numpy(dtype="float64", na_value=np.inf) != before
-        out["elev"] = out["elev"].astype("Float64")
-        return out[["row", "col", "elev", "h", "changed"]]
-
-    now = checkpointed(cells.select("row", "col", F.col("elev").cast("double"), F.col("h").cast("double")))
-    tiles = now.select(*(v.alias(k) for k, v in ids.items())).distinct().count()
-    for _ in range(most_rounds):
-        own = now.withColumns({**ids, "own": F.lit(True)})
-        rim = own.where((F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1))
-        steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in EIGHT))
-        near = rim.withColumn("s", F.explode(steps)).withColumns({"xr": F.floor((F.col("row") + F.col("s.a")) / tile), "xc": F.floor((F.col("col") + F.col("s.b")) / tile)})
-        near = near.where((F.col("xr") != F.col("tr")) | (F.col("xc") != F.col("tc"))).select("row", "col", "elev", "h", F.col("xr").alias("tr"), F.col("xc").alias("tc"), F.lit(False).alias("own")).distinct()
-        solved = own.unionByName(near).groupBy("tr", "tc").applyInPandas(solve, "row long, col long, elev double, h double, changed boolean")
-        solved = checkpointed(solved)
-        changed = solved.where("changed").limit(1).count()
-        now = solved.drop("changed")
-        if tiles == 1 or not changed:
-            return now
-    raise RuntimeError("levels did not settle")
+    bound = most if quantised else float("inf")
+    box = tiles.extent(cells)
+
+    def levels(frame, arrays, margin: np.ndarray) -> np.ndarray:
+        elev, inside = arrays["elev"], frame.mask()
+        step = np.ceil(np.maximum(elev, 0) / STEP) * STEP if quantised else elev
+        touch = np.zeros_like(inside)
+        touch[1:-1, 1:-1] = True  # the outermost cells of the margin touch nothing
+        best = np.where(inside, np.where(np.isnan(arrays["start"]), np.inf, arrays["start"]), np.where(touch, margin, np.inf))
+        return _flow_in(step, best, inside, bound, offsets)
+
+    def out(frame, arrays, rest):
+        margin = np.full((frame.side, frame.side), np.inf)
+        if rest.get("places"):
+            margin.reshape(-1)[np.frombuffer(rest["places"], np.int32)] = np.frombuffer(rest["values"])
+        h = levels(frame, arrays, margin).reshape(-1)
+        at = np.flatnonzero((frame.mask() & ~np.isnan(arrays["here"])).reshape(-1))
+        if len(at):
+            elev, nodes = arrays["elev"].reshape(-1)[at], frame.nodes(at)
+            yield {"row": nodes // tiles.WIDE, "col": nodes % tiles.WIDE, "elev": pa.array(elev, mask=np.isnan(elev)), "h": pa.array(h[at], mask=~np.isfinite(h[at]))}
+
+    fields = {"elev": F.col("elev"), "start": F.col("h"), "here": F.lit(1.0)}
+    some = checkpointed(tiles.tiled(cells, fields, tile, box))
+    done = tiles.settled(some, ["elev", "start"], tile, box, levels)
+    return tiles.each_tile(done, list(fields), tile, out, "row long, col long, elev double, h double")
 
 
 def with_sources(cells: DataFrame, outfalls: DataFrame | None = None) -> DataFrame:

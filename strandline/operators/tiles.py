@@ -93,6 +93,7 @@ Arrays = dict[str, np.ndarray]
 
 def each_tile(tiles: DataFrame, fields: list[str], size: int, work: Callable[[Frame, Arrays, dict], Iterator[dict]], schema: str) -> DataFrame:
     """``work`` over every tile row: its frame, its arrays and its other columns; yields columns of rows for ``schema``."""
+    tiles = tiles.drop(*(c for c in tiles.columns if dict(tiles.dtypes)[c] == "binary" and c not in (*fields, "places", "values")))
     others = [c for c in tiles.columns if c not in fields]
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -101,7 +102,7 @@ def each_tile(tiles: DataFrame, fields: list[str], size: int, work: Callable[[Fr
             for i in range(batch.num_rows):
                 rest = {c: batch.column(c)[i].as_py() for c in others}
                 frame = Frame(rest["tr"], rest["tc"], size)
-                arrays = {f: np.frombuffer(batch.column(f)[i].as_py()).reshape(frame.side, frame.side) for f in fields}
+                arrays = {f: np.frombuffer(batch.column(f)[i].as_buffer()).reshape(frame.side, frame.side) for f in fields}
                 for columns in work(frame, arrays, rest):
                     yield pa.RecordBatch.from_arrays([pa.array(columns[n]) for n in names], names)
 

@@ -1,4 +1,4 @@
-"""Derived products: basins at the border, tile rows, outlines, dissolved areas, sections."""
+"""Derived products: tile rows, outlines, dissolved areas, sections."""
 
 from __future__ import annotations
 
@@ -8,14 +8,12 @@ from strandline import testbed as tb
 from strandline.functions import codec
 from strandline.operators import raster
 from strandline.operators.iterate import shared_folder
-from strandline.operators.order import numbered
 from strandline.plans import rasters
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 c = F.col
-CELL, PATHS, BORDER = rasters.CELL, rasters.PATHS, rasters.BORDER
-BASIN = "bs as (select w.src as node, w.row * 1000000000 + w.col as root from walk w where not exists (select 1 from rec where rec.row = w.row and rec.col = w.col)), be as (select bs.root, cell.row, cell.col, (cell.row in (0, (select max(row) from cell)) or cell.col in (0, (select max(col) from cell))) as edge from bs join cell on cell.row * 1000000000 + cell.col = bs.node)"
+CELL = rasters.CELL
 
 
 def _register(name: str, sql: str | None = None):
@@ -28,38 +26,6 @@ def _register(name: str, sql: str | None = None):
     return add
 
 
-def _basins(spark, sf_dir):
-    cells = tb.cells(spark, sf_dir).withColumn("node", c("row") * 1000000000 + c("col"))
-    ends = F.broadcast(cells.agg(F.max("row").alias("r1"), F.max("col").alias("c1")))  # one row
-    edge = (c("row") == 0) | (c("col") == 0) | (c("row") == c("r1")) | (c("col") == c("c1"))
-    return rasters.basin_outlets(spark, sf_dir).join(cells, "node").join(ends, F.lit(True)).select("root", "node", "row", "col", edge.alias("edge"))
-
-
-@_register("g13_edge_truncated_share", f"with recursive {CELL}, {PATHS}, {BASIN} select root, round(avg(cast(edge as int)), 6) as share, avg(cast(edge as int)) > 0.5 as truncated from be group by root")
-def edge_truncated_share(spark, sf_dir):
-    b = _basins(spark, sf_dir).groupBy("root").agg(F.avg(c("edge").cast("int")).alias("s"))
-    return b.select("root", F.round("s", 6).alias("share"), (c("s") > 0.5).alias("truncated"))
-
-
-@_register("g16_clipped_basins", f"with recursive {CELL}, {PATHS}, {BASIN}, k as (select root, count(*) as cells from be where row between 5 and 30 and col between 5 and 40 group by root) select root, dense_rank() over (order by root) as basin, cells from k")
-def clipped_basins(spark, sf_dir):
-    b = _basins(spark, sf_dir).where("row between 5 and 30 and col between 5 and 40").groupBy("root").agg(F.count(F.lit(1)).alias("cells"))
-    return numbered(b, [F.col("root")], "basin")
-
-
-@_register("g28_basin_export", f"with recursive {CELL}, {PATHS}, {BASIN} select root, count(*) * 25 as area, min(row) as north, max(row) as south, min(col) as west, max(col) as east from be group by root")
-def basin_export(spark, sf_dir):
-    return _basins(spark, sf_dir).groupBy("root").agg((F.count(F.lit(1)) * 25).alias("area"), F.min("row").alias("north"), F.max("row").alias("south"), F.min("col").alias("west"), F.max("col").alias("east"))
-
-
-@_register("g12_collar_conservation", f"with recursive {CELL}, {PATHS}, {BASIN} select (select count(*) from cell where elev is not null) as cells, (select count(*) from bs) as drained, true as sound")
-def collar_conservation(spark, sf_dir):
-    """Every cell with data ends in exactly one terminal, wherever the collar cells around the grid route it."""
-    drained = rasters.basin_outlets(spark, sf_dir).agg(F.count(F.lit(1)).alias("drained"))
-    cells = tb.cells(spark, sf_dir).agg(F.count("elev").alias("cells"))
-    return cells.join(F.broadcast(drained), F.lit(True)).select("cells", "drained", (c("cells") == c("drained")).alias("sound"))
-
-
 @_register("k08_tile_rows", f"with {CELL}, p as (select row, col, cast(floor((cast(elev as double) / 1000 + 32768) * 256) as bigint) as v from cell) select row // 16 as ty, col // 16 as tx, count(*) as cells, sum(coalesce((v >> 8) & 255, 0))::bigint as g, sum(coalesce(v & 255, 0))::bigint as b from p group by 1, 2 having count(v) > 0")
 def tile_rows(spark, sf_dir):
     packed = codec.pack_height(c("elev") / 1000.0)

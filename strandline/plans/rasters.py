@@ -241,35 +241,12 @@ def basin_outlets(spark, sf_dir):
     return flow.terminals(edges, nodes)
 
 
-@_register("a33_flow_summary", f"with recursive {CELL}, {PATHS}, t as (select w.src, w.row * 1000000000 + w.col as root from walk w where not exists (select 1 from rec where rec.row = w.row and rec.col = w.col)), b as (select root, count(*) as n from t group by 1) select count(*) as basins, max(n) as largest, sum(n)::bigint as cells, round(avg(n), 6) as mean_cells from b")
-def flow_summary(spark, sf_dir):
-    sizes = basin_outlets(spark, sf_dir).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.count(F.lit(1)).alias("basins"), F.max("n").alias("largest"), F.sum("n").alias("cells"), F.round(F.avg("n"), 6).alias("mean_cells"))
-
-
-@_register("g10_drain_order", f"with recursive {CELL}, {FILL} select row, col, row_number() over (order by fill desc, row, col) as place from fil")
-def drain_order(spark, sf_dir):
-    return fill(spark, sf_dir).where("fill is not null").select("row", "col", "fill").transform(flow.drain_order, "fill").drop("fill")
-
-
 @_register("g09_facet_directions")
 def facet_directions(spark, sf_dir):
     out = flow.facet_directions(tb.cells(spark, sf_dir))
     return out.select("row", "col", F.round("slope", 6).alias("slope"), c("to1.row").alias("row1"), c("to1.col").alias("col1"), F.round("p1", 9).alias("p1"), c("to2.row").alias("row2"), c("to2.col").alias("col2"), F.round("p2", 9).alias("p2"))
 
 
-@_register("g11_facet_accumulation")
-def facet_accumulation(spark, sf_dir):
-    d = flow.facet_directions(tb.cells(spark, sf_dir)).withColumn("node", c("row") * 1000000000 + c("col"))
-    edges = d.where("slope is not null").select(c("node").alias("a"), F.explode(F.array(F.struct((c("to1.row") * 1000000000 + c("to1.col")).alias("b"), c("p1").alias("share")), F.struct((c("to2.row") * 1000000000 + c("to2.col")).alias("b"), c("p2").alias("share")))).alias("e")).select("a", "e.b", "e.share").where("share > 0")
-    # facets can point level or uphill on one side: keep the strictly descending part, whose graph has no cycle
-    z = d.select("node", c("elev").alias("z"))
-    down = edges.join(z.select(c("node").alias("a"), c("z").alias("za")), "a").join(z.select(c("node").alias("b"), c("z").alias("zb")), "b").where("za > zb")
-    total = down.groupBy("a").agg(F.sum("share").alias("t"))
-    down = down.join(total, "a").select("a", "b", (c("share") / c("t")).alias("share"))
-    return flow.accumulated(down, d.select("node", F.lit(1.0).alias("w"))).withColumn("acc", F.round("acc", 6))
-
-
 WETCELLS = "wet as (select row, col, elev, fill, row * 1000000000 + col as node from fil where fill - elev > 10), cc(node, row, col, root) as (select node, row, col, node from wet union select n.node, n.row, n.col, r.root from cc r join wet n on greatest(abs(n.row - r.row), abs(n.col - r.col)) = 1), rt as (select node, min(root) as root from cc group by node), pit as (select wet.*, dense_rank() over (order by root) as pit from wet join rt using (node))"
 
 

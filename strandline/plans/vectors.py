@@ -492,27 +492,6 @@ def isochrone_status(spark, sf_dir):
     return f.join(near, "id", "left").select("id", F.when(outside, "outside_aoi").when(c("d").isNull(), "no_nearby_road").otherwise("ok").alias("status"))
 
 
-DOWN = "dn as (select s_suppkey as node, s_suppkey // 3 as dest from supplier where s_suppkey > 0)"
-
-
-@_register("g17_upstream_closure", f"with recursive {DOWN}, u(start, node) as (select s_suppkey, s_suppkey from supplier where s_suppkey in (1, 2, 5) union select u.start, dn.node from u join dn on dn.dest = u.node) select start, node from u")
-def upstream_closure(spark, sf_dir):
-    s = tb.table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("node"))
-    return networks.upstream(s.where("node > 0").withColumn("to", F.floor(c("node") / 3)), s.where("node in (1, 2, 5)"))
-
-
-@_register("a28_catchment_summary", f"with recursive {DOWN}, u(start, node) as (select s_suppkey, s_suppkey from supplier where s_suppkey in (1, 2, 5) union select u.start, dn.node from u join dn on dn.dest = u.node) select start, count(*) * 10 as area, max(node) as largest, bool_or(node % 31 = 0) as truncated, min(node * 7 % 100 * 10000 + node) % 10000 as lowest from u group by 1")
-def catchment_summary(spark, sf_dir):
-    return upstream_closure(spark, sf_dir).groupBy("start").agg((F.count(F.lit(1)) * 10).alias("area"), F.max("node").alias("largest"), F.bool_or(c("node") % 31 == 0).alias("truncated"), F.min_by("node", F.struct(c("node") * 7 % 100, "node")).alias("lowest"))
-
-
-@_register("g18_main_channel", f"with recursive b as (select dest as node, max(node * 37 % 101 * 100000 - node) as best from ({'select s_suppkey as node, s_suppkey // 3 as dest from supplier where s_suppkey > 0'}) group by 1), bu as (select b.node, d.node as up from b join (select s_suppkey as node, s_suppkey // 3 as dest from supplier where s_suppkey > 0) d on d.dest = b.node and d.node * 37 % 101 * 100000 - d.node = best), w(start, i, node) as (select s_suppkey, 0, s_suppkey from supplier where s_suppkey in (1, 2, 5) union all select w.start, w.i + 1, bu.up from w join bu on bu.node = w.node) select start, i, node from w")
-def main_channel(spark, sf_dir):
-    s = tb.table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("node"))
-    d = s.where("node > 0").select(c("node").alias("a"), F.floor(c("node") / 3).alias("b"), (c("node") * 37 % 101).alias("acc"), c("node").alias("k"))
-    return networks.main_channel(d, s.where("node in (1, 2, 5)"))
-
-
 @_register("t02_outfall_selection", f"with {tb.cells_sql()}, p as (select row * 1000000000 + col as id, elev, (row * 31 + col * 17) % 90 + 1 as area, row, col from cell where elev is not null) select id, elev, area from p where area >= 25 and elev < 1500 order by elev, area desc, id limit 60")
 def outfall_selection(spark, sf_dir):
     p = tb.cells(spark, sf_dir).where("elev is not null").select((c("row") * 1000000000 + c("col")).alias("id"), "elev", ((c("row") * 31 + c("col") * 17) % 90 + 1).alias("area"))
