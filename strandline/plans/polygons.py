@@ -161,6 +161,23 @@ def region_rings(spark, sf_dir):
     return polygons.region_rings(mask, "high").select("ring", "sides", "area")
 
 
+@_register("g21_outline_corners", f"with {tb.cells_sql()}, m as (select row, col, coalesce(elev > 1500, false) as v from cell), q as (select r.row, r.col, bool_or(m.v and m.row = r.row - 1 and m.col = r.col - 1) as nw, bool_or(m.v and m.row = r.row - 1 and m.col = r.col) as ne, bool_or(m.v and m.row = r.row and m.col = r.col - 1) as sw, bool_or(m.v and m.row = r.row and m.col = r.col) as se from (select distinct row + a as row, col + b as col from m, (select unnest([0, 1]) as a), (select unnest([0, 1]) as b)) r join m on m.row between r.row - 1 and r.row and m.col between r.col - 1 and r.col group by 1, 2) select row, col, count(*) as corners from (select *, unnest(case when nw = se and ne = sw and nw <> ne then [1, 2] else [1] end) as twice from q) where not (nw = ne and sw = se) and not (nw = sw and ne = se) group by 1, 2")
+def outline_corners(spark, sf_dir):
+    """Where the outlines of the cells above 1,500 mm turn: where regions touch at a corner, both do."""
+    mask = tb.cells(spark, sf_dir).select("row", "col", F.when(c("elev") > 1500, 1).alias("high"))
+    return polygons.outlines(mask, "high").groupBy("row", "col").agg(F.count(F.lit(1)).alias("corners"))
+
+
+@_register("a34_outline_rings")
+def outline_rings(spark, sf_dir):
+    """Outlines of the closed cover above 2,800 mm, shells of four cells or more with their holes, thinned to one cell; rings are
+    compared with their masks in tests."""
+    mask = tb.cells(spark, sf_dir).select("row", "col", F.coalesce(c("elev") > 2800, F.lit(False)).cast("int").alias("v"))
+    cover = raster.closing(mask, 1, "v").select("row", "col", F.when(c("v") == 1, 1).alias("v"))
+    thin = polygons.simplified(polygons.outlines(cover, "v", 4.0), 1.0)
+    return thin.groupBy("shell", "ring", "area").agg(F.count(F.lit(1)).alias("corners"))
+
+
 def _written(lines, spark, kind: str) -> str:
     """City models in the shared folder, one a code."""
     import uuid

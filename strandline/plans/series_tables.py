@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandline import testbed as tb
 from strandline.functions import geo
 from strandline.operators.order import running_sums
-from strandline.operators import series
+from strandline.operators import hierarchy, ranges, series
 from strandline.sources import parsers, sinks
 
 QUERIES: dict = {}
@@ -200,13 +200,27 @@ def budget_prefix(spark, sf_dir):
     return r.where("points <= 8000 and bytes <= 90000").select("id")
 
 
-@_register("t07_range_coalescing", f"with {FC}, p as (select code, id as lo, id + 3 as hi from fc), q as (select *, case when lo - lag(hi) over (partition by code order by lo) <= 20 then 0 else 1 end as fresh from p), r as (select *, sum(fresh) over (partition by code order by lo) as run from q) select code, min(lo) as lo, max(hi) as hi, count(*) as parts from r group by code, run")
+@_register("t07_range_coalescing", f"with recursive {FC}, p as (select code, id, id as lo, id + 3 + id % 5 as hi, row_number() over (partition by code order by id) as n from fc), g(code, n, first, lo, hi) as (select code, n, n, lo, hi from p where n = 1 union all select p.code, p.n, case when joins then g.first else p.n end, case when joins then g.lo else p.lo end, case when joins then greatest(g.hi, p.hi) else p.hi end from g join p on p.code = g.code and p.n = g.n + 1, lateral (select p.lo - g.hi <= 20 and greatest(g.hi, p.hi) - g.lo <= 100 as joins)) select g.code, min(g.lo) as lo, max(g.hi) as hi, count(*) as parts, (max(g.hi) - min(g.lo) - sum(p.hi - p.lo))::bigint as extra from g join p using (code, n) group by g.code, first")
 def range_coalescing(spark, sf_dir):
-    w = Window.partitionBy("code").orderBy("lo")
-    p = tb.features(spark, sf_dir).select("code", c("id").alias("lo"), (c("id") + 3).alias("hi"))
-    fresh = F.when(c("lo") - F.lag("hi").over(w) <= 20, 0).otherwise(1)
-    runs = p.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w))
-    return runs.groupBy("code", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("parts")).drop("run")
+    """Reads of at most 100 bytes over gaps of at most 20, greedy from the left within a code."""
+    p = tb.features(spark, sf_dir).select(c("code").alias("key"), "id", c("id").alias("lo"), (c("id") + 3 + c("id") % 5).alias("hi"))
+    return ranges.coalesced(p, 20, 100).withColumnRenamed("key", "code")
+
+
+#: A tree of boxes over the features: node n // 4 is the parent of n, a box holds what lies below, some nodes have content.
+TREE = f"{FC}, tree as (select id, case when id > 0 then id // 4 end as parent, case when id % 3 <> 0 then id end as content, case when id < 60 then 0 else x - 60 end as west, case when id < 60 then 1000 else x + 60 end as east, case when id < 60 then 0 else y - 90 end as south, case when id < 60 then 1000 else y + 90 end as north, id % 5 = 0 as bare from fc)"
+
+
+@_register("k11_pruned_tree", f"with recursive {TREE}, hit as (select *, west <= 600 and east >= 250 and south <= 700 and north >= 300 as meets from tree), alive(id) as (select id from hit where parent is null and meets union all select h.id from hit h join alive a on h.parent = a.id where h.meets), kept as (select hit.id, parent, case when bare or (west + 30 <= 600 and east - 30 >= 250 and south + 30 <= 700 and north - 30 >= 300) then content end as content from hit join alive using (id)), stay(id) as (select id from kept where content is not null union select k.parent from stay s join kept k on k.id = s.id where k.parent is not null) select id, parent, content from kept where id in (select id from stay)")
+def pruned_tree(spark, sf_dir):
+    """The boxes of a tree that meet an area, with their ancestors; content goes where its own smaller box misses it."""
+    f = tb.features(spark, sf_dir)
+    wide = lambda a, b: F.when(c("id") < 60, a).otherwise(b)
+    west, east, south, north = wide(0, c("x") - 60), wide(1000, c("x") + 60), wide(0, c("y") - 90), wide(1000, c("y") + 90)
+    box = lambda w, s, e, n: F.struct(w.alias("west"), s.alias("south"), e.alias("east"), n.alias("north"))
+    inner = F.when(c("id") % 5 != 0, box(west + 30, south + 30, east - 30, north - 30))
+    tree = f.select("id", F.when(c("id") > 0, F.floor(c("id") / 4)).alias("parent"), box(west, south, east, north).alias("box"), inner.alias("content_box"), F.when(c("id") % 3 != 0, c("id")).alias("content"))
+    return hierarchy.pruned(tree, (250, 300, 600, 700))
 
 
 @_register("k05_client_csv", f"with {FC} select id, cast(id as varchar) || ',\"a\"\"b,' || coalesce(cast(ground as varchar), '') || '\"' as line from fc")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline import testbed as tb
 from strandline.functions import flood, geo
-from strandline.operators import networks, spatial
+from strandline.operators import distance, networks, spatial
 from strandline.operators.order import numbered
 
 QUERIES: dict = {}
@@ -365,12 +365,17 @@ def nearest_water(spark, sf_dir):
     return spatial.nearest_anywhere(p, s, 8.0).select("id", "rid")
 
 
-@_register("j13_seed_distance", f"with {tb.cells_sql()} select a.row, a.col, round(min(sqrt((a.row - s.row) * (a.row - s.row) + (a.col - s.col) * (a.col - s.col))), 6) as d from cell a join cell s on s.seed and (a.row - s.row) * (a.row - s.row) + (a.col - s.col) * (a.col - s.col) <= 36 group by 1, 2")
+@_register("j13_seed_distance", f"with {tb.cells_sql()} select a.row, a.col, min((a.row - s.row) * (a.row - s.row) + (a.col - s.col) * (a.col - s.col)) as d2 from cell a join cell s on s.seed group by 1, 2")
 def seed_distance(spark, sf_dir):
-    cells = tb.cells(spark, sf_dir)
-    a = cells.select("row", "col", c("col").alias("x"), c("row").alias("y"))
-    s = cells.where("seed").select(c("col").alias("rx"), c("row").alias("ry"))
-    return spatial.near_pairs(a, s, 6.0).groupBy("row", "col").agg(F.round(F.min("d"), 6).alias("d"))
+    """The squared distance of every cell to its nearest seed."""
+    return distance.seed_field(tb.cells(spark, sf_dir)).select("row", "col", "d2")
+
+
+@_register("j13_pour_field", f"with {tb.cells_sql()}, k as (select a.row, a.col, s.row as seed_row, s.col as seed_col, row_number() over (partition by a.row, a.col order by (a.row - s.row) * (a.row - s.row) + (a.col - s.col) * (a.col - s.col), s.col, s.row) as n from cell a join cell s on s.elev <= 140) select row, col, seed_row, seed_col from k where n = 1")
+def pour_field(spark, sf_dir):
+    """The nearest low cell of every cell, of equally near ones that of the smaller column."""
+    low = tb.cells(spark, sf_dir).withColumn("low", F.coalesce(c("elev") <= 140, F.lit(False)))
+    return distance.seed_field(low, "low").select("row", "col", "seed_row", "seed_col")
 
 
 @_register("j14_largest_in_basin", f"with {FC} select code, arg_max(id, ground * 100000 - id) as id from fc where ground is not null group by 1")
