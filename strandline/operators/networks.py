@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import distance, polygons
 from strandline.operators.iterate import checkpointed
 
 
@@ -87,3 +88,25 @@ def main_channel(donors: DataFrame, starts: DataFrame) -> DataFrame:
         jump = checkpointed(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", F.col("far").alias("up")))
         step *= 2
     raise RuntimeError("a channel has a cycle")
+
+
+def isochrone_outline(parts: DataFrame, cell: float, radius: float) -> DataFrame:
+    """label, shell, ring, area, place, row, col: the outline, in metres (row: y, col: x), of all within ``radius`` of the reached
+    parts of streets (x1, y1, x2, y2), on a grid of ``cell`` metres.
+
+    Streets become cells by points half a cell apart, the field of distances to them is exact, and only cells near streets exist.
+    """
+    steps = F.greatest(F.ceil(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / (cell / 2)), F.lit(1)).cast("int")
+    at = parts.withColumn("n", steps).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    on = lambda a, b: F.floor((F.col(a) + (F.col(b) - F.col(a)) * F.col("i") / F.col("n")) / cell).cast("long")
+    seeds = checkpointed(at.select(on("y1", "y2").alias("row"), on("x1", "x2").alias("col")).distinct())
+    reach = int(radius // cell) + 1
+    near = F.sequence(F.lit(-reach), F.lit(reach))
+    tall = seeds.withColumn("d", F.explode(near)).select((F.col("row") + F.col("d")).alias("row"), "col").distinct()
+    grid = tall.withColumn("d", F.explode(near)).select("row", (F.col("col") + F.col("d")).alias("col")).distinct()
+    grid = grid.join(seeds.withColumn("seed", F.lit(True)), ["row", "col"], "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
+    low = grid.agg(F.min("row"), F.min("col")).first()  # rings number their cells from 0
+    down, right = (low[0], low[1]) if low[0] is not None else (0, 0)
+    grown = distance.within(grid, "seed", radius / cell).where("grown").select((F.col("row") - down).alias("row"), (F.col("col") - right).alias("col"), F.lit(1).alias("v"))
+    rings = polygons.outlines(checkpointed(grown), "v")
+    return rings.withColumns({"row": (F.col("row") + down) * cell, "col": (F.col("col") + right) * cell, "area": F.col("area") * cell * cell})

@@ -480,6 +480,19 @@ def partial_edges(spark, sf_dir):
     return networks.reached_edges(e, networks.shortest(e, _sources(spark, sf_dir), 400.0), 400.0).withColumns({k: F.round(k, 6) for k in ("from_i", "from_j")})
 
 
+@_register("g26_isochrone_outline")
+def isochrone_outline(spark, sf_dir):
+    """Rings around all within 30 m of what is reached on straight streets; compared with distances in tests."""
+    e = graph(spark, sf_dir)
+    parts = networks.reached_edges(e, networks.shortest(e, _sources(spark, sf_dir), 400.0), 400.0)
+    at = lambda k: (c(k) * 6151 % 1000, c(k) * 3571 % 1000)
+    (xi, yi), (xj, yj) = at("i"), at("j")
+    to = lambda a, b, share: (a + (b - a) * c(share)).cast("double")
+    lines = [F.struct(xi.cast("double").alias("x1"), yi.cast("double").alias("y1"), to(xi, xj, "from_i").alias("x2"), to(yi, yj, "from_i").alias("y2"), c("from_i").alias("s")), F.struct(xj.cast("double").alias("x1"), yj.cast("double").alias("y1"), to(xj, xi, "from_j").alias("x2"), to(yj, yi, "from_j").alias("y2"), c("from_j").alias("s"))]
+    some = parts.select(F.explode(F.array(*lines)).alias("l")).select("l.*").where("s > 0")
+    return networks.isochrone_outline(some, 10.0, 30.0).groupBy("shell", "ring").agg(F.max("area").alias("area"), F.count(F.lit(1)).alias("corners"))
+
+
 @_register("g27_walk_reach", f"with recursive {EDGE}, {DIJ}, {PART} select count(*) as edges, round(sum(w * case when fi + fj >= 1 then 1 else fi + fj end), 4) as metres, (select count(*) from sp) as nodes from pe where fi > 0 or fj > 0")
 def walk_reach(spark, sf_dir):
     e = graph(spark, sf_dir)
