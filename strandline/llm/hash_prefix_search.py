@@ -19,9 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import checkpointed, table
+from strandline.llm.common import checkpointed, partitions, table
 
-TREES, BITS, SHARD_ROWS, RECALL, NEIGHBOURS = 64, 20, 8192, 0.92, 20
+TREES, BITS, SHARD_ROWS, RECALL, NEIGHBOURS = 64, 20, 65_536, 0.92, 20
+LEAST_SHARD = 8192  # shards of fewer than SHARD_ROWS rows, while there are fewer of them than partitions
 QUERY_BLOCK = 16_384  # queries of a task, on average; every shard is read once for each block
 FOUND = "query_id long, vec_id long, score double"
 
@@ -35,6 +36,7 @@ class Forest:
         self.planes = rng.standard_normal((vectors.shape[1] + 1, trees * bits)).astype(np.float32)
         lift = np.sqrt(np.maximum(most * most - (vectors * vectors).sum(axis=1), 0.0))
         self.single = vectors.astype(np.float32)
+        self.repeats = len(np.unique(ids)) < len(ids)
         strings = self.strings(np.column_stack([vectors, lift]))
         self.order = np.argsort(strings, axis=0, kind="stable")
         self.sorted = np.take_along_axis(strings, self.order, axis=0)
@@ -63,6 +65,7 @@ class Forest:
             while depth and size[depth, q] < min(2 * rank, len(self.ids)):
                 depth -= 1  # the longest prefixes that give enough rows
             single = queries[q].astype(np.float32)
+            own = int((self.ids == query_ids[q]).sum())
             while True:
                 mark = np.zeros(len(self.ids), bool)
                 for t in np.flatnonzero(hi[depth, q] > lo[depth, q]):
@@ -70,7 +73,7 @@ class Forest:
                 mark[self.ids == query_ids[q]] = False
                 rows = np.flatnonzero(mark)
                 rough = self.single[rows] @ single
-                if not depth or len(rows) + 1 >= len(self.ids):
+                if not depth or len(rows) + own >= len(self.ids):
                     break
                 enough = 0
                 if len(rows) >= rank:
@@ -79,11 +82,14 @@ class Forest:
                 if enough >= depth:
                     break
                 depth -= max(1, (depth - enough) // 2)  # nearer rows found on the way only raise the depth that is enough
-            if len(rows) > 2 * k:  # single precision may not part near ties: keep all within its error
+            if len(rows) > 2 * k and not self.repeats:  # single precision may not part near ties: keep all within its error
                 least = np.partition(rough, len(rows) - k)[len(rows) - k] - 1e-4 * (norm[q] * longest)
                 rows = rows[rough >= least]
             score = self.vectors[rows] @ queries[q]
-            best = np.lexsort((self.ids[rows], -score))[:k]
+            best = np.lexsort((self.ids[rows], -score))
+            if self.repeats:  # an id counts once, with its nearest vector
+                best = best[np.sort(np.unique(self.ids[rows[best]], return_index=True)[1])]
+            best = best[:k]
             yield q, rows[best], score[best]
 
     def enough_depth(self, cosine: float, recall: float) -> int:
@@ -107,14 +113,15 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, trees: int = TREES
     """query_id, rank, vec_id, score for each row with ``is_query`` (a condition on vec_id) against all other rows.
 
     Vectors that are null, zero or not finite take no part, nor do rows without an id. Vectors of another length
-    than the most frequent one are compared with those of their own length only. Repeated vec_ids count once (any
-    of their vectors). Ties in score go to the smaller vec_id. An empty table gives no rows.
+    than the most frequent one are compared with those of their own length only. Rows that repeat a vec_id with another vector
+    are candidates like others: the id counts once, with the best score of its vectors, and a query with several vectors takes
+    the best score of any; rows with the query's own id are no candidates. Ties in score go to the smaller vec_id. An empty table gives no rows.
     """
-    rows = checkpointed(usable(vectors).dropDuplicates(["vec_id"]).withColumn("dim", F.size("v")))
+    rows = checkpointed(usable(vectors).dropDuplicates(["vec_id", "v"]).withColumn("dim", F.size("v")))
     shape = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("queries"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("most")).collect()  # a row for each vector length
     parts = None
     for s in shape:
-        shards = max(1, math.ceil(s["n"] / shard_rows))
+        shards = max(math.ceil(s["n"] / shard_rows), min(partitions(rows), math.ceil(s["n"] / LEAST_SHARD)))
         some = rows.where(F.col("dim") == s["dim"])
         # a task holds one shard and one block of queries
         dealt = max(1, math.ceil(s["queries"] / QUERY_BLOCK))
@@ -127,6 +134,7 @@ def search(vectors: DataFrame, is_query, k: int = NEIGHBOURS, trees: int = TREES
         parts = found if parts is None else parts.unionByName(found)
     if parts is None:
         parts = vectors.sparkSession.createDataFrame([], FOUND)
+    parts = parts.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # one exchange for this and the ranks
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # k rows for each shard
     return parts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

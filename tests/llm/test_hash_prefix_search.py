@@ -49,3 +49,26 @@ def test_no_task_holds_more_than_a_block_of_queries(spark, monkeypatch):
     monkeypatch.setattr(hps, "_search", sizes)
     seen = hps.search(df, F.col("vec_id") % 2 == 0, k=5, shard_rows=400).collect()
     assert len({r["query_id"] for r in seen}) == 400 and max(r["score"] for r in seen) <= 80
+
+
+def test_ids_with_several_vectors(spark):
+    """Every vector of a repeated id is a candidate, whatever the order of the rows; a query's best vector counts."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((300, 8))
+    rows = [(i % 200, [float(x) for x in v[i]]) for i in range(300)]
+    rows += [(7, [float(x) for x in 50 * v[20]]), (20, [float(x) for x in -v[20]]), *rows[:5]]
+    score = {}
+    for q, a in rows:
+        for i, b in rows:
+            if q % 20 == 0 and i != q:
+                score[(q, i)] = max(score.get((q, i), -np.inf), float(np.dot(a, b)))
+    want = {q: sorted(((-s, i) for (p, i), s in score.items() if p == q))[:10] for q in range(0, 200, 20)}
+    assert want[20][0][1] == 7
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3)
+        got = {}
+        for r in hps.search(df, F.col("vec_id") % 20 == 0, k=10, shard_rows=120, recall=1.0).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        for q, best in want.items():
+            assert [i for _, i, _ in sorted(got[q])] == [i for _, i in best]
+            assert np.allclose([s for _, _, s in sorted(got[q])], [-s for s, _ in best], atol=1e-9)
