@@ -42,3 +42,13 @@ def best_window(days: DataFrame, key: list[str], value: str, length: int, day: s
 def forecast(series: DataFrame, now: Column, hours: int = 168) -> DataFrame:
     """Points from now on for some hours, both ends included (now is a parameter, never the clock)."""
     return series.where((F.col("ts") >= now) & (F.col("ts") <= now + F.expr(f"interval {hours} hours")))
+
+
+def level_bands(levels: DataFrame, h: str = "h", step: int = 50) -> DataFrame:
+    """band, flooded, most: how many of ``levels`` a reading in each band of ``step`` reaches, for all bands from the lowest h to the
+    highest (``most``); readings above that reach as many as it does. A row a step that occurs is all that one task orders."""
+    steps = levels.where(F.col(h).isNotNull()).groupBy(F.floor(F.col(h) / step).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    up = Window.orderBy("band")
+    until = F.coalesce(F.lead("band").over(up) - 1, F.col("band"))
+    steps = steps.select("band", F.sum("n").over(up).alias("flooded"), until.alias("until"), F.max("band").over(Window.partitionBy(F.lit(0))).alias("most"))
+    return steps.select(F.explode(F.sequence("band", "until")).alias("band"), "flooded", "most")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline import testbed as tb
 from strandline.functions import flood
-from strandline.operators import flow, raster
+from strandline.operators import flow, pyramid, raster
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -315,3 +315,13 @@ def seed_components(spark, sf_dir):
     low = tb.cells(spark, sf_dir).where(F.coalesce(c("elev") <= 1400, F.lit(True))).withColumn("node", c("row") * 1000000000 + c("col"))
     pairs = raster.neighbours(low.select("row", "col", "node"), raster.structure(4), "node").select(c("node").alias("a"), c("n_node").alias("b"))
     return components(low.select("node"), pairs).join(low.where("seed").select("node"), "node", "left_semi").select("root").distinct()
+
+
+_ZOOM = " union all ".join(f"select {z} as zoom, row // {1 << z} as row, col // {1 << z} as col, elev, h from both_ where row % {1 << z} = {(1 << z) // 2} and col % {1 << z} = {(1 << z) // 2}" for z in range(3))
+
+
+@_register("k08_tile_pyramid", f"with recursive {CELL}, {LEV}, both_ as (select cell.row, cell.col, elev, h from cell left join lev on lev.row = cell.row and lev.col = cell.col), px as (select zoom, row // 16 as ty, col // 16 as tx, row % 16 * 16 + col % 16 as place, case when elev is null then 0 else cast(floor((cast(elev as double) / 1000 + 32768) * 256) as bigint) end as v, case when h is null then 0 else least(h // 50 + 1, 255) end as a from ({_ZOOM}) where elev is not null or h is not null), tile as (select distinct zoom, ty, tx from px), full_ as (select tile.*, g.place from tile, (select unnest(range(256)) as place) g) select zoom, ty, tx, string_agg(case when v is null then '00000000' else printf('%06x%02x', v, a) end, '' order by f.place) as pixels from full_ f left join px using (zoom, ty, tx, place) group by zoom, ty, tx")
+def tile_pyramid(spark, sf_dir):
+    """Three zooms of tiles of 16 by 16 pixels with heights and connecting levels, their bytes in hexadecimal."""
+    cells = h_conn(spark, sf_dir).select("row", "col", "elev", "h")
+    return pyramid.pyramid(cells, 3, 16).withColumn("pixels", F.lower(F.hex("pixels")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline import testbed as tb
 from strandline.functions import geo
+from strandline.operators.iterate import checkpointed
 from strandline.operators.order import running_sums
 from strandline.operators import hierarchy, ranges, series
 from strandline.sources import parsers, sinks
@@ -105,11 +106,11 @@ def last_good(spark, sf_dir):
 
 @_register("r04_series_sweep", f"with {HOURLY}, {FC}, n as (select h1, count(*) as n from fc where h1 is not null group by 1) select series, strftime(ts, '%Y-%m-%d %H') as hour, coalesce(sum(n) filter (h1 <= level), 0)::bigint as flooded from hourly, n group by 1, 2")
 def series_sweep(spark, sf_dir):
-    """Counts up to a level are a running sum over the sweep's steps, so a reading needs one look-up."""
-    steps = tb.features(spark, sf_dir).where("h1 is not null").groupBy((c("h1") / 50).cast("long").alias("step")).agg(F.count(F.lit(1)).alias("n"))
-    upto = steps.withColumn("after", F.explode(F.sequence(c("step"), F.lit(80).cast("long")))).groupBy("after").agg(F.sum("n").alias("flooded"))
-    h = hourly(spark, sf_dir).withColumn("after", F.least(F.floor(c("level") / 50), F.lit(80)))
-    return h.join(upto, "after", "left").select("series", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), F.coalesce("flooded", F.lit(0)).alias("flooded"))
+    """Counts up to a level are a running sum over the steps that occur, so a reading needs one look-up."""
+    upto = checkpointed(series.level_bands(tb.features(spark, sf_dir), "h1"))
+    most = F.broadcast(upto.agg(F.max("most").alias("most")))  # one row
+    h = hourly(spark, sf_dir).join(most, F.lit(True)).withColumn("band", F.least(F.floor(c("level") / 50), c("most")))
+    return h.join(upto.select("band", "flooded"), "band", "left").select("series", F.date_format("ts", "yyyy-MM-dd HH").alias("hour"), F.coalesce("flooded", F.lit(0)).alias("flooded"))
 
 
 @_register("p37_local_time", f"with {HOURLY} select distinct strftime(ts + interval 9 hours, '%Y-%m-%d %H:%M') as jst, year(ts + interval 9 hours) as jst_year from hourly")

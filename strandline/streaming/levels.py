@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.series import level_bands
+
 
 def hourly_peaks(readings: DataFrame, late: str = "2 hours") -> DataFrame:
     """Highest level of each series and hour; readings later than the watermark are dropped, state is bounded by it."""
@@ -13,5 +15,7 @@ def hourly_peaks(readings: DataFrame, late: str = "2 hours") -> DataFrame:
 
 def flooded_counts(peaks: DataFrame, levels: DataFrame) -> DataFrame:
     """Features whose connecting level (h, static table) each reading reaches; a stream-static join by level band."""
-    bands = levels.withColumn("band", F.explode(F.sequence(F.floor(F.col("h") / 50), F.lit(60))))
-    return peaks.withColumn("band", F.floor(F.col("peak") / 50)).join(bands.groupBy("band").agg(F.count(F.lit(1)).alias("flooded")), "band").select("series", "hour", "peak", "flooded")
+    bands = level_bands(levels)
+    most = F.broadcast(bands.agg(F.max("most").alias("most")))  # one row
+    at = peaks.join(most, F.lit(True)).withColumn("band", F.least(F.floor(F.col("peak") / 50), F.col("most")))
+    return at.join(bands.select("band", "flooded"), "band").select("series", "hour", "peak", "flooded")

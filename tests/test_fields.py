@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from strandline.operators import distance, hierarchy, networks, polygons, ranges
+from strandline.operators import distance, hierarchy, networks, polygons, pyramid, ranges
 
 
 def mask_frame(spark, cells):
@@ -155,3 +155,15 @@ def test_isochrone_outlines(spark):
                 assert not covered(x, y)
     plain = 6 * 250 * 2 * radius
     assert sum(r["area"] for r in {r["ring"]: r for r in corners}.values()) < plain * 1.05
+
+
+def test_pyramids_unpack_to_their_cells(spark):
+    rng = random.Random(9)
+    cells = {(r, c): (rng.choice([None, rng.randrange(-5000, 90_000)]), rng.choice([None, 50 * rng.randrange(80)])) for r in range(21) for c in range(30)}
+    tiles = pyramid.pyramid(spark.createDataFrame([(*k, *v) for k, v in cells.items()], "row long, col long, elev long, h long"), 3, 8).cache()
+    assert {len(r["pixels"]) for r in tiles.collect()} == {8 * 8 * 4}
+    got = {(r["zoom"], r["row"], r["col"]): (r["elev"], r["h"]) for r in pyramid.unpacked(tiles, 8).collect()}
+    want = {(z, r >> z, c >> z): v for z in range(3) for (r, c), v in cells.items() if r % 2**z == 2**z // 2 and c % 2**z == 2**z // 2 and v != (None, None)}
+    assert set(got) == set(want)
+    for k, (elev, h) in want.items():
+        assert got[k][1] == h and (got[k][0] is None) == (elev is None) and (elev is None or abs(got[k][0] - elev) <= 4)

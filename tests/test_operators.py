@@ -106,6 +106,10 @@ def test_hourly_peaks_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("peaks").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(r["peak"] for r in spark.table("peaks").collect()) == [30, 130, 230, 330]
+    known = spark.createDataFrame([(0,), (100,), (100,), (310,), (9000,), (None,)], "h long")
+    high = spark.table("peaks").union(spark.createDataFrame([("b", None, 50_000), ("b", None, -60)], spark.table("peaks").schema))
+    got = {r["peak"]: r["flooded"] for r in levels.flooded_counts(high, known).collect()}
+    assert got == {30: 1, 130: 3, 230: 3, 330: 4, 50_000: 5}
 
 
 def test_region_rings_and_shared_areas(spark):
