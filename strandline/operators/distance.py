@@ -85,3 +85,20 @@ def gradient(field: DataFrame) -> DataFrame:
         slope = (F.coalesce("after", "d") - F.coalesce("before", "d")) / F.when(both, 2.0).otherwise(1.0)
         out = out.withColumn(name, slope).drop("after", "before")
     return out
+
+
+def first_section(levels: DataFrame, field: DataFrame, inland: float, cell: float, sea: float, land: float) -> DataFrame:
+    """row, col, from_x, from_y, to_x, to_y: the line through the first of the lowest cells (row, col, h) that lie more than ``inland``
+    cells from a seed, along the gradient of the distance: ``sea`` metres against it and ``land`` metres on; northwards where it has none.
+
+    x and y are metres from the grid's upper left corner, y growing to the north. No cell inland gives no row.
+    """
+    slopes = gradient(field)
+    low = levels.where(F.col("h").isNotNull()).join(slopes, ["row", "col"]).where(F.col("d") > inland)
+    at = low.agg(F.min(F.struct("h", "row", "col", "d_row", "d_col")).alias("f")).where("f IS NOT NULL").select("f.*")
+    n = F.hypot("d_col", "d_row")
+    flat = F.coalesce(n < 1e-9, F.lit(True))
+    east, north = F.when(flat, 0.0).otherwise(F.col("d_col") / n), F.when(flat, 1.0).otherwise(-F.col("d_row") / n)
+    x, y = (F.col("col") + 0.5) * cell, (F.col("row") + 0.5) * -cell
+    line = {"from_x": x - east * sea, "from_y": y - north * sea, "to_x": x + east * land, "to_y": y + north * land}
+    return at.select("row", "col", *(F.round(v, 1).alias(k) for k, v in line.items()))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from strandline import testbed as tb
 from strandline.functions import codec
-from strandline.operators import raster
-from strandline.operators.iterate import shared_folder
+from strandline.operators import distance, raster
+from strandline.operators.iterate import checkpointed, shared_folder
 from strandline.plans import rasters
 
 QUERIES: dict = {}
@@ -45,11 +45,15 @@ def dissolved_areas(spark, sf_dir):
     return f.where("xmin <= 600 and xmax >= 100 and ymin <= 600 and ymax >= 100").drop("ymin", "ymax")
 
 
-@_register("m08_default_section", f"with recursive {CELL}, {rasters.LEV}, i as (select row, col, h from lev where col >= 2), f as (select row, col from i order by h, row, col limit 1) select f.row, f.col, f.col * 5 - 80 as from_m, f.col * 5 + 160 as to_m from f")
+#: dist: every cell's distance to its nearest seed; first_: the first lowest cell inland with the distances around it.
+SECTION = "dist as (select a.row, a.col, min(sqrt((a.row - s.row) * (a.row - s.row) + (a.col - s.col) * (a.col - s.col))) as d from cell a join cell s on s.seed group by 1, 2), first_ as (select lev.row, lev.col, dist.d, e.d as e, w.d as w, n.d as n, s.d as s from lev join dist using (row, col) left join dist e on e.row = lev.row and e.col = lev.col + 1 left join dist w on w.row = lev.row and w.col = lev.col - 1 left join dist n on n.row = lev.row - 1 and n.col = lev.col left join dist s on s.row = lev.row + 1 and s.col = lev.col where dist.d > 1.5 order by h, lev.row, lev.col limit 1), slope as (select row, col, (coalesce(e, d) - coalesce(w, d)) / (case when e is null or w is null then 1 else 2 end) as gx, (coalesce(s, d) - coalesce(n, d)) / (case when s is null or n is null then 1 else 2 end) as gy from first_), unit as (select row, col, case when sqrt(gx * gx + gy * gy) < 1e-9 then 0 else gx / sqrt(gx * gx + gy * gy) end as ex, case when sqrt(gx * gx + gy * gy) < 1e-9 then 1 else -gy / sqrt(gx * gx + gy * gy) end as ny from slope)"
+
+
+@_register("m08_default_section", f"with recursive {CELL}, {rasters.LEV}, {SECTION} select row, col, round((col + 0.5) * 5 - ex * 80, 1)::double as from_x, round((row + 0.5) * -5 - ny * 80, 1)::double as from_y, round((col + 0.5) * 5 + ex * 160, 1)::double as to_x, round((row + 0.5) * -5 + ny * 160, 1)::double as to_y from unit")
 def default_section(spark, sf_dir):
-    inland = rasters.h_conn(spark, sf_dir).where("col >= 2 and h is not null")
-    first = inland.agg(F.min(F.struct("h", "row", "col")).alias("f")).select("f.row", "f.col")
-    return first.select("row", "col", (c("col") * 5 - 80).alias("from_m"), (c("col") * 5 + 160).alias("to_m"))
+    """The section through the first lowest cell inland, from the water to the land across the shore."""
+    field = checkpointed(distance.seed_field(tb.cells(spark, sf_dir)))
+    return distance.first_section(rasters.h_conn(spark, sf_dir), field, 1.5, 5.0, 80.0, 160.0)
 
 
 @_register("s25_typed_reread", f"with {tb.FEATURES_SQL} select id, id % 2 = 0 as flag from fc")

@@ -32,6 +32,17 @@ def test_every_cell_knows_its_nearest_seed(spark, share):
     assert all(abs(slopes[(0, c)]["d_row"] - (d[(1, c)] - d[(0, c)])) < 1e-9 for c in range(27))
 
 
+def test_sections_cross_the_shore(spark):
+    """A shore along a diagonal: the line through the lowest cell inland runs at right angles to it."""
+    cells = [(r, c, r + c < 8, float(abs(r - 9) + abs(c - 9))) for r in range(20) for c in range(20)]
+    df = spark.createDataFrame(cells, "row long, col long, seed boolean, h double")
+    (line,) = distance.first_section(df.select("row", "col", "h"), distance.seed_field(df), 2.0, 1.0, 10.0, 20.0).collect()
+    assert (line["row"], line["col"]) == (9, 9)
+    dx, dy = line["to_x"] - line["from_x"], line["to_y"] - line["from_y"]
+    assert abs(math.hypot(dx, dy) - 30) < 0.2 and abs(dx + dy) < 0.2 and dx > 0
+    assert distance.first_section(df.selectExpr("row", "col", "cast(null as double) as h"), distance.seed_field(df), 2.0, 1.0, 10.0, 20.0).count() == 0
+
+
 def rings_of(rows):
     rings = {}
     for r in rows:
