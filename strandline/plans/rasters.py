@@ -325,3 +325,14 @@ def tile_pyramid(spark, sf_dir):
     """Three zooms of tiles of 16 by 16 pixels with heights and connecting levels, their bytes in hexadecimal."""
     cells = h_conn(spark, sf_dir).select("row", "col", "elev", "h")
     return pyramid.pyramid(cells, 3, 16).withColumn("pixels", F.lower(F.hex("pixels")))
+
+
+_POUR = "rim as (select p.pit, p.row, p.col, p.fill, n.elev as z from pit p join cell n on greatest(abs(n.row - p.row), abs(n.col - p.col)) = 1 left join pit q on q.row = n.row and q.col = n.col where n.elev is not null and (q.pit is null or q.pit <> p.pit)), pour as (select pit, row * 1000000000 + col as node from (select *, row_number() over (partition by pit order by abs(z - fill), z, row, col) as k from rim) where k = 1), area as (select pit, count(*) * 25.0::double as area from pit group by pit)"
+
+
+@_register("j14_pit_of_basin", f"with recursive {CELL}, {FILL}, {WETCELLS}, {_POUR}, {PATHS}, e as (select w.src as node, w.row * 1000000000 + w.col as root from walk w where not exists (select 1 from rec where rec.row = w.row and rec.col = w.col)) select root, arg_max(pit, area * 1000000 - pit) as pit, max(area) as area from pour join e using (node) join area using (pit) group by root")
+def pit_of_basin(spark, sf_dir):
+    """For each basin the largest of the pits that spill into it: pour points take the basin of their cell."""
+    at = pour_points(spark, sf_dir).select("pit", (c("row") * 1000000000 + c("col")).alias("node"))
+    sized = at.join(pit_stats(spark, sf_dir).select("pit", "area"), "pit").join(basin_outlets(spark, sf_dir), "node")
+    return sized.groupBy("root").agg(F.max_by("pit", F.struct("area", (-c("pit")).alias("p"))).alias("pit"), F.max("area").alias("area"))
