@@ -28,3 +28,19 @@ def feature_json(x: str, y: str, properties: list[str]) -> Column:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).option("lineSep", "\r\n").csv(path)
+
+
+def content_versions(lines: DataFrame, width: int = 256) -> DataFrame:
+    """asset, version: a hash of the lines (asset, id, line) of each asset in the order of their ids (0 and up, each once).
+
+    Lines of ``width`` consecutive ids are hashed together, then ``width`` consecutive hashes, until one is left, so no task holds
+    more than that of an asset of any size.
+    """
+    nodes = lines.select("asset", F.col("id").alias("at"), F.col("line").alias("text"))
+    most = lines.agg(F.max("id")).first()[0] or 0
+    while True:
+        nodes = nodes.groupBy("asset", F.floor(F.col("at") / width).alias("block")).agg(F.sort_array(F.collect_list(F.struct("at", "text"))).alias("rows"))
+        nodes = nodes.select("asset", F.col("block").alias("at"), F.sha2(F.array_join(F.transform("rows", lambda r: r["text"]), "\n"), 256).alias("text"))
+        most //= width
+        if not most:
+            return nodes.select("asset", F.col("text").alias("version"))

@@ -178,3 +178,21 @@ def test_pyramids_unpack_to_their_cells(spark):
     assert set(got) == set(want)
     for k, (elev, h) in want.items():
         assert got[k][1] == h and (got[k][0] is None) == (elev is None) and (elev is None or abs(got[k][0] - elev) <= 4)
+
+
+def test_content_versions_by_blocks(spark):
+    import hashlib
+
+    from strandline.sources import sinks
+
+    lines = {("a", i): f"line {i}" for i in range(0, 90, 2)} | {("b", 70): "one"}
+
+    def level(nodes, width):
+        out = {}
+        for k in sorted(nodes):
+            out.setdefault((k[0], k[1] // width), []).append(nodes[k])
+        return {k: hashlib.sha256("\n".join(v).encode()).hexdigest() for k, v in out.items()}
+
+    want = level(level(level(lines, 5), 5), 5)
+    got = sinks.content_versions(spark.createDataFrame([(*k, v) for k, v in lines.items()], "asset string, id long, line string").repartition(3), 5).collect()
+    assert {(r["asset"], 0): r["version"] for r in got} == want
