@@ -4,10 +4,11 @@ Lines are parsed to a fixed depth: their number of tokens, then their leading co
 with digits are variable fields from the start; within a leaf, lines that agree in most positions share a template and
 the positions where they differ become variable too. A line of variable fields alone has no template. Leaves of many
 distinct lines are parsed in parts of a bounded number, whose templates are then merged. A template recurs if it stands in ``families`` documents
-that are pairwise unrelated. Documents are compared by sketches of their lines (min-hashes of word pairs, so an edited
+that are pairwise unrelated. Documents are compared by sketches of all their lines (min-hashes of word pairs, so an edited
 line is still found): two are unrelated if each has enough text of its own that the other lacks, whatever they share.
-Tasks pick unrelated documents for each template greedily, stop at ``families``, and their picks are merged by template;
-copies and near copies add no pick. Lines of recurring templates are dropped from every document but the first that
+Tasks pick unrelated documents for each template greedily and stop at ``families``. The picks of all tasks are merged in
+``families`` - 1 rounds, each a comparison of a template's first pick left with its others; pairs of documents are compared
+once, however many templates they share. Copies and near copies add no pick. Lines of recurring templates are dropped from every document but the first that
 has the template.
 """
 
@@ -21,6 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +33,6 @@ LEADING, LEAST_TOKENS, SIMILARITY, FAMILIES = 3, 1, 0.6, 4.0
 LEAF_LINES = 20_000  # distinct lines of a leaf that are parsed at once, on average
 VARIABLE, DIGIT = b"<*>", re.compile(rb"[0-9]").search
 HASHES, MATCHES = 8, 3  # a line is found in a document that has so many of its min-hashes
-SKETCH_LINES = 48  # longer documents are compared by the lines of the smallest min-hashes
 BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # a hash of each byte
 OWN_LINES, OWN_SHARE, OWN_MOST = 2, 0.15, 0.5  # own text: so many lines and share of the words, or most of the words
 
@@ -106,8 +107,7 @@ def line_rows(lines: list[bytes]) -> np.ndarray:
 
 
 def sketches_of(docs: list[list[bytes]]) -> list[bytes]:
-    """For each document (its lines): limit, then number of tokens and min-hashes of each line; of long documents the
-    lines up to the limit."""
+    """For each document (its lines): number of tokens and min-hashes of every line."""
     lines = [x for mine in docs for x in mine]
     parts, first, size = [], 0, 0
     for i, line in enumerate(lines):  # all lines are hashed, in parts of a bounded size
@@ -116,15 +116,8 @@ def sketches_of(docs: list[list[bytes]]) -> list[bytes]:
             parts.append(line_rows(lines[first : i + 1]))
             first, size = i + 1, 0
     rows = np.concatenate(parts)
-    out, at = [], 0
-    for mine in docs:
-        own, limit = rows[at : at + len(mine)], 0xFFFFFFFF
-        at += len(mine)
-        if len(own) > SKETCH_LINES:
-            own = own[np.argsort(own[:, 1], kind="stable")[:SKETCH_LINES]]
-            limit = int(own[-1, 1])
-        out.append(np.uint32(limit).tobytes() + own.tobytes())
-    return out
+    ends = np.cumsum([len(mine) for mine in docs])
+    return [rows[end - len(mine) : end].tobytes() for mine, end in zip(docs, ends, strict=True)]
 
 
 def sketches(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
@@ -151,77 +144,91 @@ def sketches(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
 
 
 class Sketch:
-    def __init__(self, data: bytes):
-        self.data = data
-        self.limit = int(np.frombuffer(data, np.uint32, 1)[0])
-        rows = np.frombuffer(data, np.uint32, offset=4).reshape(-1, HASHES + 1)
+    def __init__(self, data: bytes, doc: int = 0):
+        self.data, self.doc = data, doc
+        rows = np.frombuffer(data, np.uint32).reshape(-1, HASHES + 1)
         self.sizes, self.values = rows[:, 0].astype(np.int64), rows[:, 1:]
         self.pool = np.unique(self.values)
 
     def has_own(self, other: Sketch) -> bool:
         """Whether this document has enough text that the other lacks."""
-        use = self.values[:, 0] <= min(self.limit, other.limit)
-        values, sizes = self.values[use], self.sizes[use]
-        at = np.minimum(np.searchsorted(other.pool, values), len(other.pool) - 1)
-        own = (other.pool[at] == values).sum(axis=1) < MATCHES
-        words = sizes[own].sum()
-        return words > 0 and (words >= OWN_MOST * sizes.sum() or (own.sum() >= OWN_LINES and words >= OWN_SHARE * sizes.sum()))
+        at = np.minimum(np.searchsorted(other.pool, self.values), len(other.pool) - 1)
+        own = (other.pool[at] == self.values).sum(axis=1) < MATCHES
+        words = self.sizes[own].sum()
+        return words > 0 and (words >= OWN_MOST * self.sizes.sum() or (own.sum() >= OWN_LINES and words >= OWN_SHARE * self.sizes.sum()))
 
     def unrelated(self, other: Sketch) -> bool:
         return bool(self.has_own(other) and other.has_own(self))
 
 
 def _picked(families: int):
-    """template, full (``families`` unrelated documents found) and else the sketches of the documents picked, by task."""
+    """By task, the templates with ``families`` unrelated documents (full), else a row for each document picked (numbered
+    by the task), and the sketches of these documents in rows of their own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        picks: dict[int, list[Sketch]] = {}
+        doc, full, picks = TaskContext.get().partitionId() << 33, set(), {}
         for batch in batches:
             for data, templates in zip(batch["sketch"], batch["templates"], strict=True):
                 sketch, known = None, {}
-                for template in templates:
-                    mine = picks.setdefault(int(template), [])
-                    if len(mine) >= families:
+                doc += 1
+                for template in map(int, templates):
+                    if template in full:
                         continue
-                    sketch = sketch or Sketch(data)
+                    mine = picks.setdefault(template, [])
+                    sketch = sketch or Sketch(data, doc)
                     for x in mine:
-                        if id(x) not in known:
-                            known[id(x)] = sketch.unrelated(x)
-                        if not known[id(x)]:
+                        if x.doc not in known:
+                            known[x.doc] = sketch.unrelated(x)
+                        if not known[x.doc]:
                             break
                     else:
                         mine.append(sketch)
-        items = list(picks.items())
-        for i in range(0, len(items), 2000):
-            part = items[i : i + 2000]
-            yield pd.DataFrame({"template": [t for t, _ in part], "full": [len(x) >= families for _, x in part], "picks": [[] if len(x) >= families else [y.data for y in x] for _, x in part]})
+                        if len(mine) >= families:
+                            full.add(template)
+                            del picks[template]
+        yield pd.DataFrame({"template": np.fromiter(full, np.int64), "full": True, "doc": 0, "sketch": None})
+        rows = [(t, x.doc) for t, mine in picks.items() for x in mine]
+        yield pd.DataFrame({"template": [t for t, _ in rows], "full": False, "doc": [d for _, d in rows], "sketch": None})
+        held, size = {}, 0
+        for x in {x.doc: x for mine in picks.values() for x in mine}.values():
+            held[x.doc] = x.data
+            size += len(x.data)
+            if size > 4_000_000:
+                yield pd.DataFrame({"template": 0, "full": False, "doc": list(held), "sketch": list(held.values())})
+                held, size = {}, 0
+        yield pd.DataFrame({"template": 0, "full": False, "doc": list(held), "sketch": list(held.values())})
 
     return run
 
 
-def _merged(families: int):
-    """The templates of enough picks, from rows of _picked sorted by template."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, mine, full = None, [], False
-        for batch in batches:
-            out = []
-            for template, done, picks in zip(batch["template"], batch["full"], batch["picks"], strict=True):
-                if template != now:
-                    if full:
-                        out.append(now)
-                    now, mine, full = template, [], False
-                full = full or bool(done)
-                for data in () if full else picks:
-                    sketch = Sketch(data)
-                    if all(sketch.unrelated(x) for x in mine):
-                        mine.append(sketch)
-                full = full or len(mine) >= families
-            yield pd.DataFrame({"r_template": np.array(out, np.int64)})
-        if full:
-            yield pd.DataFrame({"r_template": np.array([now], np.int64)})
-
-    return run
+def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """a_doc, a_first of the pairs of unrelated documents."""
+    first = None
+    for batch in batches:
+        keep = []
+        for doc, data, number, other in zip(batch["doc"], batch["sketch"], batch["first"], batch["f_sketch"], strict=True):
+            if first is None or first.doc != number:
+                first = Sketch(other, number)
+            keep.append(first.unrelated(Sketch(data, doc)))
+        yield batch.loc[np.array(keep, bool), ["doc", "first"]].set_axis(["a_doc", "a_first"], axis=1)
+
+
+def merged_picks(picked: DataFrame, families: int) -> DataFrame:
+    """r_template: the templates of enough picks, from rows of _picked. A round compares the first pick left of each
+    template that may still reach ``families`` with its others, and those related to it go."""
+    full = picked.where("full").select(F.col("template").alias("r_template")).distinct()
+    left = picked.where("NOT full AND sketch IS NULL").select("template", "doc")
+    left = left.join(full, F.col("template") == F.col("r_template"), "left_anti")
+    sketch = picked.where("sketch IS NOT NULL").select("doc", "sketch")
+    for needed in range(families, 1, -1):
+        firsts = left.groupBy(F.col("template").alias("f_template")).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
+        pairs = left.join(firsts.where(F.col("n") >= needed), F.col("template") == F.col("f_template")).where("doc > first")
+        pairs = checkpointed(pairs.select("template", "doc", "first"))
+        others = sketch.select(F.col("doc").alias("f_doc"), F.col("sketch").alias("f_sketch"))
+        both = pairs.select("doc", "first").distinct().join(sketch, "doc").join(others, F.col("first") == F.col("f_doc"))
+        apart = both.select("doc", "sketch", "first", "f_sketch").mapInPandas(_apart, "a_doc long, a_first long")
+        left = checkpointed(pairs.join(apart, (F.col("doc") == F.col("a_doc")) & (F.col("first") == F.col("a_first"))).select("template", "doc"))
+    return full.unionByName(left.select(F.col("template").alias("r_template")).distinct())
 
 
 def masked_lines(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
@@ -324,9 +331,7 @@ def recurring_lines(docs: DataFrame, leading: int, least_tokens: int, similarity
     by_doc = checkpointed(hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("form", "template", "first_id")).alias("hits")))
     described = by_doc.join(sketches(docs, leading, least_tokens), (F.col("doc_id") == F.col("s_id")) & (F.col("text_key") == F.col("s_key")))
     described = described.select("sketch", F.array_distinct(F.col("hits.template")).alias("templates"))
-    picks = described.mapInPandas(_picked(least), "template long, full boolean, picks array<binary>")
-    picks = picks.repartition(partitions(docs), "template").sortWithinPartitions("template")
-    recurring = picks.mapInPandas(_merged(least), "r_template long")
+    recurring = merged_picks(checkpointed(described.mapInPandas(_picked(least), "template long, full boolean, doc long, sketch binary")), least)
     each = by_doc.select("doc_id", "text_key", F.explode("hits").alias("hit")).select("doc_id", "text_key", "hit.*").where("doc_id > first_id")
     return each.join(recurring, F.col("template") == F.col("r_template")).select("doc_id", "text_key", "form")
 

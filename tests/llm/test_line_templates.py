@@ -135,3 +135,21 @@ def test_unrelated_documents_match_brute_force(spark, monkeypatch):
         got = {r["doc_id"]: r["text"] for r in lt.drop_templates(df).collect()}
         assert got == want, [(i, got[i], want[i]) for i in want if got[i] != want[i]][:2]
     assert any("only in three" in t for t in want.values() if t) and sum("only in four" in t for t in want.values() if t) == 1
+
+
+def test_long_documents_are_compared_by_all_lines(spark):
+    rng = random.Random(21)
+    vocabulary = [a + b + c + d for a in "bdfgk" for b in "aeiou" for c in "lmnrs" for d in "aeiou"]
+
+    def lines(n):
+        return [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(6, 12))) for _ in range(n)]
+
+    docs, want = [], []
+    for group in range(12):  # a little more or less than the share of own text that makes documents unrelated
+        own = 54 if group % 2 else 36
+        block = lines(300 - own)
+        for k in range(4):
+            docs.append((len(docs), "\n".join(lines(own) + block)))
+            want.append(300 - own if group % 2 and k else 0)
+    out = {r["doc_id"]: r["n_dropped"] for r in lt.drop_templates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(len(docs))] == want
