@@ -9,17 +9,20 @@ tokens for each of some 130 classes, whatever the input's size) is repacked in o
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import checkpointed, table, words_of
+from strandline.llm.common import checkpointed, table
 
 CAPACITY, END = 4096, 2
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, part int, idx long"
@@ -37,12 +40,34 @@ PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: b for b in PLAIN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(PLAIN)))}
 
 
+class PieceBytes(dict):
+    """Ids of lower-case pre-tokens by the tokenizer's model, as little-endian unsigned 32-bit."""
+
+    def __init__(self, model, bound: int):
+        super().__init__()
+        self.model, self.bound, self.written = model, bound, IdBytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.bound:
+            self.clear()
+        characters = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8").decode("latin-1").translate(BYTE_CHARS)
+        written = self.written
+        value = self[piece] = b"".join([written[t.id] for t in self.model.tokenize(characters)])
+        return value
+
+
+class IdBytes(dict):
+    def __missing__(self, token: int) -> bytes:
+        value = self[token] = token.to_bytes(4, "little")
+        return value
+
+
 class TokenBytes(dict):
     """Ids of white-space-free chunks as little-endian unsigned 32-bit; the vocabulary never joins across such gaps.
 
     Chunks and their pre-tokens are kept for as many as fit the bound. Pre-tokens of Latin chunks go straight to
-    the tokenizer's model; all other chunks, and those that hold an added token's text (one id wherever it stands), take
-    its whole path (added tokens, normaliser and pre-tokenizer included).
+    the tokenizer's model, a chunk of letters alone as it is; all other chunks, and those that hold an added token's text
+    (one id wherever it stands), take its whole path (added tokens, normaliser and pre-tokenizer included).
     """
 
     def __init__(self, path: str, bound: int = 800_000):
@@ -50,33 +75,39 @@ class TokenBytes(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.bound, self.pieces = bound, {}
+        self.bound = bound
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())  # a handful; none has white space
-        self.model, self.split = self.tokenizer.model, regex.compile(PRE_TOKEN).findall
-
-    def piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= self.bound:
-                self.pieces.clear()
-            written = piece.encode("utf-8").decode("latin-1").translate(BYTE_CHARS)
-            found = self.pieces[piece] = np.asarray([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
-        return found
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]  # a handful; none has white space
+        self.holds_added = re.compile("|".join(map(re.escape, added)) or "(?!)").search
+        self.pieces, self.split = PieceBytes(self.tokenizer.model, bound), regex.compile(PRE_TOKEN).findall
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.bound:
             self.clear()
+        if not chunk:  # beside leading and trailing white space
+            return b""
         text = chunk.decode("utf-8", "replace")
-        if max(text) < "\u0250" and not any(t in text for t in self.added):  # precomposed Latin letters: composing changes nothing, lower case is by character
-            value = b"".join(map(self.piece, self.split(text.lower())))
+        if (chunk.isascii() or max(text) < "\u0250") and not self.holds_added(text):  # precomposed Latin letters: composing changes nothing, lower case is by character
+            lower, pieces = text.lower(), self.pieces
+            value = pieces[lower] if lower.isalpha() else b"".join([pieces[x] for x in self.split(lower)])
         else:
             value = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         self[chunk] = value
         return value
 
-    def of(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, words_of(text)))
+    def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text (null: none); a chunk is looked up once in these texts."""
+        chunks = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = chunks.flatten().dictionary_encode()
+        found = [self[x] for x in coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)]
+        ids, sizes = np.frombuffer(b"".join(found), "<u4"), np.array([len(x) // 4 for x in found], np.int64)
+        which = coded.indices.to_numpy()
+        each = sizes[which]
+        ends = np.append(0, np.cumsum(each))
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], each)
+        at += np.arange(len(at))
+        ids, bounds = ids[at], ends[chunks.offsets.to_numpy()]
+        return (ids[lo:hi] for lo, hi in zip(bounds[:-1], bounds[1:], strict=True))
 
 
 def class_of(rest: int, capacity: int) -> int:
@@ -96,22 +127,35 @@ def cuts(tokens: int, capacity: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def blocks(texts: pa.Array, bound: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """(first, number) of consecutive texts of about ``bound`` bytes together, or of one longer text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    first = 0
+    while first < len(ends):
+        to = max(first + 1, int(np.searchsorted(ends, bound + (ends[first - 1] if first else 0), "right")))
+        yield first, to - first
+        first = to
+
+
 def tokenised_pieces(docs: DataFrame, path: str, capacity: int) -> DataFrame:
     end = np.asarray([END], "<u4").tobytes()
+    kinds = [pa.int32() if x.endswith(" int") else pa.int64() for x in PIECES.split(", ")]
+    names = [x.split(" ")[0] for x in PIECES.split(", ")]
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ids, seen = TaskContext.get().partitionId(), TokenBytes(path), {}
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                data = memoryview(ids.of(text) + end)
-                total = len(data) // 4
-                for start, length, k in cuts(total, capacity):
-                    idx = seen[k] = seen.get(k, -1) + 1
-                    rows.append((doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), total, k, part, idx))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "idx"]).astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, PIECES)
+            for first, number in blocks(batch["text"]):
+                rows = []
+                for doc_id, tokens in zip(batch["doc_id"].slice(first, number).to_pylist(), ids.of(batch["text"].slice(first, number)), strict=True):
+                    data = memoryview(tokens.tobytes() + end)
+                    total = len(data) // 4
+                    for start, length, k in cuts(total, capacity):
+                        idx = seen[k] = seen.get(k, -1) + 1
+                        rows.append((doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), total, k, part, idx))
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[tuple[int, int]]:

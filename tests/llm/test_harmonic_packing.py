@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Row
 
 from strandline.llm import harmonic_packing as hp
@@ -44,3 +46,20 @@ def test_classes_fit():
     for n in range(1, 9000, 7):
         cuts = hp.cuts(n, hp.CAPACITY)
         assert sum(c[1] for c in cuts) == n and all(c[1] * c[2] <= hp.CAPACITY for c in cuts)
+
+
+def test_chunks_match_the_tokenizer_and_words_of_letters_are_not_split():
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(33, 0x250) if not chr(c).isspace()]
+    chunks = [*letters, "It's", "we'LL'", "x²y½", "straße.", "Ünï_9", "\x1c", "a\x1f1", "<|endoftext|>", "a<|startoftext|>b", "中a"]
+    chunks += ["".join(rng.choices(letters[:94] if rng.random() < 0.5 else letters, k=rng.randint(2, 7))) for _ in range(20_000)]
+    ids = hp.TokenBytes(hp.vocabulary_path())
+    texts = [*chunks, None, "", " \n", " ".join(chunks), "\t a\x0bb\x0c\r c "]
+    for x, got in zip(texts, ids.of(pa.array(texts)), strict=True):
+        assert got.tolist() == ids.tokenizer.encode(x or "", add_special_tokens=False).ids, x
+    plain = pa.array(["Words of letters", "ÀÉÎõü straße ªº"])
+    want = [x.tolist() for x in ids.of(plain)]
+    ids.clear()
+    ids.split = None
+    assert [x.tolist() for x in ids.of(plain)] == want
+    assert list(hp.blocks(pa.array(["aa", None, "é", "long text", "", "b"]), 4)) == [(0, 3), (3, 1), (4, 2)]
