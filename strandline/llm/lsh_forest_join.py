@@ -174,8 +174,8 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def links_of(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, threshold: float, cross: bool) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
-    """Verified links of each set (copies counted), spanning edges and numbers of links by similarity in hundredths
-    (rounded down); with ``cross`` only between blocks."""
+    """Verified links of each set (copies counted), edges of each linked set to the first one of its class here, and
+    numbers of links by similarity in hundredths (rounded down); with ``cross`` only between blocks."""
     m = len(sets)
     size = np.array([len(s) for s in sets], np.int64)
     values, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -192,7 +192,7 @@ def links_of(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, thre
         np.bitwise_or.at(bits, (owner[here], cols >> 6), np.uint64(1) << (cols & 63).astype(np.uint64))
         for i in range(m - 1):
             both[i, i + 1 :] += np.bitwise_count(bits[i] & bits[i + 1 :]).sum(axis=1, dtype=np.int32)
-    links, parent, edges, near = np.zeros(m, np.int64), list(range(m)), [], np.zeros(101, np.int64)
+    links, parent, near = np.zeros(m, np.int64), list(range(m)), np.zeros(101, np.int64)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -213,12 +213,11 @@ def links_of(sets: list[np.ndarray], block: np.ndarray, copies: np.ndarray, thre
             a, b = root(i), root(x)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                edges.append((i, x))
-    return links, edges, near
+    return links, [(root(i), i) for i in range(m) if root(i) != i], near
 
 
 def _verify(threshold: float):
-    """a, b, n: n links of a where a = b, a spanning edge where they differ, and without a: n links of similarity b / 100."""
+    """a, b, n: n links of a where a = b, an edge to the first of a tile's class where they differ, and without a: n links of similarity b / 100."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in grouped_stream(batches, ["comp", "ti", "tj"]):
@@ -241,15 +240,14 @@ def prefix_links(texts: DataFrame, trees: int, depth: int, floor: int) -> DataFr
 
 def shingle_sets(texts: DataFrame, known: DataFrame, linked: DataFrame) -> DataFrame:
     """rep, copies, shingles of the texts that have a link; read from one row of each, once for all prefixes."""
-    wanted = linked.select(F.col("a").alias("rep")).unionByName(linked.select(F.col("b").alias("rep"))).distinct()
+    wanted = linked.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     wanted = wanted.join(texts.select("rep", "copies", "same", "least"), "rep")
     texted = wanted.join(known, F.col("least") == F.col("doc_id")).select("rep", "copies", "same", "text")
     return checkpointed(texted.mapInPandas(_sets, "rep long, copies long, shingles binary"))
 
 
-def verified_links(sets: DataFrame, stars: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Rows of _verify for the components of the links."""
-    comps = checkpointed(components(stars))
+def verified_links(sets: DataFrame, comps: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Rows of _verify for the components (node, root) of the links."""
     sizes = comps.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).withColumnRenamed("root", "comp")
     members = comps.select(F.col("node").alias("rep"), F.col("root").alias("comp")).join(sizes, "comp").withColumn("blk", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     members = members.join(sets, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -275,12 +273,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, dept
     floor = shortest_prefix(threshold, trees, depth, recall)
     linked = prefix_links(texts, trees, depth, floor)
     sets, prefix = shingle_sets(texts, known, linked), depth
+    stars = linked.where(F.col("shared") >= prefix).select("a", "b")
     while True:
-        verified = verified_links(sets, linked.where(F.col("shared") >= prefix).select("a", "b"), threshold, block)
+        comps = checkpointed(components(stars))
+        verified = verified_links(sets, comps, threshold, block)
         found = {r["b"] / 100: r["n"] for r in verified.where("a IS NULL").groupBy("b").agg(F.sum("n").alias("n")).collect()}  # hundredths
         if prefix <= floor or estimated_recall(found, threshold, trees, prefix) >= recall:
             break
-        prefix = next_prefix(found, threshold, trees, prefix, floor, recall)
+        before, prefix = prefix, next_prefix(found, threshold, trees, prefix, floor, recall)
+        shorter = linked.where((F.col("shared") >= prefix) & (F.col("shared") < before))  # the longer ones are in the components
+        stars = comps.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(shorter.select("a", "b"))
     links = verified.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     rooted = components(verified.where("a <> b").select("a", "b")).select(F.col("node").alias("rep"), "root")
     first = rooted.join(texts.select("rep", "least"), "rep").groupBy("root").agg(F.min("least").alias("class"))

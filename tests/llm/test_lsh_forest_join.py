@@ -121,3 +121,30 @@ def test_rows_that_repeat_a_doc_id(spark):
     rows = spark.createDataFrame([(1, a), (1, other), (2, b), (None, a), (3, None)], "doc_id long, text string")
     got = sorted(map(tuple, lsh.join(rows).collect()), key=str)
     assert got == sorted([(1, 1, 1), (1, 1, 0), (2, 1, 1), (None, None, 0), (3, 3, 0)], key=str)
+
+
+def test_verified_classes_are_stars_within_a_tile():
+    import numpy as np
+
+    chain = [np.arange(i, 20 + i, dtype=np.uint64) for i in range(0, 6, 2)]  # each is near the next one only
+    links, edges, _ = lsh.links_of(chain, np.zeros(3, np.int64), np.ones(3, np.int64), 0.8, False)
+    assert links.tolist() == [1, 2, 1]
+    assert edges == [(0, 1), (0, 2)]
+
+
+def test_tasks_of_components_on_small_tables(spark):
+    """On small tables dealt over many partitions, tasks cost more than rows: shuffle files, checkpoints and logs."""
+    links = spark.createDataFrame([(i, i % 7) for i in range(8, 60)] + [(i + 1, i) for i in range(70, 90, 3)] + [(20, 71)], "a long, b long").repartition(1)
+    sc, key = spark.sparkContext, "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    sc.setJobGroup("components", "counted")
+    try:
+        roots = lsh.components(links).count()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset(key)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(tracker.getStageInfo(s).numCompletedTasks for s in stages if tracker.getStageInfo(s))
+    assert roots == len({x for r in links.collect() for x in r})
+    assert tasks <= 55, tasks  # 70 when each end of an edge was read by itself
