@@ -23,7 +23,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,7 @@ from strandline.llm.common import checkpointed, grouped_stream, mix64, partition
 
 LEADING, LEAST_TOKENS, SIMILARITY, FAMILIES = 3, 1, 0.6, 4.0
 LEAF_LINES = 20_000  # distinct lines of a leaf that are parsed at once, on average
+HELD_LINES = 20_000  # lines that a task holds before it hands them on, beside those of one document
 VARIABLE, DIGIT = b"<*>", re.compile(rb"[0-9]").search
 HASHES, MATCHES = 8, 3  # a line is found in a document that has so many of its min-hashes
 BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # a hash of each byte
@@ -61,6 +62,7 @@ def _signed(x: int) -> int:
 
 def parsed_lines(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
     """doc_id, text_key, leaf, form for each distinct line of enough tokens."""
+    columns = ["doc_id", "text_key", "leaf", "form"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -68,7 +70,10 @@ def parsed_lines(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
             for doc_id, key, text in zip(batch["doc_id"], batch["text_key"], batch["text"], strict=True):
                 lines = {x[1]: x[0] for x in parsed(text, leading, least_tokens) if x}
                 rows.extend((doc_id, key, leaf, form) for form, leaf in lines.items())
-            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "leaf", "form"])
+                if len(rows) >= HELD_LINES:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns)
 
     return docs.mapInPandas(run, "doc_id long, text_key long, leaf long, form long")
 
@@ -215,19 +220,20 @@ def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def merged_picks(picked: DataFrame, families: int) -> DataFrame:
     """r_template: the templates of enough picks, from rows of _picked. A round compares the first pick left of each
-    template that may still reach ``families`` with its others, and those related to it go."""
+    template that may still reach ``families`` with its others, and those related to it go. A template has fewer than
+    ``families`` picks from each task, so few rows meet in its window; only a round's pairs are written."""
     full = picked.where("full").select(F.col("template").alias("r_template")).distinct()
     left = picked.where("NOT full AND sketch IS NULL").select("template", "doc")
     left = left.join(full, F.col("template") == F.col("r_template"), "left_anti")
     sketch = picked.where("sketch IS NOT NULL").select("doc", "sketch")
+    mine = Window.partitionBy("template")
     for needed in range(families, 1, -1):
-        firsts = left.groupBy(F.col("template").alias("f_template")).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n"))
-        pairs = left.join(firsts.where(F.col("n") >= needed), F.col("template") == F.col("f_template")).where("doc > first")
-        pairs = checkpointed(pairs.select("template", "doc", "first"))
+        pairs = left.select("template", "doc", F.min("doc").over(mine).alias("first"), F.count(F.lit(1)).over(mine).alias("n"))
+        pairs = checkpointed(pairs.where((F.col("n") >= needed) & (F.col("doc") > F.col("first"))).select("template", "doc", "first"))
         others = sketch.select(F.col("doc").alias("f_doc"), F.col("sketch").alias("f_sketch"))
         both = pairs.select("doc", "first").distinct().join(sketch, "doc").join(others, F.col("first") == F.col("f_doc"))
         apart = both.select("doc", "sketch", "first", "f_sketch").mapInPandas(_apart, "a_doc long, a_first long")
-        left = checkpointed(pairs.join(apart, (F.col("doc") == F.col("a_doc")) & (F.col("first") == F.col("a_first"))).select("template", "doc"))
+        left = pairs.join(apart, (F.col("doc") == F.col("a_doc")) & (F.col("first") == F.col("a_first"))).select("template", "doc")
     return full.unionByName(left.select(F.col("template").alias("r_template")).distinct())
 
 
@@ -245,6 +251,9 @@ def masked_lines(docs: DataFrame, leading: int, least_tokens: int) -> DataFrame:
                             sent.clear()
                         sent.add(x[1])
                         rows.append(x)
+                if len(rows) >= HELD_LINES:
+                    yield pd.DataFrame(rows, columns=["leaf", "form", "line"])
+                    rows = []
             yield pd.DataFrame(rows, columns=["leaf", "form", "line"])
 
     return docs.select("text").mapInPandas(run, "leaf long, form long, line binary")

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 from pyspark.sql import Row
 
 from strandline.llm import line_templates as lt
@@ -153,3 +154,21 @@ def test_long_documents_are_compared_by_all_lines(spark):
             want.append(300 - own if group % 2 and k else 0)
     out = {r["doc_id"]: r["n_dropped"] for r in lt.drop_templates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert [out[i] for i in range(len(docs))] == want
+
+
+def test_tasks_hand_lines_on_before_a_batch_ends():
+    class Docs:  # gives the function that its tasks would run
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    texts = ["\n".join(f"w{chr(97 + i % 26)} {''.join(chr(97 + int(d)) for d in str(i * 50 + j))}" for j in range(50)) for i in range(2_000)]
+    batch = pd.DataFrame({"doc_id": range(2_000), "text_key": range(2_000), "text": texts})
+    for make, columns in ((lt.parsed_lines, ["doc_id", "text_key", "leaf", "form"]), (lt.masked_lines, ["leaf", "form", "line"])):
+        frames = list(make(Docs(), 3, 1)(iter([batch])))
+        assert max(map(len, frames)) < 25_000
+        whole = pd.concat(frames)
+        assert list(whole.columns) == columns and len(whole) == 100_000 == whole["form"].nunique()
+    assert set(whole["line"]) == {x.encode() for t in texts for x in t.split("\n")}
