@@ -32,6 +32,7 @@ from strandline.llm.common import checkpointed, grouped_stream, mix64, partition
 LEADING, LEAST_TOKENS, SIMILARITY, FAMILIES = 3, 1, 0.6, 4.0
 LEAF_LINES = 20_000  # distinct lines of a leaf that are parsed at once, on average
 HELD_LINES = 20_000  # lines that a task holds before it hands them on, beside those of one document
+HELD_TEXTS = 1_000  # texts that a task holds as Python strings while it cuts them
 VARIABLE, DIGIT = b"<*>", re.compile(rb"[0-9]").search
 HASHES, MATCHES = 8, 3  # a line is found in a document that has so many of its min-hashes
 BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # a hash of each byte
@@ -338,7 +339,9 @@ def recurring_lines(docs: DataFrame, leading: int, least_tokens: int, similarity
     forms = named.select(F.col("form").alias("o_form"), "template").join(often, F.col("template") == F.col("o_template")).select("o_form", "template", "first_id")
     hits = lines.select("doc_id", "text_key", "form").join(forms, F.col("form") == F.col("o_form"))
     by_doc = checkpointed(hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("form", "template", "first_id")).alias("hits")))
-    described = by_doc.join(sketches(docs, leading, least_tokens), (F.col("doc_id") == F.col("s_id")) & (F.col("text_key") == F.col("s_key")))
+    # A merge also of small tables: a broadcast would leave the sketches and the picks to one task, and an executor with
+    # two Python workers a core, which stay.
+    described = by_doc.hint("merge").join(sketches(docs, leading, least_tokens), (F.col("doc_id") == F.col("s_id")) & (F.col("text_key") == F.col("s_key")))
     described = described.select("sketch", F.array_distinct(F.col("hits.template")).alias("templates"))
     recurring = merged_picks(checkpointed(described.mapInPandas(_picked(least), "template long, full boolean, doc long, sketch binary")), least)
     each = by_doc.select("doc_id", "text_key", F.explode("hits").alias("hit")).select("doc_id", "text_key", "hit.*").where("doc_id > first_id")
@@ -364,7 +367,7 @@ def drop_templates(docs: DataFrame, leading: int = LEADING, least_tokens: int =
     rows = rows.join(gone, (F.col("g_doc") == F.col("g_id")) & (F.col("g_text") == F.col("g_key")), "left").select("g_row", "text", "g_forms")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, HELD_TEXTS) for whole in batches for at in range(0, whole.num_rows, HELD_TEXTS)):
             texts, total, dropped = [], [], []
             for text, forms in zip(batch["text"].to_pylist(), batch["g_forms"].to_pylist(), strict=True):
                 lines = text.split("\n") if text else []

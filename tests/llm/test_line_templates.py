@@ -4,6 +4,7 @@ import pandas as pd
 from pyspark.sql import Row
 
 from strandline.llm import line_templates as lt
+from strandline.operators import iterate
 
 
 def test_templates_of_a_leaf():
@@ -172,3 +173,40 @@ def test_tasks_hand_lines_on_before_a_batch_ends():
         whole = pd.concat(frames)
         assert list(whole.columns) == columns and len(whole) == 100_000 == whole["form"].nunique()
     assert set(whole["line"]) == {x.encode() for t in texts for x in t.split("\n")}
+
+
+def python_functions(node):
+    """Of a plan: Python functions in a task of its last stage, and the most in a task of any stage."""
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return python_functions(node.executedPlan())
+    below = [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(i) for i in range(node.children().size())]
+    found = [python_functions(x) for x in below]
+    here = 0 if kind.endswith(("QueryStageExec", "ExchangeExec")) else sum(n for n, _ in found) + kind.startswith("MapIn")
+    return here, max([here, *(most for _, most in found)])
+
+
+def test_no_task_runs_two_python_functions(spark, monkeypatch):
+    """Each would take a worker of its own, which the executor keeps. Small tables, of which the planner knows the size,
+    may be broadcast."""
+    plans = []
+
+    def checkpointed(df):
+        plans.append(df)
+        return iterate.checkpointed(df)
+
+    monkeypatch.setattr(lt, "checkpointed", checkpointed)
+    docs = [(i, " ".join(chr(97 + i) + w for w in "own words of one text alone".split()) + "\nthis line stands everywhere") for i in range(20)]
+    out = lt.drop_templates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sum(r["n_dropped"] for r in out.collect()) == 19
+    most = [python_functions(df._jdf.queryExecution().executedPlan())[1] for df in [*plans, out]]
+    assert len(most) > 5 and max(most) == 1, most
+
+
+def test_cut_texts_in_pieces(spark, monkeypatch):
+    docs = [(i, " ".join(chr(97 + i % 26) + w + chr(97 + i // 26) for w in "own words of one text alone".split()) + "\nthis line stands everywhere") for i in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for texts in (lt.HELD_TEXTS, 7):
+        monkeypatch.setattr(lt, "HELD_TEXTS", texts)
+        got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in lt.drop_templates(df).collect()}
+        assert got == {i: (t if not t or i == 0 else t.split("\n")[0], 2 if t else 0, int(bool(t) and i > 0)) for i, t in docs}
