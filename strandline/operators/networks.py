@@ -43,10 +43,12 @@ def shortest(edges: DataFrame, sources: DataFrame, most: float, most_rounds: int
 
 
 def reached_edges(edges: DataFrame, reach: DataFrame, most: float) -> DataFrame:
-    """i, j, w, from_i, from_j: the share of an edge that is reached from either end; whole edges have 1 and 0."""
+    """i, j, w, from_i, from_j: the share of an edge that is reached from either end; whole edges have 1 and 0. Edges without
+    length are whole if an end is reached."""
     a, b = (reach.select(F.col("node").alias(k), F.col("d").alias(f"d{k}")) for k in ("i", "j"))
     out = edges.join(a, "i", "left").join(b, "j", "left")
-    part = lambda d: F.least(F.greatest(F.coalesce((most - F.col(d)) / F.col("w"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    share = lambda d: F.when(F.col("w") != 0, F.try_divide(most - F.col(d), F.col("w"))).when(F.col(d) <= most, 1.0)
+    part = lambda d: F.least(F.greatest(F.coalesce(share(d), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     out = out.withColumns({"fi": part("di"), "fj": part("dj")}).where("fi > 0 or fj > 0")
     whole = F.col("fi") + F.col("fj") >= 1
     return out.select("i", "j", "w", F.when(whole, 1.0).otherwise(F.col("fi")).alias("from_i"), F.when(whole, 0.0).otherwise(F.col("fj")).alias("from_j"))
