@@ -1,5 +1,6 @@
 """Queries on small tables of their own, with what large or odd tables hold and the bench tables do not."""
 
+import math
 from pathlib import Path
 
 from strandline import registry
@@ -33,3 +34,9 @@ def agrees(spark, name, folder):
 
 def test_partial_edges_without_length(spark, tmp_path):
     assert (7, 1007, 0, 1.0, 0.0) in agrees(spark, "g25_partial_edges", written(spark, tmp_path, SAME_PLACE))
+
+
+def test_isochrone_outline_with_an_edge_without_length(spark, tmp_path):
+    """What is reached goes from supplier 7 through 1007 to 8, in one ring with no hole."""
+    rows = registry.queries()["g26_isochrone_outline"](spark, written(spark, tmp_path, SAME_PLACE)).collect()
+    assert len(rows) == 1 and rows[0]["shell"] == rows[0]["ring"] and rows[0]["area"] > math.pi * 30 * 30
