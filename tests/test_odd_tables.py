@@ -40,3 +40,8 @@ def test_isochrone_outline_with_an_edge_without_length(spark, tmp_path):
     """What is reached goes from supplier 7 through 1007 to 8, in one ring with no hole."""
     rows = registry.queries()["g26_isochrone_outline"](spark, written(spark, tmp_path, SAME_PLACE)).collect()
     assert len(rows) == 1 and rows[0]["shell"] == rows[0]["ring"] and rows[0]["area"] > math.pi * 30 * 30
+
+
+def test_walk_reach_with_an_edge_without_length(spark, tmp_path):
+    ((edges, metres, nodes),) = agrees(spark, "g27_walk_reach", written(spark, tmp_path, SAME_PLACE))
+    assert (edges, nodes) == (2, 2) and 0 < metres < 580
