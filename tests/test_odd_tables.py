@@ -45,3 +45,17 @@ def test_isochrone_outline_with_an_edge_without_length(spark, tmp_path):
 def test_walk_reach_with_an_edge_without_length(spark, tmp_path):
     ((edges, metres, nodes),) = agrees(spark, "g27_walk_reach", written(spark, tmp_path, SAME_PLACE))
     assert (edges, nodes) == (2, 2) and 0 < metres < 580
+
+
+def test_content_hashes_of_ids_beyond_two_levels(spark, tmp_path):
+    """Ids of 65536 and more: the SQL hashes blocks of 256 lines, then all blocks of a nation at once."""
+    keys = [*range(0, 1500, 7), *range(65_000, 65_600), 131_072, 20_000_000]
+    customers = [(i, i % 3, "BUILDING") for i in keys]
+    assert len(agrees(spark, "k09_content_hash", written(spark, tmp_path, {"customer": ("c_custkey long, c_nationkey int, c_mktsegment string", customers)}))) == 3
+
+
+def test_content_hashes_of_a_level_or_two(spark, tmp_path):
+    for most in (200, 256, 5000):
+        (tmp_path / str(most)).mkdir()
+        customers = [(i, i % 3, "BUILDING") for i in range(most)]
+        agrees(spark, "k09_content_hash", written(spark, tmp_path / str(most), {"customer": ("c_custkey long, c_nationkey int, c_mktsegment string", customers)}))
