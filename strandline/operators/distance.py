@@ -67,6 +67,15 @@ def seed_field(cells: DataFrame, seed: str = "seed") -> DataFrame:
     return near.groupBy("row").applyInArrow(along, FIELD)
 
 
+def without_gaps(cells: DataFrame, seed: str = "seed") -> DataFrame:
+    """row, col, seed: the cells of a grid, and one more wherever a row of its range crosses a column with seeds, so that
+    ``seed_field`` finds the seeds of every column in every row."""
+    ends = cells.agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
+    columns = cells.where(F.col(seed)).select("col").distinct()
+    more = columns.join(F.broadcast(ends), F.lit(True)).select(F.explode(F.sequence("lo", "hi")).alias("row"), "col", F.lit(False).alias(seed))  # one row
+    return cells.select("row", "col", seed).unionByName(more).groupBy("row", "col").agg(F.max(seed).alias(seed))
+
+
 def within(cells: DataFrame, mask: str, radius: float) -> DataFrame:
     """row, col, grown: the mask grown by a disk of ``radius`` cells."""
     field = seed_field(cells, mask)

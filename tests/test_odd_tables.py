@@ -6,7 +6,7 @@ import statistics
 from pathlib import Path
 
 from strandline import registry
-from strandline.operators import raster
+from strandline.operators import raster, spatial
 
 #: Suppliers 7 and 1007 (3 and 2003) stand at one place, so the edge between them has no length; nobody gets to 3 and 2003.
 SAME_PLACE = {
@@ -75,3 +75,18 @@ def test_despiking_neither_joins_nor_broadcasts_the_grid(spark):
         around = [v for (a, b), v in cells.items() if abs(a - r) <= 1 and abs(b - c) <= 1 and v is not None]
         want[r, c] = None if z is not None and statistics.median(around) - z > 400 else z
     assert {(r["row"], r["col"]): r["elev"] for r in out.collect()} == want and want != cells
+
+
+def parts(keys):
+    rng = random.Random(3)
+    return {"part": ("p_partkey long, p_size int", [(k, rng.randrange(1, 50)) for k in keys])}
+
+
+def test_nearest_water_of_a_grid_with_gaps_compares_no_pairs(spark, tmp_path, monkeypatch):
+    """Rows of 20 cells; a third of them are missing, and so are the last row's ends."""
+    monkeypatch.setattr(spatial, "near_pairs", None)
+    rng = random.Random(11)
+    (tmp_path / "gaps").mkdir()
+    assert len(agrees(spark, "j12_nearest_water", written(spark, tmp_path / "gaps", parts([k for k in range(1, 509) if rng.random() < 0.66 or k % 100 == 0])))) > 200
+    (tmp_path / "dry").mkdir()
+    assert agrees(spark, "j12_nearest_water", written(spark, tmp_path / "dry", parts([k for k in range(300) if k % 20]))) == []
