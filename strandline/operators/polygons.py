@@ -7,6 +7,7 @@ with the exact predicate on what shares a bin.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,6 +57,17 @@ def shapes_within(left: DataFrame, right: DataFrame, distance: float, left_key:
     return both.withColumn("d", geo.paths_distance(F.col("shape"), F.col("other"))).where(F.col("d") <= distance).select(left_key, right_key, "d")
 
 
+def counts_within(left: DataFrame, right: DataFrame, distances: Sequence[int], left_key: str, right_key: str) -> DataFrame:
+    """left_key, n<k> for each of the ``distances``: how many right shapes are no further than k from a left one, which has a row if
+    that is so for the largest k. Shapes that are alike are compared once and counted as often as they come."""
+    one = checkpointed(left.groupBy("shape").agg(F.min(left_key).alias("l_one")))
+    others = checkpointed(right.groupBy("other").agg(F.min(right_key).alias("r_one"), F.count(F.lit(1)).alias("n")))
+    pairs = shapes_within(one.hint("merge"), others.hint("merge"), max(distances), "l_one", "r_one").join(others.select("r_one", "n").hint("merge"), "r_one")
+    counts = pairs.groupBy("l_one").agg(*(F.sum(F.when(F.col("d") <= k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in distances))
+    found = one.hint("merge").join(counts, "l_one").drop("l_one")
+    return left.select(left_key, "shape").join(found.hint("merge"), "shape").groupBy(left_key).agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in distances))
+
+
 def circle_shares(zones: DataFrame, cx: float, cy: float, radius: float) -> DataFrame:
     """Zones (ring) with the exact area that they share with a circle (overlap) and its share of the zone (fraction)."""
     out = zones.where(geo.box_distance(F.lit(cx), F.lit(cy), *box_of(F.col("ring"))) < radius)

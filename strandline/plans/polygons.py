@@ -106,8 +106,7 @@ def building_rings(spark, sf_dir):
 @_register("j05_line_frontage", f"with {ROAD_NEAR} select road, count(*) filter (d <= 2) as n2, count(*) filter (d <= 5) as n5, count(*) filter (d <= 10) as n10 from (select road, id, case when holds then 0 else d end as d from rb) where d <= 10 group by road")
 def line_frontage(spark, sf_dir):
     b = building_rings(spark, sf_dir).select("id", geo.edges(c("ring")).alias("other"))
-    pairs = polygons.shapes_within(road_lines(spark, sf_dir), b, 10.0, "road", "id")
-    return pairs.groupBy("road").agg(*(F.count_if(c("d") <= k).alias(f"n{k}") for k in (2, 5, 10)))
+    return polygons.counts_within(road_lines(spark, sf_dir), b, (2, 5, 10), "road", "id")
 
 
 ZONE_PAIRS = f"{ZONE}, zp as (select a.zone as i, b.zone as j, min({_apart(('px', 'py'), ('qx', 'qy'))}) as d from ze a join (select zone, ax as px, ay as py, bx as qx, b_y as qy from ze) b on a.zone < b.zone group by 1, 2)"

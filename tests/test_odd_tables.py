@@ -6,7 +6,7 @@ import statistics
 from pathlib import Path
 
 from strandline import registry
-from strandline.operators import raster, spatial
+from strandline.operators import polygons, raster, spatial
 
 #: Suppliers 7 and 1007 (3 and 2003) stand at one place, so the edge between them has no length; nobody gets to 3 and 2003.
 SAME_PLACE = {
@@ -90,3 +90,25 @@ def test_nearest_water_of_a_grid_with_gaps_compares_no_pairs(spark, tmp_path, mo
     assert len(agrees(spark, "j12_nearest_water", written(spark, tmp_path / "gaps", parts([k for k in range(1, 509) if rng.random() < 0.66 or k % 100 == 0])))) > 200
     (tmp_path / "dry").mkdir()
     assert agrees(spark, "j12_nearest_water", written(spark, tmp_path / "dry", parts([k for k in range(300) if k % 20]))) == []
+
+
+def streets(copies):
+    """Suppliers and customers at few places, each of them ``copies`` times by keys that are 7000 apart."""
+    places = [(k, k + 7000 * n) for n in range(copies) for k in range(0, 90, 3)]
+    return {
+        "supplier": ("s_suppkey long, s_nationkey int", [(s, 1) for k, s in places]),
+        "customer": ("c_custkey long, c_nationkey int, c_mktsegment string", [(s + 1, 1, "BUILDING") for k, s in places]),
+    }
+
+
+def test_like_shapes_are_compared_once(spark, tmp_path, monkeypatch):
+    compared = []
+    plain = polygons.shapes_within
+
+    def watched(left, right, *rest):
+        compared.append((left.count(), right.count()))
+        return plain(left, right, *rest)
+
+    monkeypatch.setattr(polygons, "shapes_within", watched)
+    rows = agrees(spark, "j05_line_frontage", written(spark, tmp_path, streets(4)))
+    assert compared == [(30, 22)] and rows and all(n % 4 == 0 for r in rows for n in r[1:])
