@@ -6,6 +6,7 @@ all pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,26 +53,49 @@ def near_pairs(left: DataFrame, right: DataFrame, distance: float) -> DataFrame:
 
 
 def nearest(left: DataFrame, right: DataFrame, distance: float, key: str = "id", other: str = "rid") -> DataFrame:
-    """key, other, d: each left point's nearest right point within a distance; ties to the smaller id."""
-    pairs = near_pairs(left, right, distance)
-    return pairs.groupBy(key).agg(F.min(F.struct("d", other)).alias("m")).select(key, f"m.{other}", "m.d")
+    """key, other, d: each left point's nearest right point within a distance; ties to the smaller id. Points at one place are
+    searched once."""
+    found = _nearest_place(left.select("x", "y").distinct(), _places(right, F.min(other).alias(other)), distance, other)
+    return _of_points(left, found, key, other, "inner")
+
+
+def _places(right: DataFrame, what: Column) -> DataFrame:
+    return right.groupBy("rx", "ry").agg(what)
+
+
+def _nearest_place(at: DataFrame, to: DataFrame, distance: float, other: str) -> DataFrame:
+    """x, y, other, d: the nearest of some places (rx, ry, other) for each place at which there is one within a distance."""
+    pairs = near_pairs(at, to.hint("merge"), distance)
+    return pairs.groupBy("x", "y").agg(F.min(F.struct("d", other)).alias("m")).select("x", "y", f"m.{other}", "m.d")
+
+
+def _of_points(left: DataFrame, found: DataFrame, key: str, other: str, how: str) -> DataFrame:
+    """key, other, d: what was found for places (x, y) as rows of the points there."""
+    out = left.select(key, "x", "y").join(found.hint("merge"), ["x", "y"], how)
+    return out.groupBy(key).agg(F.min(F.when(F.col("d").isNotNull(), F.struct("d", other))).alias("m")).select(key, f"m.{other}", "m.d")
 
 
 def nearest_anywhere(left: DataFrame, right: DataFrame, first: float, key: str = "id", other: str = "rid", most_rounds: int = 40) -> DataFrame:
     """Nearest without a bound: the search radius doubles for the points that have found none yet. Points without a
-    position have no nearest one (null)."""
-    placed = F.col("x").isNotNull() & F.col("y").isNotNull()
-    lost = left.where(~placed).select(key, F.lit(None).cast("long").alias(other), F.lit(None).cast("double").alias("d"))
-    out, todo, radius = lost, left.where(placed), first
-    right = right.where("rx is not null and ry is not null")
-    if not right.limit(1).count():
+    position have no nearest one (null).
+
+    The first radius is ``first`` or, where places are dense, what holds some dozen of them on average, so pairs grow with the
+    places and not with their square.
+    """
+    to = checkpointed(_places(right.where("rx is not null and ry is not null"), F.min(other).alias(other)))
+    n, wide, high = to.agg(F.count(F.lit(1)), F.max("rx") - F.min("rx"), F.max("ry") - F.min("ry")).first()
+    if not n:
         return left.select(key, F.lit(None).cast("long").alias(other), F.lit(None).cast("double").alias("d"))
+    apart = max(math.sqrt(wide * high / n), wide / n, high / n)
+    radius = max(min(first, 2 * apart), first / 64)
+    todo = checkpointed(left.where("x is not null and y is not null").select("x", "y").distinct())
+    out = None
     for _ in range(most_rounds):
-        found = checkpointed(nearest(todo, right, radius, key, other))
-        out = out.unionByName(found)
-        todo = checkpointed(todo.join(found.select(key), key, "left_anti"))
+        found = checkpointed(_nearest_place(todo, to, radius, other))
+        out = found if out is None else out.unionByName(found)
+        todo = checkpointed(todo.join(found.select("x", "y").hint("merge"), ["x", "y"], "left_anti"))
         if todo.isEmpty():
-            return out
+            return _of_points(left, out, key, other, "left")
         radius *= 2
     raise RuntimeError("some points are further from all others than the radius has grown to")
 

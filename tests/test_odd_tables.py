@@ -112,3 +112,36 @@ def test_like_shapes_are_compared_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(polygons, "shapes_within", watched)
     rows = agrees(spark, "j05_line_frontage", written(spark, tmp_path, streets(4)))
     assert compared == [(30, 22)] and rows and all(n % 4 == 0 for r in rows for n in r[1:])
+
+
+def watched_pairs(monkeypatch):
+    """Rows of both sides of every comparison by distance, and the distance."""
+    compared = []
+    plain = spatial.near_pairs
+
+    def near_pairs(left, right, distance):
+        compared.append((left.count(), right.count(), distance))
+        return plain(left, right, distance)
+
+    monkeypatch.setattr(spatial, "near_pairs", near_pairs)
+    return compared
+
+
+def test_points_at_one_place_are_searched_once(spark, tmp_path, monkeypatch):
+    compared = watched_pairs(monkeypatch)
+    rows = agrees(spark, "j16_nearest_node", written(spark, tmp_path, streets(4)))
+    assert len(rows) == 120 and max(r[1] for r in rows) < 90
+    assert compared[0][:2] == (30, 30) and all(c[0] < 30 for c in compared[1:])
+
+
+def test_dense_points_are_searched_nearby(spark, monkeypatch):
+    """A lattice of places, some with two ids: the first radius holds few of them; points far off are found in later rounds."""
+    compared = watched_pairs(monkeypatch)
+    to = [(40 * r + k + d, 2.0 * k, 2.0 * r) for r in range(40) for k in range(40) for d in ((0, 5000) if k % 7 == 0 else (5000,))]
+    rng = random.Random(4)
+    at = [(i, rng.choice([1.0, 1.7, 30.0, 77.7]), rng.choice([3.0, 40.5, 79.0])) for i in range(50)] + [(90, 5000.0, -9.0), (91, None, 3.0), (92, 8.0, None)]
+    got = spatial.nearest_anywhere(spark.createDataFrame(at, "id long, x double, y double"), spark.createDataFrame(to, "rid long, rx double, ry double"), 1000.0).collect()
+    want = {i: min((math.hypot(x - rx, y - ry), rid) for rid, rx, ry in to) if x is not None and y is not None else (None, None) for i, x, y in at}
+    assert len(got) == len(at) and all(r["rid"] == want[r["id"]][1] and (r["d"] is None) == (want[r["id"]][0] is None) for r in got)
+    assert all(r["d"] is None or abs(r["d"] - want[r["id"]][0]) < 1e-9 for r in got)
+    assert compared[0][1] == 1600 and compared[0][2] < 20 and compared[-1][0] == 1
