@@ -7,7 +7,7 @@ all pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -59,6 +59,16 @@ def nearest(left: DataFrame, right: DataFrame, distance: float, key: str = "id",
     return _of_points(left, found, key, other, "inner")
 
 
+def counts_within(left: DataFrame, right: DataFrame, distances: Sequence[int], key: str = "id") -> DataFrame:
+    """key, n<k> for each of the ``distances``: how many right points are no further than k from a left one. Points at one place
+    are compared once and counted as often as they come."""
+    to = checkpointed(_places(right, F.count(F.lit(1)).alias("n")))
+    pairs = near_pairs(left.select("x", "y").distinct(), to.hint("merge"), max(distances))
+    counts = pairs.groupBy("x", "y").agg(*(F.sum(F.when(F.col("d") <= k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in distances))
+    out = left.select(key, "x", "y").join(counts.hint("merge"), ["x", "y"], "left")
+    return out.groupBy(key).agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0)).alias(f"n{k}") for k in distances))
+
+
 def _places(right: DataFrame, what: Column) -> DataFrame:
     return right.groupBy("rx", "ry").agg(what)
 

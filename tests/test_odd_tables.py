@@ -145,3 +145,12 @@ def test_dense_points_are_searched_nearby(spark, monkeypatch):
     assert len(got) == len(at) and all(r["rid"] == want[r["id"]][1] and (r["d"] is None) == (want[r["id"]][0] is None) for r in got)
     assert all(r["d"] is None or abs(r["d"] - want[r["id"]][0]) < 1e-9 for r in got)
     assert compared[0][1] == 1600 and compared[0][2] < 20 and compared[-1][0] == 1
+
+
+def test_frontage_counts_points_at_one_place_together(spark, tmp_path, monkeypatch):
+    compared = watched_pairs(monkeypatch)
+    tables = streets(4)
+    tables["customer"][1].extend((s + 40 * 7000, 1, "BUILDING") for s, _ in tables["supplier"][1])
+    rows = agrees(spark, "j05_frontage", written(spark, tmp_path, tables))
+    assert len(rows) == 120 and any(r[2] for r in rows) and all(n % 4 == 0 for r in rows for n in r[2:])
+    assert compared[0][:2] == (30, 60) and all(n <= 30 and m == 60 for n, m, _ in compared)
